@@ -18,9 +18,10 @@ from tidemark.operators.profile import Layout
 def covered_counts(
     cells: DataFrame, patterns: DataFrame, layout: Layout, by: Sequence[str] = (), known_rows: int | None = None
 ) -> DataFrame:
-    """(by, pattern_id, covered, tp): partial sums per task before the shuffle, so hot patterns stay cheap."""
+    """(by, pattern_id, covered, hits): partial sums per task before the shuffle, so hot patterns stay cheap."""
+    once = patterns.select("pattern_id", "class", "masks").dropDuplicates(["pattern_id"])
     return (
-        cover_join(cells, patterns, layout, known_rows=known_rows)
+        cover_join(cells, once, layout, known_rows=known_rows)
         .groupBy(*by, "pattern_id")
         .agg(
             F.sum("n").alias("covered"),
