@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
 
-def draw(seed: int, purpose: str, *identity: Column) -> Column:
+def hashed(seed: int, purpose: str, identity: Sequence[str]) -> str:
+    return f"xxhash64({seed}L, '{purpose}', {', '.join(identity)})"
+
+
+def draw(seed: int, purpose: str, identity: Sequence[str]) -> str:
     """Uniform double in [0, 1)."""
-    h = F.xxhash64(F.lit(seed), F.lit(purpose), *identity)
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+    return f"(shiftrightunsigned({hashed(seed, purpose, identity)}, 11) / {float(1 << 53)!r}D)"
 
 
-def draw_int(low, high, seed: int, purpose: str, *identity: Column) -> Column:
+def draw_int(low: int | str, high: int | str, seed: int, purpose: str, identity: Sequence[str]) -> str:
     """Uniform integer in [low, high], both included."""
-    low = F.lit(low) if isinstance(low, int) else low
-    high = F.lit(high) if isinstance(high, int) else high
-    span = (high - low + 1).cast("double")
-    return (low + F.floor(draw(seed, purpose, *identity) * span)).cast("int")
+    return f"int({low} + floor({draw(seed, purpose, identity)} * ({high} - ({low}) + 1)))"

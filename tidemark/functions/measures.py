@@ -11,129 +11,138 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.sqltext import case, num
+
 INF = float("inf")
 TOLERANCE = 1e-13
 
 
-def _num(value: float) -> Column:
-    return F.lit(float(value))
-
-
-def _ratio(top: Column, bottom: Column, empty: float = 0.0) -> Column:
-    return F.when(bottom == 0, _num(empty)).otherwise(top.cast("double") / bottom.cast("double"))
+def _ratio(top: str, bottom: str, empty: float = 0.0) -> str:
+    return case([(f"({bottom}) = 0", num(empty))], f"cast({top} AS DOUBLE) / cast({bottom} AS DOUBLE)")
 
 
 def tpr(tp, fp, tn, fn):
-    return _ratio(tp, tp + fn)
+    return _ratio(tp, f"({tp} + {fn})")
 
 
 def fpr(tp, fp, tn, fn):
     """1 when there are no negatives: nothing can then speak for the pattern."""
-    return _ratio(fp, fp + tn, 1.0)
+    return _ratio(fp, f"({fp} + {tn})", 1.0)
 
 
 def tnr(tp, fp, tn, fn):
-    return _ratio(tn, fp + tn)
+    return _ratio(tn, f"({fp} + {tn})")
 
 
-def auc(tp, fp, tn, fn):
-    return (_num(1) + tpr(tp, fp, tn, fn) - fpr(tp, fp, tn, fn)) / _num(2)
+def _total(tp, fp, tn, fn):
+    return f"({tp} + {fp} + {tn} + {fn})"
+
+
+def auc(*t):
+    return f"(1D + {tpr(*t)} - {fpr(*t)}) / 2D"
 
 
 def accuracy(tp, fp, tn, fn):
-    return _ratio(tp + tn, tp + fp + tn + fn)
+    return _ratio(f"({tp} + {tn})", _total(tp, fp, tn, fn))
 
 
 def confidence(tp, fp, tn, fn):
-    return _ratio(tp, tp + fp)
+    return _ratio(tp, f"({tp} + {fp})")
 
 
 def coverage(tp, fp, tn, fn):
-    return _ratio(tp + fp, tp + fp + tn + fn)
+    return _ratio(f"({tp} + {fp})", _total(tp, fp, tn, fn))
 
 
-def g_mean(tp, fp, tn, fn):
-    return F.sqrt(tpr(tp, fp, tn, fn) * tnr(tp, fp, tn, fn))
+def g_mean(*t):
+    return f"sqrt({tpr(*t)} * {tnr(*t)})"
 
 
-def growth_rate(tp, fp, tn, fn):
-    t, f = tpr(tp, fp, tn, fn), fpr(tp, fp, tn, fn)
-    return F.when(f != 0, t / f).when(t == 0, _num(0)).otherwise(_num(INF))
+def growth_rate(*t):
+    with_negatives = (f"{fpr(*t)} <> 0", f"{tpr(*t)} / {fpr(*t)}")
+    return case([with_negatives, (f"{tpr(*t)} = 0", "0D")], num(INF))
 
 
-def is_growth_rate(tp, fp, tn, fn):
-    return F.when(growth_rate(tp, fp, tn, fn) > 1, _num(1)).otherwise(_num(0))
+def is_growth_rate(*t):
+    return case([(f"{growth_rate(*t)} > 1", "1D")], "0D")
 
 
 def jaccard(tp, fp, tn, fn):
-    return _ratio(tp, tp + fn + fp)
+    return _ratio(tp, f"({tp} + {fn} + {fp})")
 
 
-def supp_diff(tp, fp, tn, fn):
-    return tpr(tp, fp, tn, fn) - fpr(tp, fp, tn, fn)
+def supp_diff(*t):
+    return f"({tpr(*t)} - {fpr(*t)})"
 
 
 def support(tp, fp, tn, fn):
-    return _ratio(tp, tp + fp + tn + fn)
+    return _ratio(tp, _total(tp, fp, tn, fn))
+
 
+def _prior(tp, fp, tn, fn):
+    return _ratio(f"({tp} + {fn})", _total(tp, fp, tn, fn))
 
-def wracc(tp, fp, tn, fn):
-    prior = _ratio(tp + fn, tp + fp + tn + fn)
-    return coverage(tp, fp, tn, fn) * (confidence(tp, fp, tn, fn) - prior)
 
+def wracc(*t):
+    return f"({coverage(*t)} * ({confidence(*t)} - {_prior(*t)}))"
 
-def wracc_norm(tp, fp, tn, fn):
-    prior = _ratio(tp + fn, tp + fp + tn + fn)
-    reach = prior * (_num(1) - prior)
-    return F.when(reach == 0, _num(0)).otherwise((wracc(tp, fp, tn, fn) + reach) / (reach + reach))
+
+def wracc_norm(*t):
+    reach = f"({_prior(*t)} * (1D - {_prior(*t)}))"
+    return case([(f"{reach} = 0", "0D")], f"({wracc(*t)} + {reach}) / ({reach} + {reach})")
 
 
 def odds_ratio(tp, fp, tn, fn):
     """0 when either error count is 0, so a perfect pattern gets the worst odds (kept on purpose)."""
-    top = tp.cast("double") * tn.cast("double")
-    bottom = fp.cast("double") * fn.cast("double")
-    return F.when(bottom == 0, _num(0)).otherwise(top / bottom)
-
+    bottom = f"(cast({fp} AS DOUBLE) * cast({fn} AS DOUBLE))"
+    return case([(f"{bottom} = 0", "0D")], f"cast({tp} AS DOUBLE) * cast({tn} AS DOUBLE) / {bottom}")
 
-def inverse_fpr(tp, fp, tn, fn):
-    return _num(1) - fpr(tp, fp, tn, fn)
 
+def inverse_fpr(*t):
+    return f"(1D - {fpr(*t)})"
 
-def complement(v: Column) -> Column:
-    return _num(1) - v
 
+def complement(v: str) -> str:
+    return f"(1D - {v})"
 
-def _reciprocal(at_zero: float) -> Callable[[Column], Column]:
-    def inverse(v: Column) -> Column:
-        return F.when(v == 0, _num(at_zero)).when(v == INF, _num(0)).otherwise(_num(1) / v)
 
-    return inverse
+def _reciprocal(at_zero: float) -> Callable[[str], str]:
+    return lambda v: case([(f"{v} = 0", num(at_zero)), (f"{v} = {num(INF)}", "0D")], f"1D / {v}")
 
 
-def _supp_diff_inverse(v: Column) -> Column:
-    return F.when(v > 0, _num(1) - v).when(v < 0, v + _num(1)).otherwise(_num(0))
+def _supp_diff_inverse(v: str) -> str:
+    return case([(f"{v} > 0", f"1D - {v}"), (f"{v} < 0", f"{v} + 1D")], "0D")
 
 
 @dataclass(frozen=True)
 class Measure:
+    """``fn`` and ``inverse`` give SQL text or a Column; see ``register_measure``."""
+
     name: str
-    fn: Callable[[Column, Column, Column, Column], Column]
-    inverse: Callable[[Column], Column] = complement
+    fn: Callable
+    inverse: Callable = complement
     low: float | None = 0.0
     high: float | None = 1.0
     smaller_is_better: bool = False
+    sql: bool = False
 
     def column(self) -> Column:
-        return self.fn(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))
+        counts = ("tp", "fp", "tn", "fn")
+        return F.expr(self.fn(*counts)) if self.sql else self.fn(*[F.col(c) for c in counts])
 
-    def valid(self, value: Column) -> Column:
-        """In range up to the tolerance, and not NaN."""
-        ok = ~F.isnan(value)
+    def inverse_of(self, value: str) -> Column:
+        """The value used where objectives are minimised, from the column holding the raw value."""
+        made = self.inverse(value) if self.sql or self.inverse is complement else self.inverse(F.col(value))
+        return F.expr(made) if isinstance(made, str) else made
+
+    def valid(self, value: str) -> str:
+        """Test on the column holding the value: in range up to the tolerance, and not NaN."""
+        tests = [f"NOT isnan({value})"]
         if self.low is not None:
-            ok = ok & (value >= self.low - TOLERANCE)
+            tests.append(f"{value} >= {num(self.low - TOLERANCE)}")
         if self.high is not None:
-            ok = ok & (value <= self.high + TOLERANCE)
-        return ok
+            tests.append(f"{value} <= {num(self.high + TOLERANCE)}")
+        return " AND ".join(tests)
 
 
 MEASURES: dict[str, Measure] = {}
@@ -148,32 +157,36 @@ def register_measure(
     high: float | None = 1.0,
     smaller_is_better: bool = False,
     reported: bool = False,
+    sql: bool = False,
 ) -> Measure:
-    """Add a measure; user measures work everywhere the built-in ones do."""
-    measure = Measure(name, fn, inverse, low, high, smaller_is_better)
+    """Add a measure ``fn(tp, fp, tn, fn) -> Column``; it then works everywhere the built-in ones do.
+
+    With ``sql`` the function gets column names and returns an expression as text (the built-in ones do).
+    """
+    measure = Measure(name, fn, inverse, low, high, smaller_is_better, sql)
     MEASURES[name] = measure
     if reported and name not in REPORTED:
         REPORTED.append(name)
     return measure
 
 
-register_measure("auc", auc, reported=True)
-register_measure("accuracy", accuracy, reported=True)
-register_measure("confidence", confidence, reported=True)
-register_measure("coverage", coverage, reported=True)
-register_measure("fpr", fpr, smaller_is_better=True, reported=True)
-register_measure("g_mean", g_mean, reported=True)
-register_measure("growth_rate", growth_rate, inverse=_reciprocal(INF), high=None, reported=True)
-register_measure("is_growth_rate", is_growth_rate, reported=True)
-register_measure("jaccard", jaccard, reported=True)
-register_measure("supp_diff", supp_diff, inverse=_supp_diff_inverse, low=-1.0, reported=True)
-register_measure("support", support, reported=True)
-register_measure("tnr", tnr, reported=True)
-register_measure("tpr", tpr, reported=True)
-register_measure("wracc", wracc, inverse=_reciprocal(0.0), low=None, high=None, reported=True)
-register_measure("wracc_norm", wracc_norm, reported=True)
-register_measure("odds_ratio", odds_ratio, inverse=_reciprocal(INF), high=None)
-register_measure("inverse_fpr", inverse_fpr, high=None)
+register_measure("auc", auc, reported=True, sql=True)
+register_measure("accuracy", accuracy, reported=True, sql=True)
+register_measure("confidence", confidence, reported=True, sql=True)
+register_measure("coverage", coverage, reported=True, sql=True)
+register_measure("fpr", fpr, smaller_is_better=True, reported=True, sql=True)
+register_measure("g_mean", g_mean, reported=True, sql=True)
+register_measure("growth_rate", growth_rate, inverse=_reciprocal(INF), high=None, reported=True, sql=True)
+register_measure("is_growth_rate", is_growth_rate, reported=True, sql=True)
+register_measure("jaccard", jaccard, reported=True, sql=True)
+register_measure("supp_diff", supp_diff, inverse=_supp_diff_inverse, low=-1.0, reported=True, sql=True)
+register_measure("support", support, reported=True, sql=True)
+register_measure("tnr", tnr, reported=True, sql=True)
+register_measure("tpr", tpr, reported=True, sql=True)
+register_measure("wracc", wracc, inverse=_reciprocal(0.0), low=None, high=None, reported=True, sql=True)
+register_measure("wracc_norm", wracc_norm, reported=True, sql=True)
+register_measure("odds_ratio", odds_ratio, inverse=_reciprocal(INF), high=None, sql=True)
+register_measure("inverse_fpr", inverse_fpr, high=None, sql=True)
 
 # Value an objective takes for an empty pattern, as a raw (maximised) score.
 WORST = {name: (0.0 if m.low is None or m.low >= 0 else m.low) for name, m in MEASURES.items()}
@@ -183,23 +196,24 @@ WORST["fpr"] = 1.0
 def with_measures(table: DataFrame, names: list[str] | None = None, inverse: bool = False) -> DataFrame:
     """Add one column per measure to a table with tp, fp, tn and fn."""
     picked = [MEASURES[n] for n in (names or REPORTED)]
-    made = {m.name: m.column() for m in picked}
+    out = table.withColumns({m.name: m.column() for m in picked})
     if inverse:
-        made.update({f"inv_{m.name}": m.inverse(m.column()) for m in picked})
-    return table.withColumns(made)
+        out = out.withColumns({f"inv_{m.name}": m.inverse_of(m.name) for m in picked})
+    return out
 
 
 def with_odds_interval(table: DataFrame, z: float = 1.96) -> DataFrame:
     """95 % interval of the odds ratio; a zero count adds nothing to the width."""
-    spread = sum((F.when(F.col(c) == 0, _num(0)).otherwise(_num(1) / F.col(c)) for c in ("tp", "fp", "tn", "fn")), _num(0))
-    width = _num(z) * F.sqrt(spread)
-    odds = MEASURES["odds_ratio"].column()
-    return table.withColumns({"odds_low": odds * F.exp(-width), "odds_high": odds * F.exp(width)})
+    spread = " + ".join(case([(f"{c} = 0", "0D")], f"1D / {c}") for c in ("tp", "fp", "tn", "fn"))
+    odds, width = odds_ratio("tp", "fp", "tn", "fn"), f"{num(z)} * sqrt({spread})"
+    return table.withColumns(
+        {"odds_low": F.expr(f"{odds} * exp(-({width}))"), "odds_high": F.expr(f"{odds} * exp({width})")}
+    )
 
 
-def intervals_overlap(low1: Column, high1: Column, low2: Column, high2: Column) -> Column:
+def intervals_overlap(low1: str, high1: str, low2: str, high2: str) -> str:
     """The interval with the larger top must start at or below the smaller top."""
-    return F.when(high1 > high2, low1 <= high2).otherwise(low2 <= high1)
+    return case([(f"{high1} > {high2}", f"{low1} <= {high2}")], f"{low2} <= {high1}")
 
 
 def six_decimals(value: Column) -> Column:

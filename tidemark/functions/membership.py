@@ -1,90 +1,72 @@
-"""Membership families. Each builder turns a Column and literal parameters into one degree Column."""
+"""Membership families. Each builder turns an expression and literal parameters into one degree expression."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tidemark.functions.sqltext import case, num
 
 
-def _lit(value: float) -> Column:
-    return F.lit(float(value))
-
-
-def triangle(x: Column, a: float, b: float, c: float) -> Column:
-    out = F.when((x < _lit(a)) | (x > _lit(c)), _lit(0)).when(x == _lit(b), _lit(1))
+def triangle(x: str, a: float, b: float, c: float) -> str:
+    branches = [(f"{x} < {num(a)} OR {x} > {num(c)}", "0D"), (f"{x} = {num(b)}", "1D")]
     if b > a:
-        out = out.when(x < _lit(b), (x - _lit(a)) / _lit(b - a))
-    if c > b:
-        return out.otherwise(_lit(1) - (x - _lit(b)) / _lit(c - b))
-    return out.otherwise(_lit(0))
+        branches.append((f"{x} < {num(b)}", f"({x} - {num(a)}) / {num(b - a)}"))
+    return case(branches, f"1D - ({x} - {num(b)}) / {num(c - b)}" if c > b else "0D")
 
 
-def trapezoid(x: Column, a: float, b: float, c: float, d: float) -> Column:
-    out = F.when((x < _lit(a)) | (x > _lit(d)), _lit(0)).when((x >= _lit(b)) & (x <= _lit(c)), _lit(1))
+def trapezoid(x: str, a: float, b: float, c: float, d: float) -> str:
+    branches = [(f"{x} < {num(a)} OR {x} > {num(d)}", "0D"), (f"{x} >= {num(b)} AND {x} <= {num(c)}", "1D")]
     if b > a:
-        out = out.when(x < _lit(b), (x - _lit(a)) / _lit(b - a))
-    if d > c:
-        return out.otherwise(_lit(1) - (x - _lit(c)) / _lit(d - c))
-    return out.otherwise(_lit(0))
-
-
-def _bell_curve(x: Column, mean: float, sd: float) -> Column:
-    away = x - _lit(mean)
-    return F.exp(-(away * away) / _lit(2.0 * sd * sd))
+        branches.append((f"{x} < {num(b)}", f"({x} - {num(a)}) / {num(b - a)}"))
+    return case(branches, f"1D - ({x} - {num(c)}) / {num(d - c)}" if d > c else "0D")
 
 
-def gaussian(x: Column, mean: float, sd: float) -> Column:
-    return _bell_curve(x, mean, sd)
+def gaussian(x: str, mean: float, sd: float) -> str:
+    return f"exp(-(({x} - {num(mean)}) * ({x} - {num(mean)})) / {num(2.0 * sd * sd)})"
 
 
-def gaussian2(x: Column, mean1: float, sd1: float, mean2: float, sd2: float) -> Column:
+def gaussian2(x: str, mean1: float, sd1: float, mean2: float, sd2: float) -> str:
     """Gaussian flanks joined by a plateau of 1 between the two means."""
-    return (
-        F.when(x < _lit(mean1), _bell_curve(x, mean1, sd1))
-        .when(x > _lit(mean2), _bell_curve(x, mean2, sd2))
-        .otherwise(_lit(1))
-    )
+    flanks = [(f"{x} < {num(mean1)}", gaussian(x, mean1, sd1)), (f"{x} > {num(mean2)}", gaussian(x, mean2, sd2))]
+    return case(flanks, "1D")
 
 
-def gen_bell(x: Column, mean: float, width: float, slope: float) -> Column:
-    return _lit(1) / (_lit(1) + F.pow(F.abs((x - _lit(mean)) / _lit(width)), _lit(2.0 * slope)))
+def gen_bell(x: str, mean: float, width: float, slope: float) -> str:
+    return f"(1D / (1D + pow(abs(({x} - {num(mean)}) / {num(width)}), {num(2.0 * slope)})))"
 
 
-def sigmoid(x: Column, gain: float, centre: float) -> Column:
-    return _lit(1) / (_lit(1) + F.exp(_lit(-gain) * (x - _lit(centre))))
+def sigmoid(x: str, gain: float, centre: float) -> str:
+    return f"(1D / (1D + exp({num(-gain)} * ({x} - {num(centre)}))))"
 
 
-def sigmoid_difference(x: Column, gain1: float, centre1: float, gain2: float, centre2: float) -> Column:
-    return F.greatest(sigmoid(x, gain1, centre1) - sigmoid(x, gain2, centre2), _lit(0))
+def sigmoid_difference(x: str, gain1: float, centre1: float, gain2: float, centre2: float) -> str:
+    return f"greatest({sigmoid(x, gain1, centre1)} - {sigmoid(x, gain2, centre2)}, 0D)"
 
 
-def cosine(x: Column, half_width: float, offset: float) -> Column:
-    away = x - _lit(offset)
-    bump = (F.cos(away * _lit(math.pi / half_width)) + _lit(1)) / _lit(2)
-    return F.when((away >= _lit(-half_width)) & (away <= _lit(half_width)), bump).otherwise(_lit(0))
+def cosine(x: str, half_width: float, offset: float) -> str:
+    away = f"({x} - {num(offset)})"
+    inside = f"{away} >= {num(-half_width)} AND {away} <= {num(half_width)}"
+    return case([(inside, f"(cos({away} * {num(math.pi / half_width)}) + 1D) / 2D")], "0D")
 
 
-def piecewise(x: Column, *points: Sequence[float]) -> Column:
+def piecewise(x: str, *points: Sequence[float]) -> str:
     """Straight lines through ``(x, y)`` points, flat outside the first and last one."""
-    out = F.when(x <= _lit(points[0][0]), _lit(points[0][1]))
+    branches = [(f"{x} <= {num(points[0][0])}", num(points[0][1]))]
     for (x0, y0), (x1, y1) in zip(points, points[1:]):
-        out = out.when(x <= _lit(x1), _lit(y0) + _lit(y1 - y0) * ((x - _lit(x0)) / _lit(x1 - x0)))
-    return out.otherwise(_lit(points[-1][1]))
+        branches.append((f"{x} <= {num(x1)}", f"{num(y0)} + {num(y1 - y0)} * (({x} - {num(x0)}) / {num(x1 - x0)})"))
+    return case(branches, num(points[-1][1]))
 
 
-def singleton(x: Column, at: float, height: float = 1.0) -> Column:
-    return F.when(x == _lit(at), _lit(height)).otherwise(_lit(0))
+def singleton(x: str, at: float, height: float = 1.0) -> str:
+    return case([(f"{x} = {num(at)}", num(height))], "0D")
 
 
-def singletons(x: Column, *points: Sequence[float]) -> Column:
+def singletons(x: str, *points: Sequence[float]) -> str:
     """Exact hits only between the ends; the end values hold outside them."""
-    out = F.when(x <= _lit(points[0][0]), _lit(points[0][1])).when(x > _lit(points[-1][0]), _lit(points[-1][1]))
-    for at, height in points[1:]:
-        out = out.when(x == _lit(at), _lit(height))
-    return out.otherwise(_lit(0))
+    branches = [(f"{x} <= {num(points[0][0])}", num(points[0][1])), (f"{x} > {num(points[-1][0])}", num(points[-1][1]))]
+    branches += [(f"{x} = {num(at)}", num(height)) for at, height in points[1:]]
+    return case(branches, "0D")
 
 
 FAMILIES = {
@@ -102,7 +84,7 @@ FAMILIES = {
 }
 
 
-def degree(x: Column, family: str, params: Sequence) -> Column:
+def degree(x: str, family: str, params: Sequence) -> str:
     problem = check(family, params)
     if problem:
         raise ValueError(problem)

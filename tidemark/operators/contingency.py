@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.measures import MEASURES, WORST, with_measures
+from tidemark.functions.sqltext import array, case, name, num, text
 from tidemark.operators.coverage import cover_join
 from tidemark.operators.fuzzify import selectors_of
 from tidemark.operators.patterns import EMPTY_ID, pattern_key
@@ -59,18 +60,18 @@ def contingency(
             "total", totals.select(F.max("total")).scalar()
         )
     scored = scored.join(counts, [*by, "pattern_id"], "left")
-    zero = F.lit(0).cast("bigint")
-    empty = F.col("pattern_id") == EMPTY_ID
-    tp, covered = F.coalesce("hits", zero), F.coalesce("covered", zero)
-    positives, total = F.coalesce("positives", zero), F.coalesce("total", zero)
-    return scored.withColumns(
-        {
-            "tp": F.when(empty, zero).otherwise(tp),
-            "fp": F.when(empty, zero).otherwise(covered - tp),
-            "tn": F.when(empty, zero).otherwise(total - positives - (covered - tp)),
-            "fn": F.when(empty, zero).otherwise(positives - tp),
-        }
-    ).select(*by, *patterns.columns, "tp", "fp", "tn", "fn")
+    tp, covered = "coalesce(hits, 0L)", "coalesce(covered, 0L)"
+    positives, total = "coalesce(positives, 0L)", "coalesce(total, 0L)"
+    counts_of = {
+        "tp": tp,
+        "fp": f"{covered} - {tp}",
+        "tn": f"{total} - {positives} - ({covered} - {tp})",
+        "fn": f"{positives} - {tp}",
+    }
+    some = f"pattern_id <> {text(EMPTY_ID)}"
+    return scored.selectExpr(
+        *by, *[name(c) for c in patterns.columns], *[f"{case([(some, e)], '0L')} AS {c}" for c, e in counts_of.items()]
+    )
 
 
 def evaluate(
@@ -83,14 +84,15 @@ def evaluate(
 ) -> DataFrame:
     """Objectives o1..oM as raw values to be maximised: null when out of range, the worst value for empty patterns."""
     table = contingency(cells, patterns, layout, known_rows=known_rows, totals=totals)
-    made = {}
-    for i, name in enumerate(objectives, 1):
-        measure = MEASURES[name]
-        value = measure.column()
-        value = F.when(measure.valid(value), value)
-        value = F.when(F.col("pattern_id") == EMPTY_ID, F.lit(WORST.get(name, 0.0))).otherwise(value)
-        made[f"o{i}"] = -value if measure.smaller_is_better else value
-    return table.withColumns(made)
+    out = table.withColumns({f"o{i}": MEASURES[m].column() for i, m in enumerate(objectives, 1)})
+    checked = {}
+    for i, m in enumerate(objectives, 1):
+        sign = "-" if MEASURES[m].smaller_is_better else ""
+        value = case(
+            [(f"pattern_id = {text(EMPTY_ID)}", num(WORST.get(m, 0.0))), (MEASURES[m].valid(f"o{i}"), f"o{i}")]
+        )
+        checked[f"o{i}"] = F.expr(f"{sign}{value}")
+    return out.withColumns(checked)
 
 
 def evaluate_test(
@@ -106,24 +108,21 @@ def enumerate_patterns(cells: DataFrame, layout: Layout, max_vars: int = 2) -> D
     Each cell is expanded into its value combinations and summed map-side; the class rows of one
     combination are then laid side by side (a window over at most one row per class).
     """
-    words = [F.col(w) for w in layout.words]
-    per_var = {}
-    for v in range(len(layout.variables)):
-        own = [w if layout.word_var[i] == v else F.lit(0).cast("bigint") for i, w in enumerate(words)]
-        per_var[v] = own
+    own = {
+        v: [w if layout.word_var[i] == v else "0L" for i, w in enumerate(layout.words)]
+        for v in range(len(layout.variables))
+    }
     parts = []
     for size in range(1, max_vars + 1):
-        # One variable choice per row of a small literal array, then one explode per slot.
-        choices = list(combinations(range(len(layout.variables)), size))
-        slots = F.array(*[F.struct(*[_words_struct(layout, per_var[v]).alias(f"s{k}") for k, v in enumerate(c)]) for c in choices])
-        part = cells.select("class", "n", F.explode(slots).alias("c"))
+        # The variable choices are a literal array; one explode picks the choice, one per slot its values.
+        choices = array(
+            f"struct({', '.join(f'{selectors_of(layout, own[v])} AS s{k}' for k, v in enumerate(choice))})"
+            for choice in combinations(range(len(layout.variables)), size)
+        )
+        part = cells.selectExpr("class", "n", f"explode({choices}) AS c")
         for k in range(size):
-            part = part.withColumn(
-                f"sel{k}",
-                F.explode(selectors_of(layout, [F.col("c")[f"s{k}"][f"m{i}"] for i in range(len(words))])),
-            )
-        picked = F.array(*[F.col(f"sel{k}") for k in range(size)])
-        parts.append(part.select("class", "n", picked.alias("sels")))
+            part = part.withColumn(f"sel{k}", F.expr(f"explode(c.s{k})"))
+        parts.append(part.selectExpr("class", "n", f"{array(f'sel{k}' for k in range(size))} AS sels"))
     combos = parts[0]
     for extra in parts[1:]:
         combos = combos.unionByName(extra)
@@ -131,11 +130,11 @@ def enumerate_patterns(cells: DataFrame, layout: Layout, max_vars: int = 2) -> D
     same = Window.partitionBy("sels")
     totals = class_totals(cells)
     hits = counts.withColumn("covered", F.sum("hits").over(same))
-    masks = F.array(*[_mask_from_selectors(layout, i) for i in range(len(words))])
+    masks = array(_mask_from_selectors(layout, i) for i in range(len(layout.words)))
     return (
         hits.join(F.broadcast(totals), "class")  # one row per class, bounded by the class domain
-        .withColumn("masks", masks)
-        .withColumn("pattern_id", pattern_key())
+        .withColumn("masks", F.expr(masks))
+        .withColumn("pattern_id", F.expr(pattern_key()))
         .select(
             "pattern_id",
             "class",
@@ -149,17 +148,9 @@ def enumerate_patterns(cells: DataFrame, layout: Layout, max_vars: int = 2) -> D
     )
 
 
-def _words_struct(layout: Layout, own):
-    return F.struct(*[w.alias(f"m{i}") for i, w in enumerate(own)])
-
-
-def _mask_from_selectors(layout: Layout, i: int):
+def _mask_from_selectors(layout: Layout, i: int) -> str:
     """Mask word i of a single-value pattern given as flat selectors."""
-    base, width = layout.word_offset(i), layout.word_width(i)
-    return F.aggregate(
-        F.filter("sels", lambda s: (s >= base) & (s < base + width)),
-        F.lit(0).cast("bigint"),
-        lambda acc, s: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), s - F.lit(base))),
+    base, top = layout.word_offset(i), layout.word_offset(i) + layout.word_width(i) - 1
+    return (
+        f"aggregate(filter(sels, s -> s BETWEEN {base} AND {top}), 0L, (acc, s) -> acc | shiftleft(1L, s - {base}))"
     )
-
-

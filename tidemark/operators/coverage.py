@@ -8,28 +8,27 @@ equi-join on that value followed by a check of the other variables. No cross pro
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.sqltext import all_of, any_of, array, case, long, name, num
 from tidemark.operators.fuzzify import selectors_of
-from tidemark.operators.patterns import mask, non_empty, participates, set_bits
+from tidemark.operators.patterns import non_empty, participates, set_bits
 from tidemark.operators.profile import Layout
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def covers_expr(layout: Layout, row: Sequence[Column], pattern: Sequence[Column]) -> Column:
+def covers_expr(layout: Layout, row: Sequence[str], pattern: Sequence[str]) -> str:
     """AND over participating variables of "row and pattern share a value". Canonical masks expected."""
     tests = []
     for v in range(len(layout.variables)):
         words = layout.words_of(v)
-        shares = reduce(lambda a, b: a | b, [row[i].bitwiseAND(pattern[i]) != 0 for i in words])
-        silent = reduce(lambda a, b: a & b, [pattern[i] == 0 for i in words])
-        tests.append(silent | shares)
-    return reduce(lambda a, b: a & b, tests)
+        silent = all_of(f"{pattern[i]} = 0" for i in words)
+        tests.append(any_of([silent, *[f"({row[i]} & {pattern[i]}) <> 0" for i in words]]))
+    return all_of(tests)
 
 
 def filed_patterns(patterns: DataFrame, layout: Layout, keep: Sequence[str]) -> DataFrame:
@@ -38,29 +37,25 @@ def filed_patterns(patterns: DataFrame, layout: Layout, keep: Sequence[str]) ->
     b* holds the filing variable's values below this one: a row with several values (missing or tied)
     is then matched through the lowest shared value only, so no pair comes out twice.
     """
-    zero = F.lit(0).cast("bigint")
-    fractions = F.array(
-        *[
-            F.struct(
-                F.when(participates(layout, v), set_bits(layout, v) / F.lit(float(variable.width))).otherwise(F.lit(2.0)).alias("f"),
-                F.lit(v).alias("v"),
-            )
-            for v, variable in enumerate(layout.variables)
-        ]
+    fractions = array(
+        f"struct({case([(participates(layout, v), f'{set_bits(layout, v)} / {num(variable.width)}')], '2D')} AS f, {v} AS v)"
+        for v, variable in enumerate(layout.variables)
     )
-    filed = non_empty(patterns).withColumn("__by", F.array_min(fractions)["v"])
-    own = [F.when(F.col("__by") == v, mask(i)).otherwise(zero) for i, v in enumerate(layout.word_var)]
-    filed = filed.withColumn("sel", F.explode(selectors_of(layout, own)))
+    own = [case([(f"__by = {v}", f"masks[{i}]")], "0L") for i, v in enumerate(layout.word_var)]
     below = []
-    for i in range(len(layout.words)):
-        bit = F.col("sel") - F.lit(layout.word_offset(i))
-        lower = (
-            F.when(bit <= 0, zero)
-            .when(bit >= layout.word_width(i), F.lit(layout.full_mask(i)).cast("bigint"))
-            .otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(bit, F.lit(0))) - F.lit(1).cast("bigint"))
+    for i, v in enumerate(layout.word_var):
+        bit = f"(sel - {layout.word_offset(i)})"
+        lower = case(
+            [(f"{bit} <= 0", "0L"), (f"{bit} >= {layout.word_width(i)}", long(layout.full_mask(i)))],
+            f"shiftleft(1L, {bit}) - 1L",
         )
-        below.append(F.when(F.col("__by") == layout.word_var[i], mask(i).bitwiseAND(lower)).otherwise(zero).alias(f"b{i}"))
-    return filed.select(*keep, "sel", *[mask(i).alias(f"p{i}") for i in range(len(layout.words))], *below)
+        below.append(f"{case([(f'__by = {v}', f'masks[{i}] & {lower}')], '0L')} AS b{i}")
+    return (
+        non_empty(patterns)
+        .withColumn("__by", F.expr(f"array_min({fractions}).v"))
+        .withColumn("sel", F.expr(f"explode({selectors_of(layout, own)})"))
+        .selectExpr(*[name(c) for c in keep], "sel", *[f"masks[{i}] AS p{i}" for i in range(len(own))], *below)
+    )
 
 
 def fits_broadcast(filed: DataFrame, layout: Layout, known_rows: int | None = None) -> bool:
@@ -83,17 +78,16 @@ def cover_join(
     named = patterns.withColumnRenamed("class", "pattern_class")
     kept = ["pattern_id", "pattern_class", *keep]
     filed = filed_patterns(named, layout, kept)
-    words = [F.col(w) for w in layout.words]
-    spread = cells.withColumn("sel", F.explode(selectors_of(layout, words)))
+    spread = cells.withColumn("sel", F.expr(f"explode({selectors_of(layout, layout.words)})"))
     if fits_broadcast(filed, layout, known_rows):
         joined = spread.join(F.broadcast(filed), "sel")
     else:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in cells.columns]), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(*cells.columns), F.lit(SALTS)).cast("int")
         copies = filed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = spread.withColumn("__salt", salt).join(copies, ["sel", "__salt"])
-    fresh = reduce(lambda a, b: a & b, [F.col(w).bitwiseAND(F.col(f"b{i}")) == 0 for i, w in enumerate(layout.words)])
-    test = covers_expr(layout, words, [F.col(f"p{i}") for i in range(len(layout.words))])
-    return joined.filter(fresh & test).select(*cells.columns, *kept)
+    fresh = [f"({w} & b{i}) = 0" for i, w in enumerate(layout.words)]
+    test = covers_expr(layout, layout.words, [f"p{i}" for i in range(len(layout.words))])
+    return joined.filter(all_of([*fresh, test])).select(*cells.columns, *kept)
 
 
 def covered_pairs(rows: DataFrame, patterns: DataFrame, layout: Layout, keys: Sequence[str]) -> DataFrame:

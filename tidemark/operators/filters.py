@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.measures import MEASURES, intervals_overlap, with_measures, with_odds_interval
+from tidemark.functions.sqltext import case, num
 from tidemark.operators.contingency import contingency
 from tidemark.operators.coverage import cover_join
 from tidemark.operators.patterns import n_elements
@@ -119,20 +120,21 @@ def coverage_ratio_filter(
     """
     if scored is None:
         scored = contingency(cells, patterns, layout)
-    scored = cut(with_odds_interval(scored).withColumn("size", n_elements(layout)))  # read four times below
+    scored = cut(with_odds_interval(scored).withColumn("size", F.expr(n_elements(layout))))  # read four times below
     live = scored.filter(F.col("tp") + F.col("fp") > 0)
     side = ["pos", "tp", "odds_low", "odds_high", "size"]
     one = live.select("class", *[F.col(c).alias(f"{c}1") for c in side])
     two = live.select("class", *[F.col(c).alias(f"{c}2") for c in side])
     pairs = overlap_pairs(cells, live.select("pos", "class", "masks"), layout).join(one, ["class", "pos1"]).join(two, ["class", "pos2"])
-    close = pairs.filter(F.greatest(F.col("both") / F.col("tp1"), F.col("both") / F.col("tp2")) >= max_pct)
-    shorter_first = F.when(F.col("size1") <= F.col("size2"), F.lit(2)).otherwise(F.lit(1))
-    loser = (
-        F.when(F.col("odds_low1") > F.col("odds_high2"), F.lit(2))
-        .when(F.col("odds_low2") > F.col("odds_high1"), F.lit(1))
-        .when(intervals_overlap(F.col("odds_low1"), F.col("odds_high1"), F.col("odds_low2"), F.col("odds_high2")), shorter_first)
+    close = pairs.filter(f"greatest(both / tp1, both / tp2) >= {num(max_pct)}")
+    loser = case(
+        [
+            ("odds_low1 > odds_high2", "2"),
+            ("odds_low2 > odds_high1", "1"),
+            (intervals_overlap("odds_low1", "odds_high1", "odds_low2", "odds_high2"), "int(if(size1 <= size2, 2, 1))"),
+        ]
     )
-    judged = close.select("class", "pos1", "pos2", loser.alias("loser"))
+    judged = close.select("class", "pos1", "pos2", F.expr(loser).alias("loser"))
     later = judged.filter(F.col("loser") == 2).groupBy("class", "pos2").agg(F.min("pos1").alias("gone_at"))
     earlier = (
         judged.filter(F.col("loser") == 1)
@@ -155,7 +157,7 @@ def token_competition(cells: DataFrame, patterns: DataFrame, layout: Layout, sco
     order = Window.partitionBy("class").orderBy(F.col("wracc_norm").desc(), F.col("__size"), F.col("pattern_id"))
     ranked = (
         with_measures(scored, ["wracc_norm"])
-        .withColumn("__size", n_elements(layout))
+        .withColumn("__size", F.expr(n_elements(layout)))
         .withColumn("rank", F.row_number().over(order))
         .select(*patterns.columns, "rank")
     )
@@ -172,14 +174,14 @@ def token_competition(cells: DataFrame, patterns: DataFrame, layout: Layout, sco
 
 def measure_threshold(scored: DataFrame, measure: str, threshold: float, by: Sequence[str] = ("class",)) -> DataFrame:
     """Keep patterns whose inverse value is below 1 - threshold; if a group has none, its single best one."""
-    value = MEASURES[measure].inverse(MEASURES[measure].column())
     best_first = Window.partitionBy(*by).orderBy(F.col("__inv"), F.col("pattern_id"))
     passing = F.col("__inv") < F.lit(1.0 - threshold)
     return (
-        scored.withColumn("__inv", value)
+        scored.withColumn("__raw", MEASURES[measure].column())
+        .withColumn("__inv", MEASURES[measure].inverse_of("__raw"))
         .withColumns({"__rn": F.row_number().over(best_first), "__any": F.max(passing).over(Window.partitionBy(*by))})
         .filter(passing | (~F.col("__any") & (F.col("__rn") == 1)))
-        .drop("__inv", "__rn", "__any")
+        .drop("__raw", "__inv", "__rn", "__any")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import membership
+from tidemark.functions.sqltext import all_of, case, long, name, num, text
 from tidemark.operators.profile import (
     Layout, Variable, check_domain_sizes, domain_table, nominal_values, numeric_bounds,
 )
@@ -72,55 +73,33 @@ def fit_numeric(bounds: DataFrame, labels: int) -> list[Variable]:
     return [Variable(names[v], labels=tuple(feet[v])) for v in sorted(feet)]
 
 
-def degrees(x: Column, variable: Variable) -> list[Column]:
+def degrees(x: str, variable: Variable) -> list[str]:
     return [membership.triangle(x, a, b, c) for a, b, c in variable.labels]
 
 
-def label_argmax(x: Column, variable: Variable) -> Column:
+def label_argmax(x: str, variable: Variable) -> str:
     """First label with the largest degree; 0 when no triangle reaches the value."""
     d = degrees(x, variable)
-    out = None
-    for j in range(len(d) - 1):
-        best = None
-        for k in range(j + 1, len(d)):
-            wins = d[j] >= d[k]
-            best = wins if best is None else best & wins
-        out = F.when(best, F.lit(j)) if out is None else out.when(best, F.lit(j))
-    return F.lit(0) if out is None else out.otherwise(F.lit(len(d) - 1))
+    branches = [(all_of(f"{d[j]} >= {later}" for later in d[j + 1 :]), str(j)) for j in range(len(d) - 1)]
+    return case(branches, str(len(d) - 1))
 
 
-def _bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int"))
-
-
-def _bit_lit(position: int) -> Column:
-    return F.lit(1 << position).cast("bigint")
-
-
-def label_mask_tied(x: Column, variable: Variable) -> Column:
-    """Every label whose degree is within 1e-11 of the largest one."""
+def label_mask_tied(x: str, variable: Variable) -> str:
+    """Mask of every label whose degree is within 1e-11 of the largest one."""
     d = degrees(x, variable)
-    top = F.greatest(*d) if len(d) > 1 else d[0]
-    out = F.lit(0).cast("bigint")
-    for j, degree in enumerate(d):
-        out = out.bitwiseOR(F.when(degree >= top - TIE, _bit_lit(j)).otherwise(F.lit(0).cast("bigint")))
-    return out
+    top = f"greatest({', '.join(d)})" if len(d) > 1 else d[0]
+    return "(" + " | ".join(case([(f"{degree} >= {top} - {num(TIE)}", long(1 << j))], "0L") for j, degree in enumerate(d)) + ")"
 
 
-def nominal_index(x: Column, domain: Sequence[str]) -> Column:
+def nominal_index(x: str, domain: Sequence[str]) -> str:
     """Position in the domain, null for a value outside it."""
-    out = None
-    for j, value in enumerate(domain):
-        hit = x == F.lit(value)
-        out = F.when(hit, F.lit(j)) if out is None else out.when(hit, F.lit(j))
-    return F.lit(None).cast("int") if out is None else out
+    return case([(f"{x} = {text(value)}", str(j)) for j, value in enumerate(domain)])
 
 
-def _value_frame(df: DataFrame, variable: Variable, position: str) -> DataFrame:
+def _with_position(df: DataFrame, variable: Variable, position: str) -> DataFrame:
     """Bring the domain position of a wide nominal column in by an equi-join with its value table."""
-    spark = df.sparkSession
     rows = [(value, j) for j, value in enumerate(variable.domain)]
-    table = spark.createDataFrame(rows, f"__value string, `{position}` int")
+    table = df.sparkSession.createDataFrame(rows, f"__value string, `{position}` int")
     # At most MAX_DOMAIN rows (checked when the domain was learnt), so shipping it is bounded.
     return df.join(F.broadcast(table), df[variable.name].cast("string") == F.col("__value"), "left").drop("__value")
 
@@ -133,32 +112,30 @@ def selectors(
     A missing value is covered by every selector of its variable. ``ties="all"`` sets all tied labels.
     """
     rows = df.filter(F.col(class_col).isNotNull())
-    columns: list[Column] = []
+    words: list[str] = []
     for v, variable in enumerate(layout.variables):
-        words = layout.words_of(v)
-        x = F.col(variable.name)
+        at = layout.words_of(v)
+        column = name(variable.name)
         if not variable.nominal:
-            value = x.cast("double")
-            missing = value.isNull() | F.isnan(value)
-            mask = label_mask_tied(value, variable) if ties == "all" else _bit(label_argmax(value, variable))
-            columns.append(F.when(missing, F.lit(layout.full_mask(words[0])).cast("bigint")).otherwise(mask).alias(f"w{words[0]}"))
+            value = f"double({column})"
+            mask = label_mask_tied(value, variable) if ties == "all" else f"shiftleft(1L, {label_argmax(value, variable)})"
+            missing = f"{column} IS NULL OR isnan({value})"
+            words.append(case([(missing, long(layout.full_mask(at[0])))], mask) + f" AS w{at[0]}")
             continue
-        text = x.cast("string")
         if variable.width <= CASE_LIMIT:
-            position = nominal_index(text, variable.domain)
+            position = nominal_index(f"string({column})", variable.domain)
         else:
-            rows = _value_frame(rows, variable, f"__pos{v}")
-            position = F.col(f"__pos{v}")
-        for i in words:
-            low = layout.word_low[i]
-            here = (position >= low) & (position < low + layout.word_width(i))
-            columns.append(
-                F.when(text.isNull(), F.lit(layout.full_mask(i)).cast("bigint"))
-                .when(here, _bit(position - low))
-                .otherwise(F.lit(0).cast("bigint"))
-                .alias(f"w{i}")
+            rows = _with_position(rows, variable, f"__pos{v}")
+            position = f"__pos{v}"
+        for i in at:
+            low, high = layout.word_low[i], layout.word_low[i] + layout.word_width(i) - 1
+            here = f"{position} BETWEEN {low} AND {high}"
+            words.append(
+                case([(f"{column} IS NULL", long(layout.full_mask(i))), (here, f"shiftleft(1L, {position} - {low})")], "0L")
+                + f" AS w{i}"
             )
-    return rows.select(*keep, *columns, F.col(class_col).cast("string").alias("class"))
+    kept = [name(c) for c in keep]
+    return rows.selectExpr(*kept, *words, f"string({name(class_col)}) AS class")
 
 
 def compressed_cube(rows: DataFrame, layout: Layout, by: Sequence[str] = ()) -> DataFrame:
@@ -171,18 +148,16 @@ def as_cells(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.lit(1).cast("bigint"))
 
 
-def selectors_of(layout: Layout, words: Sequence[Column]) -> Column:
-    """Flat selector numbers set in a list of mask words."""
+def selectors_of(layout: Layout, words: Sequence[str]) -> str:
+    """Flat selector numbers set in a list of mask words, as an array."""
     parts = []
     for i, word in enumerate(words):
         base = layout.word_offset(i)
-        one = F.array(F.bit_count(word - F.lit(1).cast("bigint")) + F.lit(base))
-        bits = F.sequence(F.lit(0), F.lit(layout.word_width(i) - 1))
-        many = F.transform(
-            F.filter(bits, lambda b, w=word: F.call_function("getbit", w, b) == 1), lambda b, base=base: b + F.lit(base)
-        )
-        parts.append(F.when(F.bit_count(word) == 1, one).otherwise(many))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+        one = f"array(bit_count({word} - 1L) + {base})"
+        bits = f"sequence(0, {layout.word_width(i) - 1})"
+        many = f"transform(filter({bits}, b -> getbit({word}, b) = 1), b -> b + {base})"
+        parts.append(case([(f"bit_count({word}) = 1", one)], many))
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
 
 
 def selector_names(spark, layout: Layout) -> DataFrame:
@@ -195,43 +170,39 @@ def selector_names(spark, layout: Layout) -> DataFrame:
     return spark.createDataFrame(rows, "sel int, var int, value int, name string, value_name string")
 
 
-def split_selector(layout: Layout, sel: Column) -> tuple[Column, Column]:
+def split_selector(layout: Layout, sel: str = "sel") -> tuple[str, str]:
     """(variable number, value number) of a flat selector."""
-    var, value = F.lit(0), sel
-    for v, offset in enumerate(layout.offsets):
-        if v:
-            var = F.when(sel >= offset, F.lit(v)).otherwise(var)
-            value = F.when(sel >= offset, sel - F.lit(offset)).otherwise(value)
+    starts = list(enumerate(layout.offsets))[::-1]
+    var = case([(f"{sel} >= {offset}", str(v)) for v, offset in starts])
+    value = case([(f"{sel} >= {offset}", f"{sel} - {offset}") for _, offset in starts])
     return var, value
 
 
 def selector_counts(cells: DataFrame, layout: Layout) -> DataFrame:
     """(var, value, class, n): how many rows each selector covers per class."""
-    words = [F.col(w) for w in layout.words]
-    var, value = split_selector(layout, F.col("sel"))
+    var, value = split_selector(layout)
     return (
-        cells.select(F.explode(selectors_of(layout, words)).alias("sel"), "class", "n")
+        cells.selectExpr(f"explode({selectors_of(layout, layout.words)}) AS sel", "class", "n")
         .groupBy("sel", "class")
         .agg(F.sum("n").alias("n"))
-        .select(var.alias("var"), value.alias("value"), "class", "n")
+        .selectExpr(f"{var} AS var", f"{value} AS value", "class", "n")
     )
 
 
 def selectors_covering(rows: DataFrame, layout: Layout, keys: Sequence[str]) -> DataFrame:
     """(keys, var, value) for every selector that covers the given rows."""
-    words = [F.col(w) for w in layout.words]
-    var, value = split_selector(layout, F.col("sel"))
-    return rows.select(*keys, F.explode(selectors_of(layout, words)).alias("sel")).select(
-        *keys, var.alias("var"), value.alias("value")
+    var, value = split_selector(layout)
+    return rows.selectExpr(*keys, f"explode({selectors_of(layout, layout.words)}) AS sel").selectExpr(
+        *keys, f"{var} AS var", f"{value} AS value"
     )
 
 
 def fuzzify(df: DataFrame, terms: Sequence[tuple[str, str, str, Sequence]], keep: Sequence[str] = ()) -> DataFrame:
     """One degree column ``<column>_<term>`` per (column, term, family, parameters)."""
     made = [
-        membership.degree(F.col(c).cast("double"), family, params).alias(f"{c}_{term}") for c, term, family, params in terms
+        f"{membership.degree(f'double({name(c)})', family, params)} AS {name(f'{c}_{term}')}" for c, term, family, params in terms
     ]
-    return df.select(*keep, *made)
+    return df.selectExpr(*[name(c) for c in keep], *made)
 
 
 def fuzzy_histogram(df: DataFrame, terms: Sequence[tuple[str, str, str, Sequence]], by: Sequence[str]) -> DataFrame:

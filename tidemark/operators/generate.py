@@ -4,36 +4,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.draws import draw, draw_int
+from tidemark.functions.draws import draw, draw_int, hashed
+from tidemark.functions.sqltext import all_of, array, case, long, plus
 from tidemark.operators.patterns import canonicalise
 from tidemark.operators.profile import Layout
 
-def _long(value: int) -> Column:
-    return F.lit(value).cast("bigint")
+WHO = ("class", "slot")
 
 
-def _bit_at(position: Column) -> Column:
-    return F.call_function("shiftleft", _long(1), position.cast("int"))
-
-
-def random_words(layout: Layout, seed: int, purpose: str, identity: Sequence[Column]) -> list[Column]:
+def random_words(layout: Layout, seed: int, purpose: str, identity: Sequence[str]) -> list[str]:
     """One mask word per layout word, each bit set with probability one half."""
-    words = []
-    for i in range(len(layout.words)):
-        h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(purpose), F.lit(i), *identity), 1)
-        words.append(h.bitwiseAND(_long(layout.full_mask(i))))
-    return words
-
-
-def random_patterns(spark: SparkSession, layout: Layout, slots: DataFrame, seed: int) -> DataFrame:
-    """Every bit of every variable at random, one pattern per row of ``slots(class, slot)``."""
-    words = random_words(layout, seed, "random", [F.col("class"), F.col("slot")])
-    return canonicalise(slots.withColumn("masks", F.array(*words)), layout)
+    return [
+        f"(shiftrightunsigned({hashed(seed, f'{purpose}{i}', identity)}, 1) & {long(layout.full_mask(i))})"
+        for i in range(len(layout.words))
+    ]
 
 
 def slots_for(spark: SparkSession, classes: Sequence[str], n: int, fixed: bool = True) -> DataFrame:
@@ -45,28 +33,37 @@ def slots_for(spark: SparkSession, classes: Sequence[str], n: int, fixed: bool =
     return base.select(F.get(names, F.col("slot") % len(classes)).alias("class"), "slot")
 
 
+def random_patterns(layout: Layout, slots: DataFrame, seed: int) -> DataFrame:
+    """Every bit of every variable at random, one pattern per row of ``slots(class, slot)``."""
+    return canonicalise(slots.withColumn("masks", F.expr(array(random_words(layout, seed, "random", WHO)))), layout)
+
+
+def _some_variables(layout: Layout, count: str, seed: int, purpose: str, identity: Sequence[str]) -> str:
+    """Array of ``count`` variable numbers in a drawn order."""
+    order = array(f"struct({draw(seed, f'{purpose}{v}', identity)} AS d, {v} AS v)" for v in range(len(layout.variables)))
+    return f"transform(slice(array_sort({order}), 1, {count}), s -> s.v)"
+
+
 def oriented_patterns(layout: Layout, slots: DataFrame, seed: int, pct: float = 0.25) -> DataFrame:
     """Few variables per pattern: 1..round(pct V) of them, half of their values set, never none and never all."""
-    who = [F.col("class"), F.col("slot")]
     most = max(1, math.floor(pct * len(layout.variables) + 0.5))
-    words = random_words(layout, seed, "oriented", who)
-    for v, variable in enumerate(layout.variables):
-        at = layout.words_of(v)
-        bits = reduce(lambda a, b: a + b, [F.bit_count(words[i]) for i in at])
-        lucky = draw_int(0, variable.width - 1, seed, f"fix{v}", *who)
-        for i in at:
-            local = lucky - F.lit(layout.word_low[i])
-            here = (local >= 0) & (local < layout.word_width(i))
-            flip = F.when(here & ((bits == 0) | (bits == variable.width)), _bit_at(F.greatest(local, F.lit(0)))).otherwise(_long(0))
-            words[i] = words[i].bitwiseXOR(flip)
-    order = F.array_sort(
-        F.array(*[F.struct(draw(seed, f"pick{v}", *who).alias("d"), F.lit(v).alias("v")) for v in range(len(layout.variables))])
-    )
-    chosen = F.transform(F.slice(order, F.lit(1), draw_int(1, most, seed, "count", *who)), lambda s: s["v"])
-    masks = F.array(
-        *[F.when(F.array_contains(F.col("__chosen"), F.lit(v)), words[i]).otherwise(_long(0)) for i, v in enumerate(layout.word_var)]
+    drawn = slots.withColumns(
+        {
+            "__chosen": F.expr(_some_variables(layout, draw_int(1, most, seed, "count", WHO), seed, "pick", WHO)),
+            "__words": F.expr(array(random_words(layout, seed, "oriented", WHO))),
+            "__lucky": F.expr(array(draw_int(0, v.width - 1, seed, f"fix{k}", WHO) for k, v in enumerate(layout.variables))),
+        }
     )
-    return canonicalise(slots.withColumn("__chosen", chosen).withColumn("masks", masks).drop("__chosen"), layout)
+    masks = []
+    for i, v in enumerate(layout.word_var):
+        bits = plus(f"bit_count(__words[{k}])" for k in layout.words_of(v))
+        local = f"(__lucky[{v}] - {layout.word_low[i]})"
+        flip = case(
+            [(f"{bits} IN (0, {layout.variables[v].width}) AND {local} BETWEEN 0 AND {layout.word_width(i) - 1}", f"shiftleft(1L, {local})")],
+            "0L",
+        )
+        masks.append(case([(f"array_contains(__chosen, {v})", f"__words[{i}] ^ {flip}")], "0L"))
+    return canonicalise(drawn.withColumn("masks", F.expr(array(masks))).drop("__chosen", "__words", "__lucky"), layout)
 
 
 def coverage_patterns(layout: Layout, rows: DataFrame, seed: int, pct: float = 0.25) -> DataFrame:
@@ -74,55 +71,40 @@ def coverage_patterns(layout: Layout, rows: DataFrame, seed: int, pct: float = 0
 
     Variables are chosen first, then one value of each that covers the row, so the count is capped at V.
     """
-    who = [F.col("class"), F.col("slot"), *[F.col(w) for w in layout.words]]
-    pairs = reduce(lambda a, b: a + b, [F.bit_count(F.col(w)) for w in layout.words])
-    most = F.least(F.ceil(F.lit(pct) * pairs) + 1, F.lit(len(layout.variables))).cast("int")
-    order = F.array_sort(
-        F.array(*[F.struct(draw(seed, f"seed{v}", *who).alias("d"), F.lit(v).alias("v")) for v in range(len(layout.variables))])
-    )
-    chosen = F.transform(F.slice(order, F.lit(1), draw_int(1, most, seed, "seeds", *who)), lambda s: s["v"])
+    who = [*WHO, *layout.words]
+    pairs = plus(f"bit_count({w})" for w in layout.words)
+    most = f"int(least(ceil({pct}D * {pairs}) + 1, {len(layout.variables)}))"
+    chosen = _some_variables(layout, draw_int("1", most, seed, "seeds", who), seed, "seed", who)
     masks = []
     for i, v in enumerate(layout.word_var):
-        word = F.col(f"w{i}")
-        earlier = [F.col(f"w{k}") == 0 for k in layout.words_of(v) if k < i]
-        own = word.bitwiseAND(-word)  # lowest value covering the row
-        take = F.array_contains(F.col("__chosen"), F.lit(v))
-        for quiet in earlier:
-            take = take & quiet
-        masks.append(F.when(take, own).otherwise(_long(0)))
-    return canonicalise(rows.withColumn("__chosen", chosen).withColumn("masks", F.array(*masks)).drop("__chosen"), layout)
+        earlier = [f"w{k} = 0" for k in layout.words_of(v) if k < i]
+        lowest = f"(w{i} & -w{i})"  # lowest value covering the row
+        masks.append(case([(all_of([f"array_contains(__chosen, {v})", *earlier]), lowest)], "0L"))
+    return canonicalise(
+        rows.withColumn("__chosen", F.expr(chosen)).withColumn("masks", F.expr(array(masks))).drop("__chosen"), layout
+    )
 
 
 def crossover(
-    layout: Layout, mom: Column, dad: Column, seed: int, identity: Sequence[Column], p: float = 0.6, points: int = 2
-) -> tuple[Column, Column]:
+    layout: Layout, mom: str, dad: str, seed: int, identity: Sequence[str], p: float = 0.6, points: int = 2
+) -> tuple[str, str]:
     """Both children of an n-point crossover over variables; a swap starts or ends after each distinct cut point."""
     last = len(layout.variables) - 1
-    cuts = F.array_distinct(F.array(*[draw_int(0, last, seed, f"cut{k}", *identity) for k in range(points)]))
-    mate = draw(seed, "mate", *identity) < p
+    cuts = f"array_distinct({array(draw_int(0, last, seed, f'cut{k}', identity) for k in range(points))})"
+    mate = f"{draw(seed, 'mate', identity)} < {p}D"
+    swap = [f"({mate} AND size(filter({cuts}, c -> c < {v})) % 2 = 1)" for v in layout.word_var]
+    girl = array(f"if({s}, {dad}[{i}], {mom}[{i}])" for i, s in enumerate(swap))
+    boy = array(f"if({s}, {mom}[{i}], {dad}[{i}])" for i, s in enumerate(swap))
+    return girl, boy
 
-    def swapped(v: int) -> Column:
-        passed = F.size(F.filter(cuts, lambda c: c < v))
-        return mate & (passed % 2 == 1)
 
-    girl, boy = [], []
-    for i, v in enumerate(layout.word_var):
-        swap = swapped(v)
-        girl.append(F.when(swap, dad.getItem(i)).otherwise(mom.getItem(i)))
-        boy.append(F.when(swap, mom.getItem(i)).otherwise(dad.getItem(i)))
-    return F.array(*girl), F.array(*boy)
-
-
-def mutate(layout: Layout, masks: Column, seed: int, identity: Sequence[Column], p: float = 0.1) -> Column:
+def mutate(layout: Layout, masks: str, seed: int, identity: Sequence[str], p: float = 0.1) -> str:
     """With probability p change one variable: clear it, or flip each of its values with probability one half."""
-    hit = draw(seed, "mutate", *identity) <= p
-    which = draw_int(0, len(layout.variables) - 1, seed, "variable", *identity)
-    clear = draw(seed, "clear", *identity) < 0.5
+    hit = f"{draw(seed, 'mutate', identity)} <= {p}D"
+    which = draw_int(0, len(layout.variables) - 1, seed, "variable", identity)
+    clear = f"{draw(seed, 'clear', identity)} < 0.5D"
     flips = random_words(layout, seed, "flip", identity)
-    out = []
-    for i, v in enumerate(layout.word_var):
-        word = masks.getItem(i)
-        out.append(
-            F.when(hit & (which == v), F.when(clear, _long(0)).otherwise(word.bitwiseXOR(flips[i]))).otherwise(word)
-        )
-    return F.array(*out)
+    return array(
+        case([(f"{hit} AND {which} = {v}", f"if({clear}, 0L, {masks}[{i}] ^ {flips[i]})")], f"{masks}[{i}]")
+        for i, v in enumerate(layout.word_var)
+    )

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.sqltext import array, name, num, plus
 from tidemark.session import cut
 
 BLOCK = 4096  # objective vectors compared inside one task
@@ -191,11 +192,6 @@ def select_top(
     )
 
 
-def better(front_a: Column, crowd_a: Column, front_b: Column, crowd_b: Column) -> Column:
-    """Tournament rule: lower front wins, then the less crowded one; the first rival wins ties."""
-    return (front_a < front_b) | ((front_a == front_b) & (crowd_a >= crowd_b))
-
-
 def reference_association(df: DataFrame, objectives: Sequence[str], points: Sequence[Sequence[float]]) -> DataFrame:
     """Add ``ref`` and ``ref_distance``: the direction each row lies closest to (first one on ties).
 
@@ -204,16 +200,11 @@ def reference_association(df: DataFrame, objectives: Sequence[str], points: Sequ
     candidates = []
     for r, point in enumerate(points):
         norm = sum(p**2 for p in point)
-        dot = F.lit(0.0)
-        for o, p in zip(objectives, point):
-            dot = dot + F.col(o) * F.lit(float(p))
+        dot = plus(f"{name(o)} * {num(p)}" for o, p in zip(objectives, point))
         # Fixed value: the projection used for an all-zero direction is the largest double minus one.
-        k = dot / F.lit(float(norm)) if norm else F.lit(1.7976931348623157e308)
-        squared = F.lit(0.0)
-        for o, p in zip(objectives, point):
-            away = k * F.lit(float(p)) - F.col(o)
-            squared = squared + away * away
-        candidates.append(F.struct(F.sqrt(squared).alias("ref_distance"), F.lit(r).alias("ref")))
-    return df.withColumn("__best", F.array_min(F.array(*candidates))).select(
+        k = f"{dot} / {num(norm)}" if norm else num(1.7976931348623157e308)
+        squared = plus(f"pow({k} * {num(p)} - {name(o)}, 2D)" for o, p in zip(objectives, point))
+        candidates.append(f"struct(sqrt({squared}) AS ref_distance, {r} AS ref)")
+    return df.withColumn("__best", F.expr(f"array_min({array(candidates)})")).select(
         *df.columns, F.col("__best.ref").alias("ref"), F.col("__best.ref_distance").alias("ref_distance")
     )

@@ -7,15 +7,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import draw_int
+from tidemark.functions.sqltext import any_of, all_of, array
 from tidemark.operators.contingency import class_totals, contingency, evaluate
 from tidemark.operators.coverage import cover_join
 from tidemark.operators.filters import coverage_ratio_filter
-from tidemark.operators.generate import coverage_patterns, crossover, mutate, oriented_patterns, slots_for
-from tidemark.operators.pareto import _ranks_of, better
+from tidemark.operators.generate import WHO, coverage_patterns, crossover, mutate, oriented_patterns, slots_for
+from tidemark.operators.pareto import _ranks_of
 from tidemark.operators.patterns import EMPTY_ID, canonicalise
 from tidemark.operators.profile import Layout, active_classes
 from tidemark.session import cut
@@ -77,58 +78,58 @@ def settle(state: DataFrame, objectives: Sequence[str], size: int) -> DataFrame:
     return state.groupBy("class").applyInPandas(one_class, state.schema)
 
 
-def neighbour(cell: Column, side: int, seed: int, purpose: str, identity: Sequence[Column]) -> Column:
+def neighbour(cell: str, side: int, seed: int, purpose: str, identity: Sequence[str]) -> str:
     """A cell of the 3x3 neighbourhood on the side x side torus."""
-    row = F.floor(cell / F.lit(side)).cast("int") + draw_int(-1, 1, seed, purpose + "r", *identity)
-    col = cell % side + draw_int(-1, 1, seed, purpose + "c", *identity)
-    return F.pmod(row, F.lit(side)) * side + F.pmod(col, F.lit(side))
+    row = f"int({cell} DIV {side}) + {draw_int(-1, 1, seed, purpose + 'r', identity)}"
+    col = f"{cell} % {side} + {draw_int(-1, 1, seed, purpose + 'c', identity)}"
+    return f"(pmod({row}, {side}) * {side} + pmod({col}, {side}))"
 
 
-def tournament(rivals: Sequence[Column]) -> Column:
-    """The better of two drawn individuals (structs with front and crowding)."""
-    a, b = rivals
-    return F.when(better(a["front"], a["crowding"], b["front"], b["crowding"]), a).otherwise(b)
+def tournament(a: str, b: str) -> str:
+    """The better of two individuals (structs with front and crowding): lower front, then less crowded, then the first."""
+    return f"if({a}.front < {b}.front OR ({a}.front = {b}.front AND {a}.crowding >= {b}.crowding), {a}, {b})"
 
 
 def offspring(state: DataFrame, layout: Layout, size: int, seed: int, p_cross: float, p_mut: float) -> DataFrame:
-    """One child per cell: a parent from the neighbourhood, one from the archive (if any), crossover, mutation."""
+    """One child per cell: a parent from the neighbourhood, one from the archive (if any), crossover, mutation.
+
+    The generation number is a column, not a literal, so every generation runs the same compiled plan.
+    """
     side = math.isqrt(size)
+    who = ("class", "slot", "gen")
     member = F.struct("slot", "masks", "front", "crowding")
     by_class = state.groupBy("class").agg(
+        F.max("gen").alias("gen"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "pop", member))).alias("pop"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "arc", member))).alias("arc"),
     )
-    cells = by_class.select("class", "pop", "arc", F.explode("pop").alias("me")).withColumn("slot", F.col("me.slot"))
-    who = [F.col("class"), F.col("slot")]
-
-    def near(purpose: str) -> Column:
-        return F.get("pop", neighbour(F.col("slot"), side, seed, purpose, who))
-
-    def kept(purpose: str) -> Column:
-        return F.get("arc", draw_int(F.lit(0), F.greatest(F.size("arc") - 1, F.lit(0)), seed, purpose, *who))
-
-    first = tournament([near("a1"), near("a2")])
-    second = F.when(F.size("arc") > 0, tournament([kept("k1"), kept("k2")])).otherwise(tournament([near("b1"), near("b2")]))
-    picked = cells.withColumns({"mom": first["masks"], "dad": second["masks"]})
-    girl, _ = crossover(layout, F.col("mom"), F.col("dad"), seed, who, p_cross)
-    children = picked.withColumn("masks", girl).withColumn("masks", mutate(layout, F.col("masks"), seed, who, p_mut))
-    return canonicalise(children.select("class", "slot", "masks"), layout)
+    near = [f"get(pop, {neighbour('slot', side, seed, p, who)})" for p in ("a1", "a2", "b1", "b2")]
+    kept = [f"get(arc, {draw_int(0, 'greatest(size(arc) - 1, 0)', seed, p, who)})" for p in ("k1", "k2")]
+    girl, _ = crossover(layout, "mom", "dad", seed, who, p_cross)
+    children = (
+        by_class.selectExpr("class", "gen + 1 AS gen", "pop", "arc", "explode(pop.slot) AS slot")
+        .selectExpr(
+            *who, f"{near[0]} AS a1", f"{near[1]} AS a2",
+            f"if(size(arc) > 0, {kept[0]}, {near[2]}) AS b1", f"if(size(arc) > 0, {kept[1]}, {near[3]}) AS b2",
+        )
+        .selectExpr(*who, f"{tournament('a1', 'a2')}.masks AS mom", f"{tournament('b1', 'b2')}.masks AS dad")
+        .selectExpr(*who, f"{girl} AS masks")
+        .selectExpr(*who, f"{mutate(layout, 'masks', seed, who, p_mut)} AS masks")
+    )
+    return canonicalise(children, layout)
 
 
-def _dominates(a: Sequence[Column], b: Sequence[Column]) -> Column:
-    ge, gt = F.lit(True), F.lit(False)
-    for x, y in zip(a, b):
-        ge, gt = ge & (x >= y), gt | (x > y)
-    return ge & gt
+def _dominates(a: Sequence[str], b: Sequence[str]) -> str:
+    return all_of([*[f"{x} >= {y}" for x, y in zip(a, b)], any_of(f"{x} > {y}" for x, y in zip(a, b))])
 
 
 def _columns(objectives: Sequence[str]) -> list[str]:
-    return ["class", "kind", "slot", "pattern_id", "masks", *_names(objectives), "front", "crowding"]
+    return ["class", "kind", "gen", "slot", "pattern_id", "masks", *_names(objectives), "front", "crowding"]
 
 
-def _as_state(scored: DataFrame, kind: str, objectives: Sequence[str]) -> DataFrame:
+def _as_state(scored: DataFrame, kind: str, objectives: Sequence[str], gen: int = 0) -> DataFrame:
     return scored.withColumns(
-        {"kind": F.lit(kind), "front": F.lit(0), "crowding": F.lit(0.0)}
+        {"kind": F.lit(kind), "gen": F.lit(gen), "front": F.lit(0), "crowding": F.lit(0.0)}
     ).select(*_columns(objectives))
 
 
@@ -226,27 +227,32 @@ def search(
     generation = 0
     while done < evaluations:
         generation += 1
-        children = _score(
-            cells, offspring(state, layout, size, seed + 1000 * generation, p_cross, p_mut), layout, objectives, totals, rows
-        ).select("class", "slot", "pattern_id", "masks", *names)
+        # Drawn children are written out before scoring: their long draw expressions would otherwise be
+        # copied into every place the masks are read.
+        drawn = cut(offspring(state, layout, size, seed, p_cross, p_mut))
+        children = _score(cells, drawn, layout, objectives, totals, rows).select(
+            "class", "gen", "slot", "pattern_id", "masks", *names
+        )
         parents = state.filter("kind = 'pop'")
         me = parents.select("class", "slot", *[F.col(c).alias(f"me_{c}") for c in ["pattern_id", "masks", *names]])
         both = children.join(me, ["class", "slot"])
-        stays = _dominates([F.col(f"me_{o}") for o in names], [F.col(o) for o in names])
-        moved = both.select(
-            "class", "slot", *[F.when(stays, F.col(f"me_{c}")).otherwise(F.col(c)).alias(c) for c in ["pattern_id", "masks", *names]],
-            *[F.col(c).alias(f"child_{c}") for c in ["pattern_id", "masks", *names]],
+        stays = _dominates([f"me_{o}" for o in names], names)
+        carried = ["pattern_id", "masks", *names]
+        moved = both.selectExpr(
+            "class", "gen", "slot", *[f"if({stays}, me_{c}, {c}) AS {c}" for c in carried], *[f"{c} AS child_{c}" for c in carried]
         )
         # One row per cell yields both the new occupant and the archive candidate, so scoring runs once.
-        entry = F.explode(
-            F.array(
-                F.struct(F.lit("pop").alias("kind"), *[F.col(c).alias(c) for c in ["pattern_id", "masks", *names]]),
-                F.struct(F.lit("arc").alias("kind"), *[F.col(f"child_{c}").alias(c) for c in ["pattern_id", "masks", *names]]),
-            )
+        entry = array(
+            [
+                f"struct('pop' AS kind, {', '.join(carried)})",
+                f"struct('arc' AS kind, {', '.join(f'child_{c} AS {c}' for c in carried)})",
+            ]
+        )
+        changed = (
+            moved.selectExpr("class", "gen", "slot", f"explode({entry}) AS e")
+            .selectExpr("class", "gen", "slot", "e.*", "0 AS front", "0D AS crowding")
+            .select(*columns)
         )
-        changed = moved.select("class", "slot", entry.alias("e")).select("class", "slot", "e.*").withColumns(
-            {"front": F.lit(0), "crowding": F.lit(0.0)}
-        ).select(*columns)
         state = cut(settle(changed.unionByName(state.filter("kind = 'arc'")), objectives, size))
         done += size
         if generation % check_every == 0 and done < evaluations:
@@ -264,7 +270,9 @@ def search(
                 kept = state.filter((F.col("kind") == "arc") | ~F.col("class").isin(stalled))
                 renewed = cut(renewed.select("class", "slot", "pattern_id", "masks", *names))
                 joined = (
-                    kept.unionByName(_as_state(renewed, "pop", objectives)).unionByName(_as_state(renewed, "arc", objectives))
+                    kept.unionByName(_as_state(renewed, "pop", objectives, generation)).unionByName(
+                        _as_state(renewed, "arc", objectives, generation)
+                    )
                 )
                 state = cut(settle(joined, objectives, size))
                 done += size
