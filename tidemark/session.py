@@ -19,6 +19,7 @@ def get_session(app: str = "tidemark", master: str | None = None, shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         # Recording the call site of every Column costs more than most plans here.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
