@@ -17,6 +17,7 @@ from tidemark.session import cut
 
 LINE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 KEYS = ["l_orderkey", "l_linenumber"]
+ROW_KEYS = [*KEYS, "l_partkey", "l_suppkey"]  # unique, a total order
 PRICE_SPLIT = 50000
 LABELS = 3
 
@@ -84,7 +85,7 @@ def listed(patterns: DataFrame) -> DataFrame:
 def sql_line(missing: bool = False) -> str:
     quantity = "CASE WHEN l_orderkey % 17 <> 0 THEN l_quantity END" if missing else "l_quantity"
     return (
-        f"src AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_returnflag, {quantity} AS l_quantity, l_extendedprice, "
+        f"src AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag, {quantity} AS l_quantity, l_extendedprice, "
         f"l_discount, l_tax, CASE WHEN l_extendedprice >= {PRICE_SPLIT} THEN 'high' ELSE 'low' END AS cls FROM lineitem)"
     )
 

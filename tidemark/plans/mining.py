@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.sqltext import num
 from tidemark.operators import contingency as ct
 from tidemark.operators import coverage as cv
 from tidemark.operators import fuzzify as fz
 from tidemark.operators import patterns as pt
 from tidemark.operators import profile as pr
 from tidemark.plans.datasets import (
-    KEYS, LINE_NUMERIC, lift_patterns, line_cube, line_masks, line_patterns, line_rows, sql_contingency, sql_covers,
-    sql_degree, sql_enumerated, sql_feet, sql_key, sql_labels, sql_lift, sql_line, sql_lines, sql_patterns,
+    KEYS, LINE_NUMERIC, ROW_KEYS, lift_patterns, line_cube, line_masks, line_patterns, line_rows, sql_contingency, sql_covers,
+    sql_degree, sql_feet, sql_key, sql_lift, sql_line, sql_lines, sql_patterns,
 )
 from tidemark.plans.registry import load, query, r6, rounded
 from tidemark.session import cut
@@ -300,7 +299,7 @@ def _flat(patterns):
 def _lifted(spark, sf_dir):
     cells, layout = line_cube(spark, sf_dir, missing=True)
     cells = cut(cells)
-    return cells, layout, lift_patterns(cells, layout)
+    return cells, layout, cut(lift_patterns(cells, layout))
 
 
 LIFT = sql_lines(missing=True) + ", " + sql_lift()
@@ -365,41 +364,37 @@ def class_bitmaps(spark, sf_dir):
     return cv.bitmap_sizes(cv.class_bitmaps(with_row_index(rows, KEYS), "row_index"), ["class"])
 
 
-@query(
-    "union_coverage",
-    LIFT + f" SELECT r.l_orderkey, r.l_linenumber FROM rows_ r WHERE EXISTS (SELECT 1 FROM lift q WHERE q.class = 'high' AND {sql_covers()})",
-)
-def union_coverage(spark, sf_dir):
+LIFT_ROWS = sql_lines(missing=True, keep=", ".join(ROW_KEYS)) + ", " + sql_lift()
+SHOW_ROW = " SELECT " + ", ".join(f"r.{k}" for k in ROW_KEYS) + " FROM rows_ r WHERE "
+
+
+def _hit(cls: str) -> str:
+    return f"EXISTS (SELECT 1 FROM lift q WHERE q.class = '{cls}' AND {sql_covers()})"
+
+
+def _lifted_rows(spark, sf_dir):
     _, layout, patterns = _lifted(spark, sf_dir)
-    rows, _ = line_masks(spark, sf_dir, missing=True)
-    return cv.union_coverage(rows, patterns.filter("class = 'high'"), layout, KEYS).select(*KEYS)
+    rows, _ = line_masks(spark, sf_dir, missing=True, keep=ROW_KEYS)
+    return rows, layout, patterns.filter("class = 'high'"), patterns.filter("class = 'low'")
 
 
-ONE_HIGH = "q.class = 'high' AND q.m1 <> 0 AND q.m0 = 0 AND q.m2 = 0 AND q.m3 = 0"
-ONE_HIGH_SPARK = "class = 'high' AND masks[1] <> 0 AND masks[0] = 0 AND masks[2] = 0 AND masks[3] = 0"
+@query("union_coverage", LIFT_ROWS + SHOW_ROW + _hit("high"))
+def union_coverage(spark, sf_dir):
+    rows, layout, high, _ = _lifted_rows(spark, sf_dir)
+    return cv.union_coverage(rows, high, layout, ROW_KEYS).select(*ROW_KEYS)
 
 
-@query(
-    "uncovered_of_class",
-    LIFT + f" SELECT r.l_orderkey, r.l_linenumber FROM rows_ r WHERE r.class = 'low' AND NOT EXISTS (SELECT 1 FROM lift q WHERE q.class = 'high' AND {sql_covers()})",
-)
+@query("uncovered_of_class", LIFT_ROWS + SHOW_ROW + f"r.class = 'low' AND NOT {_hit('high')}")
 def uncovered_of_class(spark, sf_dir):
-    _, layout, patterns = _lifted(spark, sf_dir)
-    rows, _ = line_masks(spark, sf_dir, missing=True)
-    return cv.uncovered_of_class(rows, patterns.filter("class = 'high'"), layout, "low", KEYS).select(*KEYS)
+    rows, layout, high, _ = _lifted_rows(spark, sf_dir)
+    return cv.uncovered_of_class(rows, high, layout, "low", ROW_KEYS).select(*ROW_KEYS)
 
 
-@query(
-    "newly_covered",
-    LIFT + f" SELECT r.l_orderkey, r.l_linenumber FROM rows_ r WHERE EXISTS (SELECT 1 FROM lift q WHERE q.class = 'low' AND {sql_covers()}) "
-    f"AND NOT EXISTS (SELECT 1 FROM lift q WHERE q.class = 'high' AND {sql_covers()})",
-)
+@query("newly_covered", LIFT_ROWS + SHOW_ROW + f"{_hit('low')} AND NOT {_hit('high')}")
 def newly_covered(spark, sf_dir):
-    _, layout, patterns = _lifted(spark, sf_dir)
-    rows, _ = line_masks(spark, sf_dir, missing=True)
-    high = cv.union_coverage(rows, patterns.filter("class = 'high'"), layout, KEYS)
-    low = cv.union_coverage(rows, patterns.filter("class = 'low'"), layout, KEYS)
-    return cv.newly_covered(high, low, KEYS)
+    rows, layout, high, low = _lifted_rows(spark, sf_dir)
+    before, after = (cv.union_coverage(rows, patterns, layout, ROW_KEYS) for patterns in (high, low))
+    return cv.newly_covered(before, after, ROW_KEYS)
 
 
 SET_SQL = {
