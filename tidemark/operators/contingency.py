@@ -50,6 +50,7 @@ def contingency(
 
     With ``by`` (batch columns) a pattern is scored on every batch in which its class occurs.
     """
+    patterns = patterns.drop("tp", "fp", "tn", "fn")  # counts from other data
     totals = class_totals(cells, by) if totals is None else totals
     counts = covered_counts(cells, patterns, layout, by, known_rows)
     if by:

@@ -177,7 +177,7 @@ def user_measure(spark, sf_dir):
 
 # ---- statistics ---------------------------------------------------------------------------------
 
-PRICE = "o_totalprice / 1000"
+PRICE = "sqrt(o_totalprice)"
 QUANTILES = "[" + ", ".join(f"{q}::DOUBLE" for q in stats.STUDENT_95) + "]"
 
 
@@ -187,7 +187,7 @@ def _ci_sql(key):
         f"ELSE {stats.NORMAL_95}::DOUBLE * sd / sqrt(n) END"
     )
     return (
-        f"SELECT {key}, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(mean - {half}, 4) AS ci_low, round(mean + {half}, 4) AS ci_high "
+        f"SELECT {key}, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - {half}, 6) AS ci_low, round(mean + {half}, 6) AS ci_high "
         f"FROM (SELECT {key}, count(*) AS n, avg({PRICE}) AS mean, stddev_samp({PRICE}) AS sd FROM orders GROUP BY {key})"
     )
 
@@ -197,17 +197,17 @@ def _ci_query(name, key):
     def run(spark, sf_dir):
         rows = load(spark, sf_dir, "orders").selectExpr(key, f"{PRICE} AS price")
         made = stats.mean_confidence_interval(rows, "price", [key])
-        return made.withColumns({c: F.round(c, 4) for c in ("mean", "sd", "ci_low", "ci_high")})
+        return made.withColumns({c: r6(c) for c in ("mean", "sd", "ci_low", "ci_high")})
 
 
 _ci_query("mean_interval_small_groups", "o_custkey")
 _ci_query("mean_interval_large_groups", "o_orderpriority")
 
 
-@query("group_stats", f"SELECT o_orderstatus, count(*) AS n, round(avg({PRICE}), 4) AS mean, round(stddev_samp({PRICE}), 4) AS sd FROM orders GROUP BY 1")
+@query("group_stats", f"SELECT o_orderstatus, count(*) AS n, round(avg({PRICE}), 6) AS mean, round(stddev_samp({PRICE}), 6) AS sd FROM orders GROUP BY 1")
 def group_stats(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").selectExpr("o_orderstatus", f"{PRICE} AS price")
-    return stats.group_stats(rows, "price", ["o_orderstatus"]).withColumns({c: F.round(c, 4) for c in ("mean", "sd")})
+    return stats.group_stats(rows, "price", ["o_orderstatus"]).withColumns({c: r6(c) for c in ("mean", "sd")})
 
 
 # ---- ranking ------------------------------------------------------------------------------------
@@ -364,8 +364,8 @@ def token_competition(spark, sf_dir):
 @query(
     "measure_threshold",
     PAT + f", t AS (SELECT pattern_id, class, 1 - ({CONF}) AS inv FROM pat), "
-    "x AS (SELECT *, bool_or(inv < 0.2::DOUBLE) OVER (PARTITION BY class) AS some, row_number() OVER (PARTITION BY class ORDER BY inv, pattern_id) AS rn FROM t) "
-    "SELECT pattern_id, class FROM x WHERE inv < 0.2::DOUBLE OR (NOT some AND rn = 1)",
+    "x AS (SELECT *, bool_or(inv < 0.2::DOUBLE) OVER (PARTITION BY class) AS any_kept, row_number() OVER (PARTITION BY class ORDER BY inv, pattern_id) AS rn FROM t) "
+    "SELECT pattern_id, class FROM x WHERE inv < 0.2::DOUBLE OR (NOT any_kept AND rn = 1)",
 )
 def measure_threshold(spark, sf_dir):
     return fl.measure_threshold(line_patterns(spark, sf_dir), "confidence", 0.8).select("pattern_id", "class")
