@@ -77,11 +77,55 @@ def degrees(x: str, variable: Variable) -> list[str]:
     return [membership.triangle(x, a, b, c) for a, b, c in variable.labels]
 
 
-def label_argmax(x: str, variable: Variable) -> str:
-    """First label with the largest degree; 0 when no triangle reaches the value."""
+def _degree(x: float, feet: tuple[float, float, float]) -> float:
+    """One triangle at one number, in the same operations the generated expressions use."""
+    a, b, c = feet
+    if x < a or x > c:
+        return 0.0
+    if x == b:
+        return 1.0
+    return (x - a) / (b - a) if x < b else 1.0 - (x - b) / (c - b)
+
+
+def thresholds(variable: Variable) -> list[float] | None:
+    """Largest value still belonging to label j, for every label but the last; None if the triangles are irregular.
+
+    Between two centres only their two triangles reach, one falling and one rising, so "label j is at
+    least as true" switches once. Bisecting down to neighbouring doubles finds that switch exactly.
+    """
+    feet = variable.labels
+    for (_, b0, c0), (a1, b1, _) in zip(feet, feet[1:]):
+        if not (b0 < b1 and c0 == b1 and a1 == b0):
+            return None
+    found = []
+    for left, right in zip(feet, feet[1:]):
+        low, high = left[1], right[1]
+        while True:
+            middle = low + (high - low) / 2
+            if middle in (low, high):
+                break
+            if _degree(middle, left) >= _degree(middle, right):
+                low = middle
+            else:
+                high = middle
+        found.append(low)
+    return found
+
+
+def by_label(x: str, variable: Variable, results: Sequence[str]) -> str:
+    """``results[j]`` for the first label j with the largest degree; label 0 when no triangle reaches the value."""
+    steps = thresholds(variable)
+    if steps is not None:
+        last = variable.labels[-1][2]
+        inside = [(f"{x} <= {num(t)}", r) for t, r in zip(steps, results)]
+        return case([*inside, (f"{x} > {num(last)}", results[0])], results[-1])
     d = degrees(x, variable)
-    branches = [(all_of(f"{d[j]} >= {later}" for later in d[j + 1 :]), str(j)) for j in range(len(d) - 1)]
-    return case(branches, str(len(d) - 1))
+    branches = [(all_of(f"{d[j]} >= {later}" for later in d[j + 1 :]), results[j]) for j in range(len(d) - 1)]
+    return case(branches, results[-1])
+
+
+def label_argmax(x: str, variable: Variable) -> str:
+    return by_label(x, variable, [str(j) for j in range(variable.width)])
 
 
 def label_mask_tied(x: str, variable: Variable) -> str:
@@ -118,7 +162,7 @@ def selectors(
         column = name(variable.name)
         if not variable.nominal:
             value = f"double({column})"
-            mask = label_mask_tied(value, variable) if ties == "all" else f"shiftleft(1L, {label_argmax(value, variable)})"
+            mask = label_mask_tied(value, variable) if ties == "all" else by_label(value, variable, [long(1 << j) for j in range(variable.width)])
             missing = f"{column} IS NULL OR isnan({value})"
             words.append(case([(missing, long(layout.full_mask(at[0])))], mask) + f" AS w{at[0]}")
             continue

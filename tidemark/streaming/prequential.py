@@ -84,4 +84,9 @@ def with_reward(scored: DataFrame, history: DataFrame, objectives: dict[str, str
 
 def event_windows(rows: DataFrame, ts: str, width: str, name: str = "batch_id") -> DataFrame:
     """Batches as tumbling event-time windows, named by the window start (seconds since the epoch)."""
-    return rows.withColumn(name, F.unix_seconds(F.window(ts, width).start))
+    start = F.window(ts, width).start
+    if dict(rows.dtypes)[ts] == "timestamp_ntz":  # wall-clock time: no session time zone involved
+        start = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), start)
+    else:
+        start = F.unix_seconds(start)
+    return rows.withColumn(name, start)
