@@ -28,6 +28,14 @@ def _names(objectives: Sequence[str]) -> list[str]:
     return [f"o{i}" for i in range(1, len(objectives) + 1)]
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """Write out a population-sized table as one partition, so joins and groupings on it need no shuffle.
+
+    Only for tables bounded by classes x population size, whatever the data size.
+    """
+    return cut(df.coalesce(1))
+
+
 def _score(cells: DataFrame, candidates: DataFrame, layout: Layout, objectives: Sequence[str], totals: DataFrame, rows: int) -> DataFrame:
     """Objective columns for every candidate row; equal candidates are counted once."""
     unique = candidates.select("pattern_id", "class", "masks").dropDuplicates(["pattern_id", "class"])
@@ -214,13 +222,13 @@ def search(
     spark = cells.sparkSession
     if math.isqrt(size) ** 2 != size:
         raise ValueError("population size must be a square")
-    totals = cut(class_totals(cells))
+    totals = cut_small(class_totals(cells))
     rows = size * len(classes)
     columns = _columns(objectives)
     names = _names(objectives)
     start = _score(cells, seed_population(layout, classes, size, seed, spark, previous), layout, objectives, totals, rows)
-    start = cut(start.select("class", "slot", "pattern_id", "masks", *names))
-    state = cut(settle(_as_state(start, "pop", objectives).unionByName(_as_state(start, "arc", objectives)), objectives, size))
+    start = cut_small(start.select("class", "slot", "pattern_id", "masks", *names))
+    state = cut_small(settle(_as_state(start, "pop", objectives).unionByName(_as_state(start, "arc", objectives)), objectives, size))
     covered = cut(covered_cells(cells, state.filter("kind = 'pop'"), layout, rows * max(v.width for v in layout.variables)))
     done = size
     last_change = {c: done for c in classes}
@@ -229,7 +237,7 @@ def search(
         generation += 1
         # Drawn children are written out before scoring: their long draw expressions would otherwise be
         # copied into every place the masks are read.
-        drawn = cut(offspring(state, layout, size, seed, p_cross, p_mut))
+        drawn = cut_small(offspring(state, layout, size, seed, p_cross, p_mut))
         children = _score(cells, drawn, layout, objectives, totals, rows).select(
             "class", "gen", "slot", "pattern_id", "masks", *names
         )
@@ -253,7 +261,7 @@ def search(
             .selectExpr("class", "gen", "slot", "e.*", "0 AS front", "0D AS crowding")
             .select(*columns)
         )
-        state = cut(settle(changed.unionByName(state.filter("kind = 'arc'")), objectives, size))
+        state = cut_small(settle(changed.unionByName(state.filter("kind = 'arc'")), objectives, size))
         done += size
         if generation % check_every == 0 and done < evaluations:
             pop = state.filter("kind = 'pop'")
@@ -266,15 +274,15 @@ def search(
             stalled = needs_reinit(last_change, done, evaluations, reinit_pct)
             if stalled:
                 renewed = reinitialise(cells, pop, layout, stalled, size, seed + 1000 * generation + 500, 0.25)
-                renewed = _score(cells, cut(renewed), layout, objectives, totals, rows)
+                renewed = _score(cells, cut_small(renewed), layout, objectives, totals, rows)
                 kept = state.filter((F.col("kind") == "arc") | ~F.col("class").isin(stalled))
-                renewed = cut(renewed.select("class", "slot", "pattern_id", "masks", *names))
+                renewed = cut_small(renewed.select("class", "slot", "pattern_id", "masks", *names))
                 joined = (
                     kept.unionByName(_as_state(renewed, "pop", objectives, generation)).unionByName(
                         _as_state(renewed, "arc", objectives, generation)
                     )
                 )
-                state = cut(settle(joined, objectives, size))
+                state = cut_small(settle(joined, objectives, size))
                 done += size
                 for c in stalled:
                     last_change[c] = done
