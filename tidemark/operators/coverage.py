@@ -125,17 +125,24 @@ def bitmap_sizes(bitmaps: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def union_coverage(cells: DataFrame, patterns: DataFrame, layout: Layout, keys: Sequence[str]) -> DataFrame:
-    """Cells (or rows) covered by at least one pattern."""
-    hit = cover_join(cells, patterns, layout).select(*keys).distinct()
-    return cells.join(hit, list(keys), "left_semi")
+def covered_shapes(rows: DataFrame, patterns: DataFrame, layout: Layout) -> DataFrame:
+    """Distinct mask combinations that occur in ``rows`` and that some pattern covers."""
+    return cover_join(rows.select(*layout.words).distinct(), patterns, layout).select(*layout.words).distinct()
 
 
-def uncovered_of_class(cells: DataFrame, patterns: DataFrame, layout: Layout, cls: str, keys: Sequence[str]) -> DataFrame:
-    """Cells (or rows) of one class that no pattern covers."""
-    own = cells.filter(F.col("class") == cls)
-    hit = cover_join(own, patterns, layout).select(*keys).distinct()
-    return own.join(hit, list(keys), "left_anti")
+def union_coverage(rows: DataFrame, patterns: DataFrame, layout: Layout) -> DataFrame:
+    """Rows (or cells) covered by at least one pattern.
+
+    Coverage depends on a row's masks only, so the distinct masks are tested and rows are kept by a semi
+    join on them: rows are not shuffled by an identity of their own, and a hot combination is tested once.
+    """
+    return rows.join(covered_shapes(rows, patterns, layout), layout.words, "left_semi")
+
+
+def uncovered_of_class(rows: DataFrame, patterns: DataFrame, layout: Layout, cls: str) -> DataFrame:
+    """Rows (or cells) of one class that no pattern covers."""
+    own = rows.filter(F.col("class") == cls)
+    return own.join(covered_shapes(own, patterns, layout), layout.words, "left_anti")
 
 
 def newly_covered(previous: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:

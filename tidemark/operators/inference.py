@@ -107,32 +107,34 @@ def grid_degrees(spark, output: Output) -> tuple[np.ndarray, dict[str, np.ndarra
     return table["x"].to_numpy(), {t: table[f"t{i}"].to_numpy() for i, t in enumerate(terms)}
 
 
-def _accumulate(kind: str, acc: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _accumulate(kind: str, acc: np.ndarray, y: np.ndarray) -> None:
+    """Fold one rule's curve into ``acc`` (in place; both are the same part of the grid)."""
     if kind == "max":
-        return np.maximum(acc, y, out=acc)
-    total = acc + y
-    if kind == "bounded_sum":
-        return np.minimum(1.0, total)
-    if kind == "normed_sum":
-        return total / np.maximum(1.0, total)
+        np.maximum(acc, y, out=acc)
+        return
     if kind == "probabilistic":
-        return total - acc * y
-    return total
+        acc += y - acc * y
+        return
+    acc += y
+    if kind == "bounded_sum":
+        np.minimum(1.0, acc, out=acc)
+    elif kind == "normed_sum":
+        acc /= np.maximum(1.0, acc)
 
 
 def _centre_of_area(values: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Two fronts move inwards, always the one with the smaller area so far; all rows step together."""
-    n, last = values.shape[0], values.shape[1] - 1
-    rows = np.arange(n)
-    low, high = np.zeros(n, dtype=int), np.full(n, last)
-    sum_low, sum_high = np.zeros(n), np.zeros(n)
-    for _ in range(last):
-        from_left = sum_low <= sum_high
-        low = np.where(from_left, low + 1, low)
-        high = np.where(from_left, high, high - 1)
-        sum_low = np.where(from_left, sum_low + values[rows, low], sum_low)
-        sum_high = np.where(from_left, sum_high, sum_high + values[rows, high])
-    return np.where(sum_low > 0, xs[low], np.nan)
+    """Where a sweep from both ends meets, if always the side with the smaller area so far moves (left on ties).
+
+    That is the first point whose left area exceeds everything to its right; the end points carry no area
+    until they are reached.
+    """
+    left = np.cumsum(values[:, 1:], axis=1)
+    right = np.zeros_like(left)
+    right[:, :-2] = np.cumsum(values[:, -2:1:-1], axis=1)[:, ::-1]
+    beyond = left > right
+    beyond[:, -1] = True
+    meet = beyond.argmax(axis=1)
+    return np.where(left[np.arange(len(values)), meet] > 0, xs[meet + 1], np.nan)
 
 
 def _defuzzify(method: str, values: np.ndarray, xs: np.ndarray) -> np.ndarray:
@@ -160,7 +162,11 @@ def continuous_output(spark, rules: RuleSet, output: str, columns: Sequence[str]
     parts = [(r, 1.0 - degrees[t] if negated else degrees[t]) for r, t, negated in rules.for_output(output)]
     used = sorted({r for r, _ in parts})
     slot = {r: k for k, r in enumerate(used)}
-    plan = [(slot[r], d) for r, d in parts]
+    plan = []
+    for r, degree in parts:
+        at = np.flatnonzero(degree)  # outside its support a term adds nothing, whatever the accumulation
+        if len(at):
+            plan.append((slot[r], slice(at[0], at[-1] + 1), degree[at[0] : at[-1] + 1]))
     method, kind, by_min = spec.method, spec.accumulate, rules.activation == "min"
 
     def score(*series: pd.Series) -> pd.Series:
@@ -169,10 +175,9 @@ def continuous_output(spark, rules: RuleSet, output: str, columns: Sequence[str]
         for start in range(0, len(given), ROWS_PER_STEP):
             part = given[start : start + ROWS_PER_STEP]
             acc = np.zeros((len(part), POINTS))
-            for k, degree in plan:
+            for k, where, degree in plan:
                 strength = part[:, [k]]
-                y = np.minimum(strength, degree) if by_min else strength * degree
-                acc = _accumulate(kind, acc, y)
+                _accumulate(kind, acc[:, where], np.minimum(strength, degree) if by_min else strength * degree)
             out[start : start + ROWS_PER_STEP] = _defuzzify(method, acc, xs)
         return pd.Series(out)
 

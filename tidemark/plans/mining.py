@@ -381,19 +381,19 @@ def _lifted_rows(spark, sf_dir):
 @query("union_coverage", LIFT_ROWS + SHOW_ROW + _hit("high"))
 def union_coverage(spark, sf_dir):
     rows, layout, high, _ = _lifted_rows(spark, sf_dir)
-    return cv.union_coverage(rows, high, layout, ROW_KEYS).select(*ROW_KEYS)
+    return cv.union_coverage(rows, high, layout).select(*ROW_KEYS)
 
 
 @query("uncovered_of_class", LIFT_ROWS + SHOW_ROW + f"r.class = 'low' AND NOT {_hit('high')}")
 def uncovered_of_class(spark, sf_dir):
     rows, layout, high, _ = _lifted_rows(spark, sf_dir)
-    return cv.uncovered_of_class(rows, high, layout, "low", ROW_KEYS).select(*ROW_KEYS)
+    return cv.uncovered_of_class(rows, high, layout, "low").select(*ROW_KEYS)
 
 
 @query("newly_covered", LIFT_ROWS + SHOW_ROW + f"{_hit('low')} AND NOT {_hit('high')}")
 def newly_covered(spark, sf_dir):
     rows, layout, high, low = _lifted_rows(spark, sf_dir)
-    before, after = (cv.union_coverage(rows, patterns, layout, ROW_KEYS) for patterns in (high, low))
+    before, after = (cv.union_coverage(rows, patterns, layout) for patterns in (high, low))
     return cv.newly_covered(before, after, ROW_KEYS)
 
 

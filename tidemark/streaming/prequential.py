@@ -11,11 +11,13 @@ from tidemark.functions.measures import REPORTED
 from tidemark.operators.contingency import evaluate_test
 from tidemark.operators.fuzzify import compressed_cube
 from tidemark.operators.profile import Layout
+from tidemark.session import cut
 
 
 def prequential_scores(rows: DataFrame, patterns: DataFrame, layout: Layout, batch: str = "batch_id") -> DataFrame:
     """Contingency and all measures per (batch, pattern), for the classes present in each batch."""
-    return evaluate_test(compressed_cube(rows, layout, [batch]), patterns, layout, by=[batch])
+    cells = cut(compressed_cube(rows, layout, [batch]))  # read for the class totals and for the patterns
+    return evaluate_test(cells, patterns, layout, by=[batch])
 
 
 def drift(scores: DataFrame, measure: str, threshold: float, batch: str = "batch_id") -> DataFrame:
