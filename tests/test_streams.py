@@ -75,6 +75,17 @@ def test_state_is_versioned_and_replays_give_the_same(spark, sf):
     assert {r["class"] for r in once.table(spark, "model").collect()} == {"high", "low"}
 
 
+def test_search_is_the_default_miner(spark, sf):
+    """Second batch: the old patterns open the population and the history rewards them."""
+    rows = line_rows(spark, sf).select("l_orderkey", *LINE_NUMERIC, "cls")
+    options = {"size": 9, "evaluations": 18}
+    loop = TestThenTrain(scratch_path(spark, "t"), LINE_NUMERIC, {}, "cls", confidence=1.01, history_batches=2, search_options=options)
+    loop.process(rows.filter("l_orderkey % 2 = 0"), 0)
+    loop.process(rows.filter("l_orderkey % 2 = 1"), 1)
+    assert {r["class"] for r in loop.table(spark, "model").filter("batch_id = 1").collect()} == {"high", "low"}
+    assert loop.table(spark, "history").count() == loop.table(spark, "scores").count() > 0
+
+
 def test_streaming_loop_stops(spark, sf):
     rows = line_rows(spark, sf).select("l_orderkey", "l_linenumber", *LINE_NUMERIC, "cls")
     target = scratch_path(spark, "loop")

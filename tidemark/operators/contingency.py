@@ -53,6 +53,8 @@ def contingency(
     patterns = patterns.drop("tp", "fp", "tn", "fn")  # counts from other data
     totals = class_totals(cells, by) if totals is None else totals
     counts = covered_counts(cells, patterns, layout, by, known_rows)
+    if known_rows is not None and not by:
+        counts = F.broadcast(counts)  # at most one row per pattern, and the caller knows how many there are
     if by:
         scored = patterns.join(totals, "class")
     else:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import draw_int
+from tidemark.functions.measures import MEASURES
 from tidemark.functions.sqltext import any_of, all_of, array
 from tidemark.operators.contingency import class_totals, contingency, evaluate
 from tidemark.operators.coverage import cover_join
@@ -36,14 +37,33 @@ def cut_small(df: DataFrame) -> DataFrame:
     return cut(df.coalesce(1))
 
 
-def _score(cells: DataFrame, candidates: DataFrame, layout: Layout, objectives: Sequence[str], totals: DataFrame, rows: int) -> DataFrame:
-    """Objective columns for every candidate row; equal candidates are counted once."""
+def _score(
+    cells: DataFrame,
+    candidates: DataFrame,
+    layout: Layout,
+    objectives: Sequence[str],
+    totals: DataFrame,
+    rows: int,
+    rewards: DataFrame | None = None,
+) -> DataFrame:
+    """Objective columns for every candidate row; equal candidates are counted once.
+
+    ``rewards`` (pattern_id, reward_<measure>) is what earlier batches add to a pattern met there.
+    """
     unique = candidates.select("pattern_id", "class", "masks").dropDuplicates(["pattern_id", "class"])
+    totals = F.broadcast(totals)  # one row per class searched
     widest = max(v.width for v in layout.variables)
     scored = evaluate(cells, unique, layout, objectives, known_rows=rows * widest, totals=totals)
+    if rewards is not None:
+        scored = scored.join(rewards, "pattern_id", "left").withColumns(
+            {
+                f"o{i}": F.expr(f"o{i} {'-' if MEASURES[m].smaller_is_better else '+'} coalesce(reward_{m}, 0D)")
+                for i, m in enumerate(objectives, 1)
+            }
+        )
     low = F.lit(float("-inf"))
     values = scored.select("pattern_id", "class", *[F.coalesce(o, low).alias(o) for o in _names(objectives)])
-    return candidates.join(values, ["pattern_id", "class"])
+    return candidates.join(F.broadcast(values), ["pattern_id", "class"])  # no more rows than candidates
 
 
 def crowding_of(values: np.ndarray) -> np.ndarray:
@@ -167,6 +187,11 @@ def covered_cells(cells: DataFrame, patterns: DataFrame, layout: Layout, known_r
     )
 
 
+def front_covered_cells(cells: DataFrame, population: DataFrame, layout: Layout) -> DataFrame:
+    """As ``covered_cells`` for the non-dominated patterns only (``front`` = 0)."""
+    return covered_cells(cells, population.filter("front = 0"), layout)
+
+
 def newly_covering_classes(previous: DataFrame, current: DataFrame) -> list[str]:
     """Classes whose population covers something it did not cover before."""
     fresh = current.join(previous, ["class", "cell"], "left_anti")
@@ -216,9 +241,13 @@ def search(
     p_mut: float = 0.1,
     reinit_pct: float = 0.25,
     previous: DataFrame | None = None,
+    rewards: DataFrame | None = None,
     check_every: int = 1,
 ) -> DataFrame:
-    """Archive of every class after the budget: (class, pattern_id, masks, objectives, crowding). ``size`` is a square."""
+    """Archive of every class after the budget: (class, pattern_id, masks, objectives, crowding). ``size`` is a square.
+
+    ``previous`` patterns of a class open its population; ``rewards`` are added to the objectives.
+    """
     spark = cells.sparkSession
     if math.isqrt(size) ** 2 != size:
         raise ValueError("population size must be a square")
@@ -226,7 +255,7 @@ def search(
     rows = size * len(classes)
     columns = _columns(objectives)
     names = _names(objectives)
-    start = _score(cells, seed_population(layout, classes, size, seed, spark, previous), layout, objectives, totals, rows)
+    start = _score(cells, seed_population(layout, classes, size, seed, spark, previous), layout, objectives, totals, rows, rewards)
     start = cut_small(start.select("class", "slot", "pattern_id", "masks", *names))
     state = cut_small(settle(_as_state(start, "pop", objectives).unionByName(_as_state(start, "arc", objectives)), objectives, size))
     covered = cut(covered_cells(cells, state.filter("kind = 'pop'"), layout, rows * max(v.width for v in layout.variables)))
@@ -238,12 +267,12 @@ def search(
         # Drawn children are written out before scoring: their long draw expressions would otherwise be
         # copied into every place the masks are read.
         drawn = cut_small(offspring(state, layout, size, seed, p_cross, p_mut))
-        children = _score(cells, drawn, layout, objectives, totals, rows).select(
+        children = _score(cells, drawn, layout, objectives, totals, rows, rewards).select(
             "class", "gen", "slot", "pattern_id", "masks", *names
         )
         parents = state.filter("kind = 'pop'")
         me = parents.select("class", "slot", *[F.col(c).alias(f"me_{c}") for c in ["pattern_id", "masks", *names]])
-        both = children.join(me, ["class", "slot"])
+        both = children.join(F.broadcast(me), ["class", "slot"])  # one row per cell and class
         stays = _dominates([f"me_{o}" for o in names], names)
         carried = ["pattern_id", "masks", *names]
         moved = both.selectExpr(
@@ -274,7 +303,7 @@ def search(
             stalled = needs_reinit(last_change, done, evaluations, reinit_pct)
             if stalled:
                 renewed = reinitialise(cells, pop, layout, stalled, size, seed + 1000 * generation + 500, 0.25)
-                renewed = _score(cells, cut_small(renewed), layout, objectives, totals, rows)
+                renewed = _score(cells, cut_small(renewed), layout, objectives, totals, rows, rewards)
                 kept = state.filter((F.col("kind") == "arc") | ~F.col("class").isin(stalled))
                 renewed = cut_small(renewed.select("class", "slot", "pattern_id", "masks", *names))
                 joined = (

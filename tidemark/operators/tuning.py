@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -111,10 +111,17 @@ def _prediction(df: DataFrame, rules: RuleSet, output: str, columns: Sequence[st
     return F.coalesce(value, F.lit(float(spec.default))) if spec.default is not None else value
 
 
-def tune_sweep(df: DataFrame, candidates: Sequence[RuleSet], targets: dict[str, str]) -> DataFrame:
+def squared(miss: Column) -> Column:
+    return miss * miss
+
+
+def tune_sweep(
+    df: DataFrame, candidates: Sequence[RuleSet], targets: dict[str, str], loss: Callable[[Column], Column] = squared
+) -> DataFrame:
     """(candidate, error): root of the summed squared error of each candidate rule set over the whole table.
 
-    ``targets`` maps outputs to the columns they should match (several outputs add up). Candidates are laid
+    ``targets`` maps outputs to the columns they should match (several outputs add up); ``loss`` may replace
+    the square of the difference by another Column of it. Candidates are laid
     out as columns, so the table is read once per 32 of them and only their sums are shuffled.
     """
     parts = None
@@ -130,7 +137,7 @@ def tune_sweep(df: DataFrame, candidates: Sequence[RuleSet], targets: dict[str,
         for i, rules in enumerate(group):
             for k, (output, target) in enumerate(targets.items()):
                 miss = _prediction(df, rules, output, names[i]) - F.col(target).cast("double")
-                squares.append((miss * miss).alias(f"__q{i}_{k}"))
+                squares.append(loss(miss).alias(f"__q{i}_{k}"))
         sums = staged.select(*squares).agg(
             *[
                 F.sqrt(sum((F.coalesce(F.sum(f"__q{i}_{k}"), F.lit(0.0)) for k in range(len(targets))), F.lit(0.0))).alias(f"__e{i}")

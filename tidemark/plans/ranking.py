@@ -310,6 +310,22 @@ def reference_association(spark, sf_dir):
     return made.select("pattern_id", "ref", r6("ref_distance").alias("ref_distance"))
 
 
+@query(
+    "front_coverage",
+    RANKED + " SELECT q.class, sum(r.n)::BIGINT AS n_rows FROM (SELECT DISTINCT class FROM ranked) q JOIN cells r ON "
+    f"EXISTS (SELECT 1 FROM ranked f WHERE f.front = 0 AND f.class = q.class AND {sql_covers('r', 'f')}) GROUP BY q.class",
+)
+def front_coverage(spark, sf_dir):
+    """Rows the non-dominated patterns of each class cover together."""
+    cells, layout = line_cube(spark, sf_dir)
+    cells = cut(cells)
+    made = cut(qm.with_measures(ct.enumerate_patterns(cells, layout, 2), OBJECTIVES))
+    ranked = cut(pa.pareto_rank(made, OBJECTIVES, ["class"]))
+    key = F.xxhash64(*layout.words, "class")
+    covered = se.front_covered_cells(cells, ranked, layout)
+    return covered.join(cells.select(key.alias("cell"), "n"), "cell").groupBy("class").agg(F.sum("n").alias("n_rows"))
+
+
 # ---- filters ------------------------------------------------------------------------------------
 
 LISTED = PAT + ", lst AS (SELECT *, row_number() OVER (ORDER BY class, pattern_id) - 1 AS pos FROM pat)"

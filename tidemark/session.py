@@ -20,6 +20,8 @@ def get_session(app: str = "tidemark", master: str | None = None, shuffle_partit
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # A search generation compiles about 80 pieces of code; the default cache of 100 would forget them in between.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         # Recording the call site of every Column costs more than most plans here.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.contingency import evaluate_test
 from tidemark.operators.fuzzify import compressed_cube, fit_numeric, selectors
 from tidemark.operators.profile import Layout, Variable, active_classes, numeric_bounds, widen_bounds
-from tidemark.operators.search import mine
+from tidemark.operators.search import DEFAULT_OBJECTIVES, mine
 from tidemark.session import cut
 from tidemark.sources.reports import summary_report
-from tidemark.streaming.prequential import classes_to_retrain, enqueue_history, replace_class_patterns
+from tidemark.streaming.prequential import classes_to_retrain, enqueue_history, history_reward, replace_class_patterns
 
 MODEL_COLUMNS = ("pattern_id", "class", "masks")
 
@@ -47,6 +47,7 @@ class TestThenTrain:
     support: float = 0.1
     history_batches: int = 0
     miner: Callable[[DataFrame, Layout, list[str]], DataFrame] | None = None
+    search_options: dict = field(default_factory=dict)
     max_rows: int | None = None
     max_empty: int = 10
     seen: int = field(default=0, init=False)
@@ -78,10 +79,12 @@ class TestThenTrain:
         variables = fit_numeric(bounds, self.labels) if self.numeric else []
         return Layout.of([*variables, *[Variable(c, domain=tuple(v)) for c, v in self.domains.items()]])
 
-    def _mine(self, cells: DataFrame, layout: Layout, classes: list[str]) -> DataFrame:
+    def _mine(self, cells: DataFrame, layout: Layout, classes: list[str], model, history) -> DataFrame:
+        """The given miner, or the search opened with the class's old patterns and rewarded by the history."""
         if self.miner is not None:
             return self.miner(cells, layout, classes)
-        return mine(cells, layout, classes=classes)
+        rewards = None if history is None else cut(history_reward(history, DEFAULT_OBJECTIVES))
+        return mine(cells, layout, classes=classes, previous=model, rewards=rewards, **self.search_options)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -99,6 +102,7 @@ class TestThenTrain:
             batch.unpersist()
         active = active_classes(cells, "class").withColumn("batch_id", F.lit(batch_id))
         model = self._before(spark, "model", batch_id)
+        history = None
         if model is None:
             classes = [r["class"] for r in active.select("class").orderBy("class").collect()]
         else:
@@ -111,12 +115,12 @@ class TestThenTrain:
             )
             if self.history_batches:
                 past = self._before(spark, "history", batch_id)
-                self._write(enqueue_history(past, scores, self.history_batches), "history", batch_id)
+                history = self._write(enqueue_history(past, scores, self.history_batches), "history", batch_id)
             flagged = classes_to_retrain(scores, active, self.confidence, self.support)
             classes = [r["class"] for r in flagged.select("class").orderBy("class").collect()]
         found = model
         if classes:
-            found = cut(self._mine(cells, layout, classes).select(*MODEL_COLUMNS))
+            found = cut(self._mine(cells, layout, classes, model, history).select(*MODEL_COLUMNS))
             if model is not None:
                 wanted = spark.createDataFrame([(c,) for c in classes], "class string")
                 found = replace_class_patterns(model, found, wanted)
