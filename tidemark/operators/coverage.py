@@ -16,6 +16,7 @@ from tidemark.functions.sqltext import all_of, any_of, array, case, long, name,
 from tidemark.operators.fuzzify import selectors_of
 from tidemark.operators.patterns import non_empty, participates, set_bits
 from tidemark.operators.profile import Layout
+from tidemark.session import cut
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
@@ -126,8 +127,14 @@ def bitmap_sizes(bitmaps: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def covered_shapes(rows: DataFrame, patterns: DataFrame, layout: Layout) -> DataFrame:
-    """Distinct mask combinations that occur in ``rows`` and that some pattern covers."""
-    return cover_join(rows.select(*layout.words).distinct(), patterns, layout).select(*layout.words).distinct()
+    """Distinct mask combinations that occur in ``rows`` and that some pattern covers.
+
+    Written out, so that its size is known, and marked for broadcast only within the budget; beyond it the
+    join with the rows is a shuffle join.
+    """
+    shapes = cut(cover_join(rows.select(*layout.words).distinct(), patterns, layout).select(*layout.words).distinct())
+    limit = BROADCAST_BYTES // (16 * (len(layout.words) + 8))
+    return F.broadcast(shapes) if shapes.limit(limit + 1).count() <= limit else shapes
 
 
 def union_coverage(rows: DataFrame, patterns: DataFrame, layout: Layout) -> DataFrame:

@@ -14,6 +14,7 @@ from tidemark.functions.sqltext import array, name, num, plus
 from tidemark.session import cut
 
 BLOCK = 4096  # objective vectors compared inside one task
+BROADCAST_VECTORS = 200_000  # a front up to this size is shipped to the rows it is matched with
 GROUP = "__group"
 
 
@@ -56,10 +57,9 @@ def _ranks_of(values: np.ndarray) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, objectives: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Distinct objective vectors per group: ties collapse before anything is compared."""
-    group = F.struct(*[F.col(c) for c in by]).cast("string") if by else F.lit("all")
-    picked = df.select(group.alias(GROUP), *[F.col(o).cast("double").alias(o) for o in objectives])
-    return picked.dropna().distinct()
+    """Group and objective vector of every row that has all objectives."""
+    picked = df.select(_group_column(by).alias(GROUP), *[F.col(o).cast("double").alias(o) for o in objectives])
+    return picked.dropna()
 
 
 def _group_column(by: Sequence[str]) -> Column:
@@ -70,13 +70,17 @@ def _schema(objectives: Sequence[str], *extra: str) -> str:
     return ", ".join([f"{GROUP} string", *[f"`{o}` double" for o in objectives], *extra])
 
 
-def _largest_group(vectors: DataFrame) -> int:
-    row = vectors.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return row[0] or 0
+def _group_sizes(vectors: DataFrame) -> tuple[int, int]:
+    """Vectors in the largest group, and in all."""
+    row = vectors.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return row[0] or 0, row[1] or 0
 
 
-def _front_vectors(vectors: DataFrame, objectives: Sequence[str]) -> DataFrame:
-    """Non-dominated vectors: each task keeps the front of what it sees, survivors then meet block by block."""
+def _front_vectors(vectors: DataFrame, objectives: Sequence[str]) -> tuple[DataFrame, int]:
+    """Distinct non-dominated vectors, and an upper limit of their number.
+
+    Each task keeps the front of what it sees, so only survivors are shuffled; they then meet block by block.
+    """
     names = list(objectives)
 
     def local_front(batches):
@@ -86,20 +90,22 @@ def _front_vectors(vectors: DataFrame, objectives: Sequence[str]) -> DataFrame:
                 values = part[names].to_numpy(dtype=float)
                 if group in fronts:
                     values = np.vstack([fronts[group], values])
+                values = np.unique(values, axis=0)  # equal vectors do not dominate each other
                 fronts[group] = values[_front_of(values)]
         for group, values in fronts.items():
             out = pd.DataFrame(values, columns=names)
             out.insert(0, GROUP, group)
             yield out
 
-    survivors = cut(vectors.mapInPandas(local_front, _schema(names)))
-    blocks = math.ceil(_largest_group(survivors) / BLOCK)
+    survivors = cut(vectors.mapInPandas(local_front, _schema(names)).distinct())
+    largest, total = _group_sizes(survivors)
+    blocks = math.ceil(largest / BLOCK)
     if blocks <= 1:
 
         def final_front(pdf):
             return pdf[_front_of(pdf[names].to_numpy(dtype=float))]
 
-        return survivors.groupBy(GROUP).applyInPandas(final_front, _schema(names))
+        return survivors.groupBy(GROUP).applyInPandas(final_front, _schema(names)), total
 
     # Too many survivors for one task: every pair of hash blocks is compared in a task of its own,
     # and a vector stays only if no block dominates it.
@@ -122,12 +128,14 @@ def _front_vectors(vectors: DataFrame, objectives: Sequence[str]) -> DataFrame:
     losers = (
         candidates.unionByName(rivals).groupBy(GROUP, "__block", "__other").applyInPandas(beaten, _schema(names)).distinct()
     )
-    return survivors.join(losers, [GROUP, *names], "left_anti")
+    return survivors.join(losers, [GROUP, *names], "left_anti"), total
 
 
 def pareto_front(df: DataFrame, objectives: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows no other row of their group dominates."""
-    front = _front_vectors(_vectors(df, objectives, by), objectives)
+    front, total = _front_vectors(_vectors(df, objectives, by), objectives)
+    if total <= BROADCAST_VECTORS:
+        front = F.broadcast(front)
     return (
         df.withColumn(GROUP, _group_column(by)).join(front, [GROUP, *objectives], "left_semi").drop(GROUP)
     )
@@ -136,8 +144,8 @@ def pareto_front(df: DataFrame, objectives: Sequence[str], by: Sequence[str] = (
 def pareto_rank(df: DataFrame, objectives: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Add ``front``: 0 for the non-dominated rows, 1 for those left when they are taken away, and so on."""
     names = list(objectives)
-    vectors = cut(_vectors(df, names, by))
-    if _largest_group(vectors) <= BLOCK:
+    vectors = cut(_vectors(df, names, by).distinct())
+    if _group_sizes(vectors)[0] <= BLOCK:
 
         def rank_group(pdf):
             return pdf.assign(front=_ranks_of(pdf[names].to_numpy(dtype=float)))
@@ -146,7 +154,7 @@ def pareto_rank(df: DataFrame, objectives: Sequence[str], by: Sequence[str] = ()
     else:
         rest, ranked, level = vectors, None, 0
         while not rest.isEmpty():
-            front = cut(_front_vectors(rest, names))
+            front = cut(_front_vectors(rest, names)[0])
             part = front.withColumn("front", F.lit(level))
             ranked = part if ranked is None else ranked.unionByName(part)
             rest = cut(rest.join(front, [GROUP, *names], "left_anti"))
