@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.sqltext import array, case
+from tidemark.functions.sqltext import array
 from tidemark.operators import fuzzify as fz
 from tidemark.operators.contingency import class_totals, enumerate_patterns
 from tidemark.operators.patterns import canonicalise, non_empty
@@ -74,8 +74,6 @@ def lift_patterns(cells: DataFrame, layout: Layout) -> DataFrame:
 
 def listed(patterns: DataFrame) -> DataFrame:
     """Pattern list with positions: by class, then id. The sets here are a few hundred rows at most."""
-    from pyspark.sql import Window
-
     return patterns.withColumn("pos", (F.row_number().over(Window.orderBy("class", "pattern_id")) - 1).cast("bigint"))
 
 

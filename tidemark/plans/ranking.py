@@ -8,13 +8,12 @@ from tidemark.functions import measures as qm
 from tidemark.functions import stats
 from tidemark.operators import contingency as ct
 from tidemark.operators import filters as fl
-from tidemark.operators import fuzzify as fz
 from tidemark.operators import generate as gn
 from tidemark.operators import pareto as pa
 from tidemark.operators import patterns as pt
 from tidemark.operators import search as se
 from tidemark.plans.datasets import (
-    LINE_NUMERIC, lift_patterns, line_cube, line_masks, line_patterns, line_rows, listed, sql_contingency, sql_covers, sql_lift,
+    lift_patterns, line_cube, line_masks, line_patterns, line_rows, listed, sql_contingency, sql_covers, sql_lift,
     sql_lines, sql_patterns,
 )
 from tidemark.plans.registry import load, query, r6, rounded

@@ -10,7 +10,7 @@ from tidemark.functions.connectors import ACCUMULATION, AND, DUAL, OR
 from tidemark.operators import inference as inf
 from tidemark.operators import tuning as tu
 from tidemark.plans.datasets import ROW_KEYS
-from tidemark.plans.registry import load, query, r6, rounded
+from tidemark.plans.registry import load, query, rounded
 
 KEY = ", ".join(ROW_KEYS)
 Q, D = "l_quantity", "l_discount"
