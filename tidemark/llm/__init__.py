@@ -1,9 +1,13 @@
 """Corpus operators for training data, their queries and the SQL these are checked against."""
 
-from tidemark.llm import line_dedup
+from tidemark.llm import licenses, line_dedup, outliers, private_data, toxicity
 
 _MODULES = {
+    "op1_outliers": outliers,
+    "op2_toxicity": toxicity,
+    "op6_licenses": licenses,
     "op7_line_dedup": line_dedup,
+    "op8_private_data": private_data,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
