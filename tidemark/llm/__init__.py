@@ -1,13 +1,18 @@
 """Corpus operators for training data, their queries and the SQL these are checked against."""
 
-from tidemark.llm import licenses, line_dedup, outliers, private_data, toxicity
+from tidemark.llm import chat_repair, decontaminate, jaccard_join, licenses, line_dedup, outliers, packing, private_data, suffix_dedup, toxicity
 
 _MODULES = {
     "op1_outliers": outliers,
     "op2_toxicity": toxicity,
+    "op3_suffix_dedup": suffix_dedup,
+    "op4_packing": packing,
+    "op5_decontaminate": decontaminate,
     "op6_licenses": licenses,
     "op7_line_dedup": line_dedup,
     "op8_private_data": private_data,
+    "op9_chat_repair": chat_repair,
+    "op10_jaccard_join": jaccard_join,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,25 @@ def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, items: int = 1 << 20, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a piece's list column holds about ``items`` entries (a longer list is a piece of its own) and
+    has at most ``rows`` rows: bounds the memory of what is computed from a piece."""
+    for batch in batches:
+        offsets = np.asarray(batch.column(column).offsets)
+        begin = 0
+        while begin < batch.num_rows:
+            end = int(np.searchsorted(offsets, offsets[begin] + items, side="right")) - 1
+            end = min(max(end, begin + 1), begin + rows, batch.num_rows)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of all lists and the offsets of each list among them."""
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    return np.asarray(column.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node of ``links``; a component is named by its smallest node.
 

@@ -1,12 +1,13 @@
 """License scans (operator 6): ordered signature rules behind a keyword prefilter, overlaps resolved by priority.
 
-A text becomes its lower-case words joined by single spaces. Keywords found in that string select the rules worth
-trying; a rule's places are word intervals. An interval that lies inside one of at least its priority is suppressed.
+A text becomes its lower-case words joined by single spaces. Keywords found in that string, and then a literal
+of each rule's own, select the rules worth trying; a rule's places are word intervals. An interval that lies inside one of at least its priority is suppressed.
 All of it happens inside the document's row with SQL functions: no shuffle, so no source or copy group can be hot.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,29 +19,29 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases of the base rules and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: License families: label, the name in words (a regex), its versions, its SPDX stem in words.
+#: License families: label, names in words (regexes), versions, SPDX stem in words.
 FAMILIES = [
-    ("apache", r"apache(?: software)?", ["1 0", "1 1", "2 0"], "apache"),
-    ("gpl", r"gnu (?:general public license|gpl)", ["1 0", "2 0", "3 0"], "gpl"),
-    ("lgpl", r"gnu (?:lesser|library)(?: general)? public license|gnu lgpl", ["2 0", "2 1", "3 0"], "lgpl"),
-    ("agpl", r"gnu affero general public license|gnu agpl", ["1 0", "3 0"], "agpl"),
-    ("mpl", r"mozilla public", ["1 0", "1 1", "2 0"], "mpl"),
-    ("epl", r"eclipse public", ["1 0", "2 0"], "epl"),
-    ("cddl", r"common development and distribution", ["1 0", "1 1"], "cddl"),
-    ("eupl", r"european union public", ["1 0", "1 1", "1 2"], "eupl"),
-    ("osl", r"open software", ["1 0", "2 0", "2 1", "3 0"], "osl"),
-    ("afl", r"academic free", ["1 1", "1 2", "2 0", "2 1", "3 0"], "afl"),
-    ("artistic", r"artistic", ["1 0", "2 0"], "artistic"),
-    ("bsl", r"boost software", ["1 0"], "bsl"),
-    ("lppl", r"latex project public", ["1 0", "1 1", "1 2", "1 3"], "lppl"),
-    ("gfdl", r"gnu free documentation", ["1 1", "1 2", "1 3"], "gfdl"),
-    ("cpl", r"common public", ["1 0"], "cpl"),
-    ("ms-pl", r"microsoft public", ["1 0"], "ms pl"),
-    ("php", r"php", ["3 0", "3 1"], "php"),
-    ("zpl", r"zope public", ["1 1", "2 0", "2 1"], "zpl"),
-    ("ofl", r"sil open font", ["1 0", "1 1"], "ofl"),
-    ("odbl", r"open database", ["1 0"], "odbl"),
-    ("busl", r"business source", ["1 0", "1 1"], "busl"),
+    ("apache", ["apache(?: software)?"], ["1 0", "1 1", "2 0"], "apache"),
+    ("gpl", ["gnu general public license", "gnu gpl"], ["1 0", "2 0", "3 0"], "gpl"),
+    ("lgpl", ["gnu lesser general public license", "gnu library general public license", "gnu lesser public license", "gnu lgpl"], ["2 0", "2 1", "3 0"], "lgpl"),
+    ("agpl", ["gnu affero general public license", "gnu agpl"], ["1 0", "3 0"], "agpl"),
+    ("mpl", ["mozilla public"], ["1 0", "1 1", "2 0"], "mpl"),
+    ("epl", ["eclipse public"], ["1 0", "2 0"], "epl"),
+    ("cddl", ["common development and distribution"], ["1 0", "1 1"], "cddl"),
+    ("eupl", ["european union public"], ["1 0", "1 1", "1 2"], "eupl"),
+    ("osl", ["open software"], ["1 0", "2 0", "2 1", "3 0"], "osl"),
+    ("afl", ["academic free"], ["1 1", "1 2", "2 0", "2 1", "3 0"], "afl"),
+    ("artistic", ["artistic"], ["1 0", "2 0"], "artistic"),
+    ("bsl", ["boost software"], ["1 0"], "bsl"),
+    ("lppl", ["latex project public"], ["1 0", "1 1", "1 2", "1 3"], "lppl"),
+    ("gfdl", ["gnu free documentation"], ["1 1", "1 2", "1 3"], "gfdl"),
+    ("cpl", ["common public"], ["1 0"], "cpl"),
+    ("ms-pl", ["microsoft public"], ["1 0"], "ms pl"),
+    ("php", ["php"], ["3 0", "3 1"], "php"),
+    ("zpl", ["zope public"], ["1 1", "2 0", "2 1"], "zpl"),
+    ("ofl", ["sil open font"], ["1 0", "1 1"], "ofl"),
+    ("odbl", ["open database"], ["1 0"], "odbl"),
+    ("busl", ["business source"], ["1 0", "1 1"], "busl"),
 ]
 #: Licenses that have no versions: label, phrases (regexes).
 PLAIN = {
@@ -68,28 +69,34 @@ CC_NAMES = {
     "by nd": "attribution no ?deriv(?:ative)?s?(?: works)?", "by nc sa": "attribution non ?commercial share ?alike",
     "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?",
 }
-#: A rule is tried only in texts that hold its keyword, a literal that each of its matches contains.
+#: A rule is tried only in texts that hold its keyword, a literal that each of its matches contains, and then its anchor,
+#: the longest such literal.
 KEYWORDS = [
     "licen", "copyright", " reserved", " cc ", "creative commons", "public domain", " gpl ", " spdx ", " gnu ", "warranty",
     "redistribution", "permission", "unencumbered", "proprietary", "unauthorized", "not for ", " cc0 ", "apache", "public license",
 ]
 
 
+def _titles(names: list[str]) -> list[tuple[str, str]]:
+    """(keyword, regex) of a family's names; a name that does not say license must be followed by it."""
+    return [(" gnu ", f"{n}(?: licen[cs]e)?") if n.startswith("gnu ") and n.split()[1] != "free" else ("licen", f"{n} licen[cs]e") for n in names]
+
+
 def rules() -> Iterator[tuple[str, str, str, int, float]]:
     """(keyword, regex over space-led words, label, priority 1..3, confidence) in order; later ties lose."""
-    for label, name, versions, spdx in FAMILIES:
-        gnu = name.startswith("gnu ")
-        gate, title = (" gnu ", f"(?:{name})(?: licen[cs]e)?") if gnu else ("licen", f"(?:{name}) licen[cs]e")
+    for label, names, versions, spdx in FAMILIES:
         for v in versions:
             major = v.split()[0]
             tail = f"{v}(?! [0-9])" if not v.endswith(" 0") else f"{major}(?: 0)?(?! [0-9])"
             slug = label if label in ("ms-pl",) else f"{label}-{v.replace(' ', '.')}"
-            yield "licen", rf" licen[cs]ed under (?:the |a )?(?:terms of (?:the )?)?{title} v(?:ersion)? ?{tail}", slug, 3, 1.0
-            yield gate, rf" {title} v(?:ersion)? ?{tail}", slug, 2, 0.95
+            for gate, title in _titles(names):
+                yield "licen", rf" licen[cs]ed under (?:the |a )?(?:terms of (?:the )?)?{title} v(?:ersion)? ?{tail}", slug, 3, 1.0
+                yield gate, rf" {title} v(?:ersion)? ?{tail}", slug, 2, 0.95
             yield " spdx ", rf" spdx license identifier {spdx} {tail}(?: only| or later)?", slug, 3, 1.0
             yield "licen", rf" {spdx} {v} licen[cs]e", slug, 2, 0.9
-        yield gate, rf" {title}", label, 1, 0.8
-        yield gate, rf" (?:released|licensed|distributed) under (?:the )?{title}", label, 2, 0.85
+        for gate, title in _titles(names):
+            yield gate, rf" {title}", label, 1, 0.8
+            yield gate, rf" (?:released|licensed|distributed) under (?:the )?{title}", label, 2, 0.85
     for part in CC_PARTS:
         slug = "cc-" + part.replace(" ", "-")
         for v in CC_VERSIONS:
@@ -108,10 +115,19 @@ def rules() -> Iterator[tuple[str, str, str, int, float]]:
         yield " spdx ", rf" spdx license identifier {label.replace('-', ' ')}", label, 3, 1.0
 
 
+def anchor(regex: str) -> str:
+    """The longest literal that each match of a rule contains: what is left between groups, classes and optional letters."""
+    rest = regex
+    while "(" in rest:
+        rest = re.sub(r"\([^()]*\)[?*+]?", "\0", rest)
+    rest = re.sub(r"\[[^\]]*\][?*+]?(\{\d+\})?|.\?", "\0", rest)
+    return max(rest.split("\0"), key=len)
+
+
 def _rule_array() -> Column:
     rows = [
         F.struct(
-            F.lit(k).alias("keyword"), F.lit(f"{regex}(?= )").alias("regex"), F.lit(label).alias("label"),
+            F.lit(k).alias("keyword"), F.lit(anchor(regex)).alias("anchor"), F.lit(f"{regex}(?= )").alias("regex"), F.lit(label).alias("label"),
             F.lit(priority).alias("priority"), F.lit(sure).alias("sure"), F.lit(i).alias("rule"),
         )
         for i, (k, regex, label, priority, sure) in enumerate(rules())
@@ -195,7 +211,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         hits = F.filter(F.array(*[F.lit(k) for k in KEYWORDS]), lambda k: F.contains(n, k))
 
         def detections(h: Column) -> Column:
-            tried = F.filter(_rule_array(), lambda r: F.array_contains(h, r["keyword"]))
+            tried = F.filter(_rule_array(), lambda r: F.array_contains(h, r["keyword"]) & F.contains(n, r["anchor"]))
             return _unsuppressed(F.flatten(F.transform(tried, lambda r: _places(n, r))))
 
         n_words = F.when(n == "  ", F.lit(0)).otherwise(F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) - 1)

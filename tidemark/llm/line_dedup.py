@@ -37,7 +37,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     Both ways give the same answer for any key, so the sketch decides the plan only.
     """
     keys = cut(_line_keys(docs, min_chars))
-    limit = int(1 / HOT_SHARE)
+    limit = max(int(1 / HOT_SHARE), 1)
     top = keys.agg(
         F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h1, {limit}, {8 * limit})").alias("top")
     ).first()
@@ -108,24 +108,23 @@ def kept_text(text: Column, keep: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """``docs`` with columns __keep (null: nothing dropped) and __n_lines; one shuffle of the texts by document."""
-    runs = drop_runs(docs, min_chars).withColumnsRenamed({"doc_id": "__doc", "text_id": "__text"})
-    return (
-        docs.withColumn("__text_id", F.xxhash64("text"))
-        .join(runs, (F.col("doc_id") == F.col("__doc")) & (F.col("__text_id") == F.col("__text")), "left")
-        .withColumn("__n_lines", F.size(_lines(F.col("text"))))
-        .withColumn("__keep", F.when(F.col("runs").isNotNull(), _keep(F.col("__n_lines"), F.col("runs"))))
-        .drop("__doc", "__text", "__text_id", "runs")
+    """(row, n_lines, keep) per row of ``docs``: the row as a struct and its bitmap (null: nothing is dropped). One shuffle of
+    the texts by document."""
+    runs = drop_runs(docs, min_chars)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_id"), F.size(_lines(F.col("text"))).alias("n_lines")
     )
+    joined = rows.join(runs, ["doc_id", "text_id"], "left")
+    return joined.select("row", "n_lines", F.when(F.col("runs").isNotNull(), _keep(F.col("n_lines"), F.col("runs"))).alias("keep"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    lost = F.aggregate(F.transform("__keep", lambda n, i: F.when(i % 2 == 1, n).otherwise(0)), F.lit(0), lambda s, n: s + n)
-    kept = F.when(F.col("__keep").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept_text(F.col("text"), F.col("__keep")))
+    lost = F.aggregate(F.transform("keep", lambda n, i: F.when(i % 2 == 1, n).otherwise(0)), F.lit(0), lambda s, n: s + n)
+    kept = F.when(F.col("keep").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(kept_text(F.col("row.text"), F.col("keep")))
     return marked.select(
-        "doc_id",
-        F.col("__n_lines").cast("bigint").alias("n_lines"),
+        "row.doc_id",
+        F.col("n_lines").cast("bigint").alias("n_lines"),
         F.coalesce(lost, F.lit(0)).cast("bigint").alias("n_dropped"),
         F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
     )

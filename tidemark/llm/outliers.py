@@ -9,8 +9,9 @@ narrow statistics table; the texts are read once.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import hashes, let, table, words
@@ -25,6 +26,8 @@ P = len(FEATURES)
 #: Values are rounded to this grid, so that exact percentiles need a bounded number of counters.
 GRID = 1024
 STARTS = 3
+#: Tables of one row per group (some 25 numbers) are broadcast up to this many groups, 10 MB; beyond, they are shuffled.
+FEW_GROUPS = 50_000
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -79,14 +82,14 @@ def statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     counted = docs.select(
-        "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
+        "doc_id", F.xxhash64("text").alias("text_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
         let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"))).alias("w"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_upper"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"),
     ).select(
-        "doc_id", "lang", "source", F.col("w.n_words").cast("bigint").alias("n_words"),
+        "doc_id", "text_id", "lang", "source", F.col("w.n_words").cast("bigint").alias("n_words"),
         F.col("word_chars").cast("bigint"), F.col("n_symbols").cast("bigint"), F.col("l.dup").cast("bigint").alias("n_dup_lines"),
         F.col("w.n_repeat_words").cast("bigint").alias("n_repeat_words"), F.col("l.n").alias("n_lines"), "n_upper",
     )
@@ -132,12 +135,9 @@ def _model_columns() -> list[str]:
 
 
 def _squared_distance(rows: DataFrame, models: DataFrame, keys: list[str], name: str = "d2") -> DataFrame:
-    """Mahalanobis distance of each row to its model, by forward substitution.
-
-    Models are one row per group; Spark broadcasts them below its size threshold and otherwise shuffles, splitting
-    a hot group where adaptive execution finds one. Rows are narrow (no texts).
-    """
-    out = rows.join(models.select(*keys, *_model_columns()), keys)
+    """Mahalanobis distance of each row to its model, by forward substitution. Where models are too many for a broadcast the
+    join shuffles the rows (narrow, no texts), and adaptive execution splits a hot group."""
+    out = rows.join(models, keys).drop("log_det")
     for i, f in enumerate(FEATURES):
         done = sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"y{i}", (F.col(f) - F.col(f"m{i}") - done) / F.col(f"l{i}_{i}"))
@@ -150,24 +150,40 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log(F.greatest(d2, F.lit(1e-6))) * 32)
 
 
-def robust_models(stats: DataFrame, keys: list[str], support: float = 0.75, max_steps: int = 12) -> DataFrame:
-    """One model per group: the best of the starts after concentration steps.
+def _hint(few: bool) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts tables of one row per group where the groups were counted and are at most ``FEW_GROUPS``."""
+    return F.broadcast if few else lambda df: df
+
+
+def _concentrated(rows: DataFrame, models: DataFrame, keys: list[str], support: float, few: bool) -> DataFrame:
+    """The next models: estimates from each group's ``support`` share of rows nearest to its present model."""
+    near = _squared_distance(rows, _hint(few)(models), keys).withColumn("__bin", _bin(F.col("d2")))
+    bounds = near.groupBy(*keys).agg(F.percentile("__bin", F.lit(support)).alias("__bound"))
+    inside = near.join(_hint(few)(bounds), keys).where(F.col("__bin") <= F.ceil("__bound"))
+    out = _estimate(inside, keys, F.lit(1.0))
+    return cut(out.coalesce(1) if few else out)
+
+
+def robust_models(stats: DataFrame, keys: list[str], support: float = 0.75, max_steps: int = 10, few: bool = False) -> DataFrame:
+    """One model per group: every start makes two concentration steps, the best of them goes on until no group's log
+    determinant falls by more than 1e-6 (``max_steps`` at most).
 
     Starts: all rows; the half nearest to the medians in median-absolute-deviation units; the half nearest by the
-    largest single deviation. Steps end when no group's best log determinant falls by more than 1e-6.
+    largest single deviation. ``few``: the groups fit a broadcast.
     """
+    hint = _hint(few)
     medians = stats.groupBy(*keys).agg(*[F.percentile(f, F.lit(0.5)).alias(f"med_{f}") for f in FEATURES])
-    off = stats.join(medians, keys).withColumns({f"dev_{f}": F.abs(F.col(f) - F.col(f"med_{f}")) for f in FEATURES})
+    off = stats.join(hint(medians), keys).withColumns({f"dev_{f}": F.abs(F.col(f) - F.col(f"med_{f}")) for f in FEATURES})
     mads = off.groupBy(*keys).agg(*[F.percentile(f"dev_{f}", F.lit(0.5)).alias(f"mad_{f}") for f in FEATURES])
     unit = [F.col(f"dev_{f}") / F.sqrt((1.4826 * F.col(f"mad_{f}")) ** 2 + floor**2) for f, floor in FEATURES.items()]
-    scored = off.join(mads, keys).withColumns(
+    scored = off.join(hint(mads), keys).withColumns(
         {"__euclid": _bin(sum((u * u for u in unit), F.lit(0.0))), "__largest": _bin(F.greatest(*unit))}
     )
     started = cut(scored.select(*keys, *FEATURES, "__euclid", "__largest"))
     halves = started.groupBy(*keys).agg(
         F.percentile("__euclid", F.lit(0.5)).alias("__half_e"), F.percentile("__largest", F.lit(0.5)).alias("__half_l")
     )
-    chosen = started.join(halves, keys).select(
+    chosen = started.join(hint(halves), keys).select(
         *keys, *FEATURES,
         F.explode(F.filter(
             F.array(F.lit(0), F.when(F.col("__euclid") <= F.col("__half_e"), 1), F.when(F.col("__largest") <= F.col("__half_l"), 2)),
@@ -176,19 +192,19 @@ def robust_models(stats: DataFrame, keys: list[str], support: float = 0.75, max_
     )
     both = [*keys, "start"]
     models = cut(_estimate(chosen, both, F.lit(1.0)))
-    rows = started.select(*keys, *FEATURES, F.explode(F.array(*[F.lit(i) for i in range(STARTS)])).alias("start"))
-    before = None
+    rows = started.select(*keys, *FEATURES)
+    tried = rows.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(STARTS)])))
+    for _ in range(2):
+        models = _concentrated(tried, models, both, support, few)
+    models = models.groupBy(*keys).agg(F.min_by(F.struct(*_model_columns(), "log_det"), F.struct("log_det", "start")).alias("m")).select(*keys, "m.*")
+    models = cut(models.coalesce(1) if few else models)
     for _ in range(max_steps):
-        near = _squared_distance(rows, models, both).withColumn("__bin", _bin(F.col("d2")))
-        bounds = near.groupBy(*both).agg(F.percentile("__bin", F.lit(support)).alias("__bound"))
-        inside = near.join(bounds, both).where(F.col("__bin") <= F.ceil("__bound"))
-        models = cut(_estimate(inside, both, F.lit(1.0)))
-        best = models.groupBy(*keys).agg(F.min("log_det").alias("d")).agg(F.sum("d").alias("all"), F.count("d").alias("n")).first()
-        if before is not None and not best["all"] < before - 1e-6 * max(best["n"], 1):
+        fresh = _concentrated(rows, models, keys, support, few)
+        moved = fresh.select(*keys, "log_det").join(hint(models.select(*keys, F.col("log_det").alias("was"))), keys)
+        models = fresh
+        if moved.where("log_det < was - 1e-6").limit(1).count() == 0:
             break
-        before = best["all"]
-    best = models.groupBy(*keys).agg(F.min_by(F.struct("start", *_model_columns()), F.struct("log_det", "start")).alias("m"))
-    return best.select(*keys, "m.*").drop("start")
+    return models.select(*keys, *_model_columns())
 
 
 def quality_verdicts(
@@ -206,25 +222,24 @@ def quality_verdicts(
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     stats = cut(statistics(docs).withColumn("base_failed", failed))
-    sizes = stats.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("__n"))
-    by_lang = sizes.withColumn("__small", F.when(F.col("__n") < min_group, F.col("__n")).otherwise(0)).groupBy("lang").agg(F.sum("__small").alias("__rest"))
-    groups = cut(sizes.join(by_lang, "lang").select(
-        "lang", "source",
-        F.when((F.col("__n") >= min_group) | (F.col("__rest") >= min_group), F.col("lang")).alias("g_lang"),
-        F.when(F.col("__n") >= min_group, F.col("source")).alias("g_source"),
-    ))
-    # Keys without nulls: a pool is named by a flag in front.
-    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("*"))
-    groups = groups.select("lang", "source", F.concat_ws("\x00", named(F.col("g_lang")), named(F.col("g_source"))).alias("grp"))
-    judged = cut(stats.where(~F.col("base_failed")).join(groups, ["lang", "source"]))
-    pools = judged.groupBy("grp").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min(min_group, 30))
-    models = robust_models(judged.join(pools, "grp").select("grp", *FEATURES), ["grp"], support)
+    sizes = stats.where("NOT base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("__n"))
+    small = F.when(F.col("__n") < min_group, F.col("__n")).otherwise(0)
+    rest = F.sum(small).over(Window.partitionBy("lang"))  # one row per source
+    own = F.col("__n") >= min_group
+    # A pool is named by "*" where a group has "=" and the value.
+    lang = F.when(own | (rest >= min_group), F.concat(F.lit("="), "lang")).otherwise("*")
+    groups = cut(sizes.select("lang", "source", "__n", F.concat_ws("\x00", lang, F.when(own, F.concat(F.lit("="), "source")).otherwise("*")).alias("grp")))
+    few = groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    pools = groups.groupBy("grp").agg((F.sum("__n") >= min(min_group, 30)).alias("__enough"))
+    named = cut(groups.join(pools, "grp").select("lang", "source", "grp", "__enough"))
+    judged = stats.where("NOT base_failed").join(_hint(few)(named), ["lang", "source"])
+    models = robust_models(judged.where("__enough").select("grp", *FEATURES), ["grp"], support, few=few)
     inner = _chi2_quantile(support, P)
     consistency = support / _chi2_cdf(inner, P + 2)
-    measured = _squared_distance(judged.join(pools.select("grp"), "grp"), models, ["grp"], "__d2").withColumn(
+    measured = _squared_distance(judged.where("__enough"), _hint(few)(models), ["grp"], "__d2").withColumn(
         "distance2", F.col("__d2") / consistency
     )
-    unjudged = judged.join(pools, "grp", "left_anti").withColumn("distance2", F.lit(None).cast("double"))
+    unjudged = judged.where("NOT __enough").withColumn("distance2", F.lit(None).cast("double"))
     rest = stats.where("base_failed").withColumn("distance2", F.lit(None).cast("double"))
     out = [*stats.columns, "distance2"]
     verdict = ~F.col("base_failed") & (F.col("distance2").isNull() | (F.col("distance2") <= _chi2_quantile(quantile, P)))

@@ -193,19 +193,19 @@ def identifiers(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def private_spans(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
-    """(base spans per kind, all spans in order): the method's spans are those that overlap no base span of their kind."""
+    """(base spans per kind, all spans in order): the method adds spans that reach beyond every base span of their kind."""
     base = identifiers(text or "")
     spans = [(k, a, b) for k in KINDS for a, b in base[k]]
     traced = deobfuscated(text) if text else None
     if traced is not None:
         for kind, places in identifiers(traced.text).items():
-            taken = sorted(base[kind])
+            taken = base[kind]
             k = 0
             for a, b in places:
                 source = min(traced.start[a:b]), max(traced.end[a:b])
-                while k < len(taken) and taken[k][1] <= source[0]:
+                while k < len(taken) and taken[k][1] < source[1]:
                     k += 1
-                if k == len(taken) or taken[k][0] >= source[1]:
+                if k == len(taken) or taken[k][0] > source[0]:
                     spans.append((kind, *source))
     return base, sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

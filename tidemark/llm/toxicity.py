@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import hashes, let, table
+from tidemark.llm.common import flat_lists, hashes, slices, table
 
 BITS = 20
 #: Bound on the labelled rows that a fit uses: those of the smallest id hashes, an even draw.
@@ -139,15 +139,13 @@ def score_severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            flat = np.asarray(lists.values).astype(np.int64)
-            ends = np.asarray(lists.offsets)
-            row = np.repeat(np.arange(len(lists)), np.diff(ends))
-            flat = flat[ends[0] : ends[-1]]
+        for batch in slices(batches, 1):
+            flat, ends = flat_lists(batch.column(1))
+            flat, n = flat.astype(np.int64), batch.num_rows
+            row = np.repeat(np.arange(n), np.diff(ends))
             hit = np.isin(flat, model.index)
             pairs = np.unique(row[hit] * np.int64(1 << BITS) + flat[hit])  # distinct features of weight per row
-            above = model.above_flat(pairs >> BITS, pairs & ((1 << BITS) - 1), len(lists))
+            above = model.above_flat(pairs >> BITS, pairs & ((1 << BITS) - 1), n)
             grade = (above > 0.5).sum(1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(grade.astype(np.int32)), pa.array(grade >= 1)],
