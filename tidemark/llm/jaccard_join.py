@@ -156,11 +156,11 @@ def signatures(token: np.ndarray, cls: np.ndarray, t: Threshold, level: int) ->
     singles = token[head][(cls[head] > 0) & (cls[head] < FREQUENT_CLASS)]
     pairs = []
     for lev in (level, level + 1):
-        g = t.groups(lev)
+        g, salt = t.groups(lev), np.uint64((lev * 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         reach = slice(0, n - need + 1 + g)
         often = token[reach][cls[reach] >= FREQUENT_CLASS]
         if g == 0:
-            pairs.append(mix(often + np.uint64(lev * 2 + 1) * np.uint64(0x9E3779B97F4A7C15)))
+            pairs.append(mix(often + salt))
             continue
         group = mix(often) % np.uint64(g)
         order = np.argsort(group, kind="stable")
@@ -170,7 +170,7 @@ def signatures(token: np.ndarray, cls: np.ndarray, t: Threshold, level: int) ->
             if not len(same):
                 break
             a, b = often[same], often[same + step]
-            pairs.append(mix(mix(np.minimum(a, b)) + np.maximum(a, b) + np.uint64(lev * 2 + 1) * np.uint64(0x9E3779B97F4A7C15)))
+            pairs.append(mix(mix(np.minimum(a, b)) + np.maximum(a, b) + salt))
     return singles, np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.uint64)
 
 
@@ -333,7 +333,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same by brute force: all shingles of all texts joined with themselves.
 ORACLE = rf"""
 WITH RECURSIVE split AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
