@@ -133,7 +133,7 @@ def wide(spark):
     return layout, cells, frame, patterns
 
 
-@pytest.mark.parametrize("budget", [cv.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("budget", [cv.BROADCAST_BYTES, 20_000])
 def test_cover_join_against_brute_force(wide, monkeypatch, budget):
     """Both the broadcast and the salted path, with several values per row and two-word domains."""
     monkeypatch.setattr(cv, "BROADCAST_BYTES", budget)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidemark.functions.sqltext import case, name, num
 
-AND = {
+PLAIN_AND = {
     "min": lambda a, b: f"least({a}, {b})",
     "product": lambda a, b: f"({a} * {b})",
     "bounded_difference": lambda a, b: f"greatest(0D, {a} + {b} - 1D)",
@@ -13,7 +13,7 @@ AND = {
     "hamacher": lambda a, b: case([(f"{a} = 0 AND {b} = 0", "0D")], f"({a} * {b}) / ({a} + {b} - {a} * {b})"),
 }
 
-OR = {
+PLAIN_OR = {
     "max": lambda a, b: f"greatest({a}, {b})",
     "probabilistic": lambda a, b: f"({a} + {b} - {a} * {b})",
     "bounded_sum": lambda a, b: f"least(1D, {a} + {b})",
@@ -22,6 +22,14 @@ OR = {
     "einstein": lambda a, b: f"(({a} + {b}) / (1D + {a} * {b}))",
 }
 
+def _null_if_any(join):
+    """``least`` and ``greatest`` skip nulls, and a case reads a null comparison as false: a missing degree must stay missing."""
+    return lambda a, b: f"if(isnull({a} + {b}), NULL, {join(a, b)})"
+
+
+AND = {k: _null_if_any(f) for k, f in PLAIN_AND.items()}
+OR = {k: _null_if_any(f) for k, f in PLAIN_OR.items()}
+
 # Choosing one connective fixes its dual.
 DUAL = {
     "min": "max",

@@ -85,10 +85,11 @@ FAMILIES = {
 
 
 def degree(x: str, family: str, params: Sequence) -> str:
+    """Degree of ``x``; a missing ``x`` (null or NaN) has none (null), whatever the family."""
     problem = check(family, params)
     if problem:
         raise ValueError(problem)
-    return FAMILIES[family](x, *params)
+    return f"if(isnan(coalesce({x}, {num(math.nan)})), NULL, {FAMILIES[family](x, *params)})"
 
 
 def check(family: str, params: Sequence) -> str | None:

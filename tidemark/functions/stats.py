@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +24,36 @@ def group_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     )
 
 
-def mean_confidence_interval(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """95 % interval: mean +- 0.1 for one value, Student t below 30 values, normal from 30 on."""
+def student_quantile(p: float, freedom: int) -> float:
+    """Quantile of Student's distribution, by bisecting its distribution function (a finite sum for whole degrees)."""
+
+    def below(t: float) -> float:
+        angle = math.atan(t / math.sqrt(freedom))
+        term = total = math.cos(angle) if freedom % 2 else 1.0
+        for k in range(3 if freedom % 2 else 2, freedom - 1, 2):
+            term *= math.cos(angle) ** 2 * (k - 1) / k
+            total += term
+        if freedom == 1:
+            return 0.5 + angle / math.pi
+        if freedom % 2:
+            return 0.5 + (angle + math.sin(angle) * total) / math.pi
+        return 0.5 + math.sin(angle) * total / 2
+
+    low, high = 0.0, 1e7
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle) < p else (low, middle)
+    return (low + high) / 2
+
+
+def mean_confidence_interval(df: DataFrame, value: str, by: list[str], level: float = 0.95) -> DataFrame:
+    """Interval of the given level: mean +- 0.1 for one value, Student t below 30 values, normal from 30 on."""
     n = F.col("n")
-    quantile = F.lit(NORMAL_95)
-    student = F.element_at(F.array(*[F.lit(q) for q in STUDENT_95]), (n - 1).cast("int"))
+    usual = level == 0.95
+    two_sided = 0.5 + level / 2
+    quantile = F.lit(NORMAL_95 if usual else NormalDist().inv_cdf(two_sided))
+    quantiles = STUDENT_95 if usual else [student_quantile(two_sided, k) for k in range(1, 29)]
+    student = F.element_at(F.array(*[F.lit(q) for q in quantiles]), (n - 1).cast("int"))
     half = (
         F.when(n == 1, F.lit(0.1))
         .when(n < 30, student * F.col("sd") / F.sqrt(n.cast("double")))

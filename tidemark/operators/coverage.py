@@ -8,6 +8,7 @@ equi-join on that value followed by a check of the other variables. No cross pro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ from tidemark.operators.profile import Layout
 from tidemark.session import cut
 
 BROADCAST_BYTES = 64 << 20
-SALTS = 32
 
 
 def covers_expr(layout: Layout, row: Sequence[str], pattern: Sequence[str]) -> str:
@@ -59,12 +59,17 @@ def filed_patterns(patterns: DataFrame, layout: Layout, keep: Sequence[str]) ->
     )
 
 
-def fits_broadcast(filed: DataFrame, layout: Layout, known_rows: int | None = None) -> bool:
-    """Whether the filed patterns stay under the broadcast budget; counts at most one row beyond it."""
-    limit = BROADCAST_BYTES // (16 * (2 * len(layout.words) + 8))
-    if known_rows is not None:
-        return known_rows <= limit
-    return filed.limit(limit + 1).count() <= limit
+def pattern_slices(filed: DataFrame, layout: Layout, known_rows: int | None = None) -> list[DataFrame]:
+    """The filed patterns in slices that each stay under the broadcast budget; one slice if they are known to be few."""
+    limit = max(BROADCAST_BYTES // (16 * (2 * len(layout.words) + 8)), 1)
+    if known_rows is not None and known_rows <= limit:
+        return [filed]
+    filed = cut(filed)
+    count = -(-filed.count() // limit)
+    if count <= 1:
+        return [filed]
+    part = F.pmod(F.xxhash64("pattern_id", "pattern_class", "sel"), F.lit(2 * count))  # half full on average
+    return [filed.filter(part == s) for s in range(2 * count)]
 
 
 def cover_join(
@@ -73,19 +78,14 @@ def cover_join(
     """Cells joined with every pattern covering them.
 
     Result: the cell columns, ``pattern_id``, ``pattern_class`` and the pattern columns named in ``keep``.
-    Small pattern sets are broadcast; larger ones are joined by shuffle, with cells salted because there
-    are only as many join values as selectors.
+    Patterns are broadcast, slice by slice if there are too many for one broadcast: cells are never shuffled (there are only
+    as many join values as selectors), each further slice is one more scan of them.
     """
     named = patterns.withColumnRenamed("class", "pattern_class")
     kept = ["pattern_id", "pattern_class", *keep]
     filed = filed_patterns(named, layout, kept)
     spread = cells.withColumn("sel", F.expr(f"explode({selectors_of(layout, layout.words)})"))
-    if fits_broadcast(filed, layout, known_rows):
-        joined = spread.join(F.broadcast(filed), "sel")
-    else:
-        salt = F.pmod(F.xxhash64(*cells.columns), F.lit(SALTS)).cast("int")
-        copies = filed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = spread.withColumn("__salt", salt).join(copies, ["sel", "__salt"])
+    joined = reduce(DataFrame.unionByName, [spread.join(F.broadcast(part), "sel") for part in pattern_slices(filed, layout, known_rows)])
     fresh = [f"({w} & b{i}) = 0" for i, w in enumerate(layout.words)]
     test = covers_expr(layout, layout.words, [f"p{i}" for i in range(len(layout.words))])
     return joined.filter(all_of([*fresh, test])).select(*cells.columns, *kept)

@@ -23,7 +23,8 @@ FILTERS: dict[str, Callable] = {}
 
 
 def register_filter(name: str, fn: Callable) -> Callable:
-    """Add a pattern-set filter; user filters are called like the built-in ones."""
+    """Add a pattern-set filter: a function of (cells, patterns, layout) that returns the patterns it keeps, with ``pos``,
+    ``pattern_id``, ``class``, ``masks`` and whatever else they had. ``mine(filters=[name])`` applies it."""
     FILTERS[name] = fn
     return fn
 
@@ -118,6 +119,8 @@ def coverage_ratio_filter(
     but a dropped earlier one still is: pattern j goes at its first winner i; a pattern i that loses
     to a later j goes unless j was gone before i's turn. That needs two aggregates, no sequential pass.
     """
+    if max_pct <= 0:
+        raise ValueError("max_pct must be above 0: only patterns that share a row are compared")
     if scored is None:
         scored = contingency(cells, patterns, layout)
     scored = cut(with_odds_interval(scored).withColumn("size", F.expr(n_elements(layout))))  # read four times below
@@ -202,4 +205,9 @@ def model_for_classes(model: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 register_filter("coverage_ratio", coverage_ratio_filter)
-register_filter("token_competition", token_competition)
+register_filter("token_competition", lambda cells, patterns, layout: token_competition(cells, patterns, layout).drop("rank"))
+register_filter(
+    "confidence",
+    lambda cells, patterns, layout: measure_threshold(contingency(cells, patterns, layout), "confidence", 0.6).select(*patterns.columns),
+)
+register_filter("drop_repeated", lambda cells, patterns, layout: drop_repeated(patterns))

@@ -23,6 +23,8 @@ def partition_table(bounds: DataFrame, labels: int = 3) -> DataFrame:
 
     Feet and centres within 1e-4 of zero or of the maximum snap to it; the two outer feet never do.
     """
+    if labels < 2:
+        raise ValueError("a partition needs at least two labels")
     j = F.col("label").cast("double")
     step = (F.col("max") - F.col("min")) / F.lit(float(labels - 1))
 
@@ -50,12 +52,19 @@ def partition_table(bounds: DataFrame, labels: int = 3) -> DataFrame:
     )
 
 
-def fit(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str] = (), labels: int = 3) -> Layout:
-    """Learn the variables of a table. Only column bounds and size-checked domains reach the driver."""
+def fit(
+    df: DataFrame, numeric: Sequence[str], nominal: Sequence[str] = (), labels: int = 3, max_domain: int | None = None
+) -> Layout:
+    """Learn the variables of a table. Only column bounds and the domains of nominal columns reach the driver.
+
+    ``max_domain`` makes a wider nominal column an error; None takes domains of any size. A numeric column without any
+    value gets one label, which all its rows carry.
+    """
     variables = fit_numeric(numeric_bounds(df, numeric), labels) if numeric else []
     if nominal:
         values = nominal_values(df, nominal).persist()
-        check_domain_sizes(values)
+        if max_domain is not None:
+            check_domain_sizes(values, max_domain)
         found: dict[str, list[str]] = {c: [] for c in nominal}
         for r in domain_table(values).orderBy("name", "idx").collect():
             found[r["name"]].append(r["value"])
@@ -68,8 +77,11 @@ def fit_numeric(bounds: DataFrame, labels: int) -> list[Variable]:
     feet: dict[int, list] = {}
     names: dict[int, str] = {}
     for r in partition_table(bounds, labels).orderBy("var", "label").collect():
-        feet.setdefault(r["var"], []).append((r["a"], r["b"], r["c"]))
         names[r["var"]] = r["name"]
+        if r["b"] is None:  # no value in the whole column
+            feet[r["var"]] = [(0.0, 0.0, 0.0)]
+        else:
+            feet.setdefault(r["var"], []).append((r["a"], r["b"], r["c"]))
     return [Variable(names[v], labels=tuple(feet[v])) for v in sorted(feet)]
 
 
@@ -144,8 +156,8 @@ def _with_position(df: DataFrame, variable: Variable, position: str) -> DataFram
     """Bring the domain position of a wide nominal column in by an equi-join with its value table."""
     rows = [(value, j) for j, value in enumerate(variable.domain)]
     table = df.sparkSession.createDataFrame(rows, f"__value string, `{position}` int")
-    # At most MAX_DOMAIN rows (checked when the domain was learnt), so shipping it is bounded.
-    return df.join(F.broadcast(table), df[variable.name].cast("string") == F.col("__value"), "left").drop("__value")
+    # The domain is part of the layout, held by the driver already; beyond a million values the join shuffles.
+    return df.join(F.broadcast(table) if len(rows) <= 1_000_000 else table, df[variable.name].cast("string") == F.col("__value"), "left").drop("__value")
 
 
 def selectors(

@@ -69,20 +69,28 @@ def oriented_patterns(layout: Layout, slots: DataFrame, seed: int, pct: float =
 def coverage_patterns(layout: Layout, rows: DataFrame, seed: int, pct: float = 0.25) -> DataFrame:
     """One pattern per given row (word columns, class, slot) that covers the row: 1..ceil(pct pairs)+1 of its values.
 
-    Variables are chosen first, then one value of each that covers the row, so the count is capped at V.
+    Variables are chosen first, then one value of each is drawn among those that cover the row, so the count is capped at V.
     """
     who = [*WHO, *layout.words]
     pairs = plus(f"bit_count({w})" for w in layout.words)
     most = f"int(least(ceil({pct}D * {pairs}) + 1, {len(layout.variables)}))"
     chosen = _some_variables(layout, draw_int("1", most, seed, "seeds", who), seed, "seed", who)
+    picks = []
+    for v in range(len(layout.variables)):
+        own = layout.words_of(v)
+        # The k-th of the values that cover the row, k drawn; counted through the variable's words.
+        k = draw_int("1", f"greatest({plus(f'bit_count(w{i})' for i in own)}, 1)", seed, f"value{v}", who)
+        picks.append(f"IF(array_contains(__chosen, {v}), {k}, 0)")
+    drawn = rows.withColumn("__chosen", F.expr(chosen)).withColumn("__picks", F.expr(array(picks)))
     masks = []
     for i, v in enumerate(layout.word_var):
-        earlier = [f"w{k} = 0" for k in layout.words_of(v) if k < i]
-        lowest = f"(w{i} & -w{i})"  # lowest value covering the row
-        masks.append(case([(all_of([f"array_contains(__chosen, {v})", *earlier]), lowest)], "0L"))
-    return canonicalise(
-        rows.withColumn("__chosen", F.expr(chosen)).withColumn("masks", F.expr(array(masks))).drop("__chosen"), layout
-    )
+        before = plus(["0", *[f"bit_count(w{j})" for j in layout.words_of(v) if j < i]])
+        left = f"(__picks[{v}] - ({before}))"
+        # Clearing the lowest value left - 1 times leaves the wanted one lowest.
+        rest = f"aggregate(sequence(1, {left} - 1, 1), w{i}, (m, x) -> m & (m - 1L))"
+        cleared = f"IF({left} > 1, {rest}, w{i})"
+        masks.append(f"IF({left} BETWEEN 1 AND bit_count(w{i}), {cleared} & -({cleared}), 0L)")
+    return canonicalise(drawn.withColumn("masks", F.expr(array(masks))).drop("__chosen", "__picks"), layout)
 
 
 def crossover(

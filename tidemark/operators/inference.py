@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import membership
-from tidemark.functions.connectors import ACCUMULATION, ACTIVATION, AND, DUAL, OR, arithmetic
+from tidemark.functions.connectors import ACCUMULATION, ACTIVATION, DUAL, PLAIN_AND, PLAIN_OR, arithmetic
 from tidemark.functions.sqltext import case, name, num
 
 POINTS = 1000
@@ -75,16 +75,28 @@ def with_disjunction(rules: RuleSet, disjunction: str) -> RuleSet:
     return replace(rules, conjunction=next(a for a, o in DUAL.items() if o == disjunction))
 
 
+def _inputs(tree: tuple) -> list[str]:
+    """Input columns that an antecedent reads, each once."""
+    kind, *rest = tree
+    return [rest[0]] if kind == "is" else list(dict.fromkeys(c for t in rest for c in _inputs(t)))
+
+
 def antecedent(rules: RuleSet, tree: tuple) -> str:
+    """Degree of an antecedent; null where any input that it reads is missing."""
+    missing = " OR ".join(f"isnan(coalesce(double({name(c)}), {num(float('nan'))}))" for c in _inputs(tree))
+    return f"if({missing}, NULL, {_degree(rules, tree)})"
+
+
+def _degree(rules: RuleSet, tree: tuple) -> str:
     kind, *rest = tree
     if kind == "is":
         column, term = rest
         family, params = rules.inputs[column][term]
         return membership.degree(f"double({name(column)})", family, params)
     if kind == "not":
-        return f"(1D - {antecedent(rules, rest[0])})"
-    join = AND[rules.conjunction] if kind == "and" else OR[rules.disjunction]
-    return reduce(join, [antecedent(rules, t) for t in rest])
+        return f"(1D - {_degree(rules, rest[0])})"
+    join = PLAIN_AND[rules.conjunction] if kind == "and" else PLAIN_OR[rules.disjunction]
+    return reduce(join, [_degree(rules, t) for t in rest])
 
 
 def strengths(rules: RuleSet) -> list[str]:
@@ -169,7 +181,8 @@ def continuous_output(spark, rules: RuleSet, output: str, columns: Sequence[str]
     method, kind, by_min = spec.method, spec.accumulate, rules.activation == "min"
 
     def score(*series: pd.Series) -> pd.Series:
-        given = np.stack([s.to_numpy(dtype=float) for s in series], axis=1)
+        # Rows of equal strengths have equal outputs; most batches hold few different ones.
+        given, back = np.unique(np.stack([s.to_numpy(dtype=float) for s in series], axis=1), axis=0, return_inverse=True)
         out = np.empty(len(given))
         for start in range(0, len(given), ROWS_PER_STEP):
             part = given[start : start + ROWS_PER_STEP]
@@ -178,14 +191,15 @@ def continuous_output(spark, rules: RuleSet, output: str, columns: Sequence[str]
                 strength = part[:, [k]]
                 _accumulate(kind, acc[:, where], np.minimum(strength, degree) if by_min else strength * degree)
             out[start : start + ROWS_PER_STEP] = _defuzzify(method, acc, xs)
-        return pd.Series(out)
+        out[np.isnan(given).any(axis=1)] = np.nan  # a rule of this output reads a missing input
+        return pd.Series(out[back.reshape(-1)])
 
     value = F.pandas_udf(score, "double")(*[F.col(columns[r]) for r in used])
     return F.when(~F.isnan(value), value)
 
 
 def discrete_output(rules: RuleSet, output: str, columns: Sequence[str]) -> str:
-    """Centre of gravity over single points: sum(x y) / sum(y), null when the heights sum to zero."""
+    """Centre of gravity over single points: sum(x y) / sum(y), null when the heights sum to zero or a strength is missing."""
     spec = rules.outputs[output]
     join, act = ACCUMULATION[spec.accumulate], ACTIVATION[rules.activation]
     heights: dict[str, str] = {}
@@ -201,7 +215,8 @@ def discrete_output(rules: RuleSet, output: str, columns: Sequence[str]) -> str:
             heights[x] = join(heights.get(x, "0D"), made)
     total = " + ".join(heights.values())
     weighted = " + ".join(f"{x} * {y}" for x, y in heights.items())
-    return case([(f"({total}) <> 0", f"({weighted}) / ({total})")])
+    known = " + ".join(f"`{columns[r]}`" for r in sorted({r for r, _, _ in rules.for_output(output)}))
+    return case([(f"isnotnull({known}) AND ({total}) <> 0", f"({weighted}) / ({total})")])
 
 
 def fuzzy_score(df: DataFrame, rules: RuleSet, keep: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 63  # values per BIGINT mask word, sign bit left alone
-MAX_DOMAIN = 4096  # beyond this a nominal column is an identifier, not something to describe patterns with
+LISTED = 4096  # widest domain that ``profile`` writes out as one string
 
 
 def numeric_bounds(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -46,8 +46,8 @@ def nominal_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def check_domain_sizes(values: DataFrame, max_domain: int = MAX_DOMAIN) -> dict[str, int]:
-    """Domain size per column; raises rather than dropping values when a column is too wide to describe."""
+def check_domain_sizes(values: DataFrame, max_domain: int) -> dict[str, int]:
+    """Domain size per column; raises rather than dropping values when a column is wider than the caller allows."""
     sizes = {r["name"]: r["size"] for r in values.groupBy("name").agg(F.count(F.lit(1)).alias("size")).collect()}
     wide = {c: n for c, n in sizes.items() if n > max_domain}
     if wide:
@@ -62,7 +62,11 @@ def domain_table(values: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str]) -> DataFrame:
-    """One row per column: kind, row count, bounds or domain (sorted, missing left out)."""
+    """One row per column: kind, row count, bounds or domain (sorted, missing left out).
+
+    Columns of any width are counted; a domain of more than ``LISTED`` values is not written out as one string
+    (null), ``nominal_values`` has its rows.
+    """
     empty = F.lit(None)
     parts = []
     if numeric:
@@ -73,11 +77,14 @@ def profile(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str]) -> Da
             )
         )
     if nominal:
-        values = nominal_values(df, nominal).persist()  # read twice: the size check, then the profile itself
-        check_domain_sizes(values)
+        values = nominal_values(df, nominal)
+        sizes = values.groupBy("name").agg(F.sum("n").alias("n_present"), F.count(F.lit(1)).alias("n_values"))
+        listed = (
+            values.join(F.broadcast(sizes.filter(F.col("n_values") <= LISTED).select("name")), "name")  # one row per column
+            .groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("v"))
+        )
         parts.append(
-            values.groupBy("name")
-            .agg(F.sum("n").alias("n_present"), F.count(F.lit(1)).alias("n_values"), F.sort_array(F.collect_list("value")).alias("v"))
+            sizes.join(listed, "name", "left")
             .select(
                 "name", F.lit("nominal").alias("kind"), "n_present",
                 empty.cast("double").alias("min"), empty.cast("double").alias("max"),

@@ -1,9 +1,11 @@
-"""Multi-objective cellular search. Population and archive are one DataFrame; a generation is one job for all classes."""
+"""Multi-objective cellular search. Population and archive (bounded by classes x size) are a local table; a generation scores
+the children of all classes in one job over the cells."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from tidemark.functions.measures import MEASURES
 from tidemark.functions.sqltext import any_of, all_of, array
 from tidemark.operators.contingency import class_totals, contingency, evaluate
 from tidemark.operators.coverage import cover_join
-from tidemark.operators.filters import coverage_ratio_filter
+from tidemark.operators.filters import FILTERS, coverage_ratio_filter
 from tidemark.operators.generate import coverage_patterns, crossover, mutate, oriented_patterns, slots_for
 from tidemark.operators.pareto import _ranks_of
 from tidemark.operators.patterns import EMPTY_ID, canonicalise
@@ -29,12 +31,11 @@ def _names(objectives: Sequence[str]) -> list[str]:
     return [f"o{i}" for i in range(1, len(objectives) + 1)]
 
 
-def cut_small(df: DataFrame) -> DataFrame:
-    """Write out a population-sized table as one partition, so joins and groupings on it need no shuffle.
-
-    Only for tables bounded by classes x population size, whatever the data size.
+def held(df: DataFrame) -> DataFrame:
+    """A population-sized table computed once and kept as a local relation: no later step computes it again, and joins on it
+    need no shuffle. Only for tables bounded by classes x population size, whatever the data size.
     """
-    return cut(df.coalesce(1))
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def _score(
@@ -84,26 +85,26 @@ def settle(state: DataFrame, objectives: Sequence[str], size: int) -> DataFrame:
     A class holds at most ``size`` population rows and 2 ``size`` archive candidates, whatever the data size.
     """
     names = _names(objectives)
-
-    def one_class(pdf: pd.DataFrame) -> pd.DataFrame:
-        pop = pdf[pdf["kind"] == "pop"].sort_values("slot")
-        values = pop[names].to_numpy(dtype=float)
-        fronts = _ranks_of(values)
-        crowd = np.zeros(len(pop))
-        for f in np.unique(fronts):
-            crowd[fronts == f] = crowding_of(values[fronts == f])
-        pop = pop.assign(front=fronts, crowding=crowd)
-        arc = pdf[(pdf["kind"] == "arc") & (pdf["pattern_id"] != EMPTY_ID)]
-        arc = arc.drop_duplicates("pattern_id").sort_values("pattern_id")
-        values = arc[names].to_numpy(dtype=float)
-        first = _ranks_of(values) == 0
-        arc, values = arc[first], values[first]
-        arc = arc.assign(front=0, crowding=crowding_of(values) if len(arc) else [])
-        arc = arc.sort_values(["crowding", "pattern_id"], ascending=[False, True], kind="stable").head(size)
-        arc = arc.assign(slot=np.arange(len(arc)))
-        return pd.concat([pop, arc])[list(pdf.columns)]
-
-    return state.groupBy("class").applyInPandas(one_class, state.schema)
+    return state.groupBy("class").applyInPandas(lambda pdf: _settle_class(pdf, names, size), state.schema)
+
+
+def _settle_class(pdf: pd.DataFrame, names: list[str], size: int) -> pd.DataFrame:
+    pop = pdf[pdf["kind"] == "pop"].sort_values("slot")
+    values = pop[names].to_numpy(dtype=float)
+    fronts = _ranks_of(values)
+    crowd = np.zeros(len(pop))
+    for f in np.unique(fronts):
+        crowd[fronts == f] = crowding_of(values[fronts == f])
+    pop = pop.assign(front=fronts, crowding=crowd)
+    arc = pdf[(pdf["kind"] == "arc") & (pdf["pattern_id"] != EMPTY_ID)]
+    arc = arc.drop_duplicates("pattern_id").sort_values("pattern_id")
+    values = arc[names].to_numpy(dtype=float)
+    first = _ranks_of(values) == 0
+    arc, values = arc[first], values[first]
+    arc = arc.assign(front=0, crowding=crowding_of(values) if len(arc) else [])
+    arc = arc.sort_values(["crowding", "pattern_id"], ascending=[False, True], kind="stable").head(size)
+    arc = arc.assign(slot=np.arange(len(arc)))
+    return pd.concat([pop, arc])[list(pdf.columns)]
 
 
 def neighbour(cell: str, side: int, seed: int, purpose: str, identity: Sequence[str]) -> str:
@@ -164,7 +165,10 @@ def _as_state(scored: DataFrame, kind: str, objectives: Sequence[str], gen: int
 def seed_population(
     layout: Layout, classes: Sequence[str], size: int, seed: int, spark, previous: DataFrame | None = None
 ) -> DataFrame:
-    """(class, slot, masks, pattern_id): earlier patterns of the class first, oriented random ones for the rest."""
+    """(class, slot, masks, pattern_id): earlier patterns of the class first, oriented random ones for the rest.
+
+    No earlier pattern is lost: those beyond ``size`` keep their place in the list (slot >= size).
+    """
     fresh = oriented_patterns(layout, slots_for(spark, classes, size), seed)
     if previous is None:
         return fresh
@@ -173,16 +177,18 @@ def seed_population(
         fresh.select("class", "masks", "pattern_id", F.lit(1).alias("age"), "slot")
     )
     place = F.row_number().over(Window.partitionBy("class").orderBy("age", "slot", "pattern_id")) - 1
-    return both.withColumn("slot", place).filter(F.col("slot") < size).select("class", "slot", "masks", "pattern_id")
+    return both.withColumn("slot", place).filter((F.col("slot") < size) | (F.col("age") == 0)).select("class", "slot", "masks", "pattern_id")
 
 
 def covered_cells(cells: DataFrame, patterns: DataFrame, layout: Layout, known_rows: int | None = None) -> DataFrame:
-    """(class, cell): cells each class's population covers; rows of one cell are covered together."""
+    """(class, words, cell_class): cells each class's population covers; rows of one cell are covered together.
+
+    A cell is named by its words and class, not by a hash of them.
+    """
     unique = patterns.select("pattern_id", "class", "masks").dropDuplicates(["pattern_id", "class"])
-    key = F.xxhash64(*[F.col(w) for w in layout.words], "class")
     return (
         cover_join(cells, unique, layout, known_rows=known_rows)
-        .select(F.col("pattern_class").alias("class"), key.alias("cell"))
+        .select(F.col("pattern_class").alias("class"), *layout.words, F.col("class").alias("cell_class"))
         .distinct()
     )
 
@@ -194,7 +200,7 @@ def front_covered_cells(cells: DataFrame, population: DataFrame, layout: Layout)
 
 def newly_covering_classes(previous: DataFrame, current: DataFrame) -> list[str]:
     """Classes whose population covers something it did not cover before."""
-    fresh = current.join(previous, ["class", "cell"], "left_anti")
+    fresh = current.join(previous, current.columns, "left_anti")
     return [r["class"] for r in fresh.select("class").distinct().collect()]
 
 
@@ -226,7 +232,8 @@ def reinitialise(
         .unionByName(fresh.select("class", "masks", "pattern_id", F.lit(2).alias("age"), "slot"))
     )
     place = F.row_number().over(Window.partitionBy("class").orderBy("age", "slot", "pattern_id")) - 1
-    return pool.withColumn("slot", place).filter(F.col("slot") < size).select("class", "slot", "masks", "pattern_id")
+    kept = pool.withColumn("slot", place).filter(F.col("slot") < size)
+    return kept.select("class", "slot", "masks", "pattern_id", (F.col("age") == 0).alias("survivor"))
 
 
 def search(
@@ -251,22 +258,31 @@ def search(
     spark = cells.sparkSession
     if math.isqrt(size) ** 2 != size:
         raise ValueError("population size must be a square")
-    totals = cut_small(class_totals(cells))
+    totals = held(class_totals(cells))
     rows = size * len(classes)
     columns = _columns(objectives)
     names = _names(objectives)
     start = _score(cells, seed_population(layout, classes, size, seed, spark, previous), layout, objectives, totals, rows, rewards)
-    start = cut_small(start.select("class", "slot", "pattern_id", "masks", *names))
-    state = cut_small(settle(_as_state(start, "pop", objectives).unionByName(_as_state(start, "arc", objectives)), objectives, size))
+    start = held(start.select("class", "slot", "pattern_id", "masks", *names))
+    opening = _as_state(start.filter(F.col("slot") < size), "pop", objectives).unionByName(_as_state(start, "arc", objectives))
+    schema = opening.schema
+
+    def settled(*parts: pd.DataFrame) -> tuple[pd.DataFrame, DataFrame]:
+        """Population and archive of all classes, as plain rows and as a local relation."""
+        together = pd.concat([p for p in parts if len(p)])
+        kept = pd.concat([_settle_class(own, names, size) for _, own in together.groupby("class", sort=True)])
+        return kept, spark.createDataFrame(kept, schema)
+
+    plain, state = settled(opening.toPandas())
     covered = cut(covered_cells(cells, state.filter("kind = 'pop'"), layout, rows * max(v.width for v in layout.variables)))
     done = size
     last_change = {c: done for c in classes}
     generation = 0
     while done < evaluations:
         generation += 1
-        # Drawn children are written out before scoring: their long draw expressions would otherwise be
+        # Drawn children are computed before scoring: their long draw expressions would otherwise be
         # copied into every place the masks are read.
-        drawn = cut_small(offspring(state, layout, size, seed, p_cross, p_mut))
+        drawn = held(offspring(state, layout, size, seed, p_cross, p_mut))
         children = _score(cells, drawn, layout, objectives, totals, rows, rewards).select(
             "class", "gen", "slot", "pattern_id", "masks", *names
         )
@@ -290,11 +306,11 @@ def search(
             .selectExpr("class", "gen", "slot", "e.*", "0 AS front", "0D AS crowding")
             .select(*columns)
         )
-        state = cut_small(settle(changed.unionByName(state.filter("kind = 'arc'")), objectives, size))
+        plain, state = settled(changed.toPandas(), plain[plain["kind"] == "arc"])
         done += size
         if generation % check_every == 0 and done < evaluations:
             pop = state.filter("kind = 'pop'")
-            now = cut(covered_cells(cells, pop, layout, rows * max(v.width for v in layout.variables)))
+            now = covered_cells(cells, pop, layout, rows * max(v.width for v in layout.variables))
             growing = newly_covering_classes(covered, now)
             for c in growing:
                 last_change[c] = done
@@ -303,19 +319,17 @@ def search(
             stalled = needs_reinit(last_change, done, evaluations, reinit_pct)
             if stalled:
                 renewed = reinitialise(cells, pop, layout, stalled, size, seed + 1000 * generation + 500, 0.25)
-                renewed = _score(cells, cut_small(renewed), layout, objectives, totals, rows, rewards)
-                kept = state.filter((F.col("kind") == "arc") | ~F.col("class").isin(stalled))
-                renewed = cut_small(renewed.select("class", "slot", "pattern_id", "masks", *names))
-                joined = (
-                    kept.unionByName(_as_state(renewed, "pop", objectives, generation)).unionByName(
-                        _as_state(renewed, "arc", objectives, generation)
-                    )
-                )
-                state = cut_small(settle(joined, objectives, size))
-                done += size
+                renewed = held(renewed)
+                survivors = renewed.filter("survivor")
+                renewed = _score(cells, renewed, layout, objectives, totals, rows, rewards)
+                renewed = held(renewed.select("class", "slot", "pattern_id", "masks", *names))
+                both = _as_state(renewed, "pop", objectives, generation).unionByName(_as_state(renewed, "arc", objectives, generation))
+                plain, state = settled(plain[(plain["kind"] == "arc") | ~plain["class"].isin(stalled)], both.toPandas())
+                # A renewed population is not charged to the budget, so every class has its whole one; what it is
+                # later compared with is the coverage of the patterns that survived.
                 for c in stalled:
                     last_change[c] = done
-                fresh = cut(covered_cells(cells, state.filter("kind = 'pop'"), layout, rows * max(v.width for v in layout.variables)))
+                fresh = cut(covered_cells(cells, survivors, layout, rows * max(v.width for v in layout.variables)))
                 covered = covered.filter(~F.col("class").isin(stalled)).unionByName(fresh.filter(F.col("class").isin(stalled)))
             covered = cut(covered) if growing or stalled else covered
     return state.filter("kind = 'arc'").select("class", "pattern_id", "masks", *names, "crowding")
@@ -327,14 +341,21 @@ def mine(
     objectives: Sequence[str] = DEFAULT_OBJECTIVES,
     classes: Sequence[str] | None = None,
     max_pct: float = 1.0,
+    filters: Sequence[str | Callable] = (),
     **options,
 ) -> DataFrame:
-    """The elite patterns of all classes: search, then the coverage-ratio filter. Adds tp, fp, tn, fn."""
+    """The elite patterns of all classes: search, then the filters in order. Adds tp, fp, tn, fn.
+
+    ``filters`` are registered names or functions of (cells, patterns, layout); none given means the coverage-ratio
+    filter with ``max_pct``.
+    """
     if classes is None:
         classes = [r["class"] for r in active_classes(cells, "class").select("class").orderBy("class").collect()]
     archive = search(cells, layout, classes, objectives, **options)
     listed = cut(
         archive.withColumn("pos", F.row_number().over(Window.orderBy("class", F.col("crowding").desc(), "pattern_id")) - 1)
     )  # the archives hold at most size rows per class
-    elite = coverage_ratio_filter(cells, listed, layout, max_pct).drop("pos", "crowding")
-    return contingency(cells, elite, layout)
+    elite = listed
+    for chosen in filters or [partial(coverage_ratio_filter, max_pct=max_pct)]:
+        elite = cut((FILTERS[chosen] if isinstance(chosen, str) else chosen)(cells, elite, layout).select(*listed.columns))
+    return contingency(cells, elite.drop("pos", "crowding"), layout)

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import membership
 from tidemark.operators.inference import CONTINUOUS, RuleSet, continuous_output, discrete_output, strengths
+from tidemark.session import cut
 
 CHUNK = 32  # candidates scored side by side in one pass
 STEPS_PER_RANGE = 1000.0
 WEIGHT_STEP = 0.01
 FLAT = 1e-7
 LINE_STEPS = 20
+ITERATIONS = 100  # at most; every method stops before when an iteration changes nothing
+WEIGHT = "__weight"
 
 
 @dataclass(frozen=True)
@@ -111,6 +114,22 @@ def _prediction(df: DataFrame, rules: RuleSet, output: str, columns: Sequence[st
     return F.coalesce(value, F.lit(float(spec.default))) if spec.default is not None else value
 
 
+def _tree_columns(tree) -> list[str]:
+    if isinstance(tree, str):
+        return [tree]
+    return [c for t in tree[1:] for c in _tree_columns(t)] if isinstance(tree, tuple) else []
+
+
+def distinct_rows(df: DataFrame, rules: RuleSet, targets: dict[str, str]) -> DataFrame:
+    """The different combinations of what the rules read and the targets, with their number of rows, written out once.
+
+    Every step of a tuning then reads this table in place of the input.
+    """
+    formulas = [t for o in rules.outputs.values() if o.method == "cogf" for t in o.terms.values()]
+    columns = [*rules.inputs, *targets.values(), *(c for t in formulas for c in _tree_columns(t))]
+    return cut(df.groupBy(*dict.fromkeys(columns)).agg(F.count(F.lit(1)).alias(WEIGHT)))
+
+
 def squared(miss: Column) -> Column:
     return miss * miss
 
@@ -122,8 +141,10 @@ def tune_sweep(
 
     ``targets`` maps outputs to the columns they should match (several outputs add up); ``loss`` may replace
     the square of the difference by another Column of it. Candidates are laid
-    out as columns, so the table is read once per 32 of them and only their sums are shuffled.
+    out as columns, so the table is read once per 32 of them and only their sums are shuffled. Rows of ``distinct_rows`` count
+    as often as they stood in the table.
     """
+    weight = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1)
     parts = None
     for start in range(0, len(candidates), CHUNK):
         group = candidates[start : start + CHUNK]
@@ -137,7 +158,7 @@ def tune_sweep(
         for i, rules in enumerate(group):
             for k, (output, target) in enumerate(targets.items()):
                 miss = _prediction(df, rules, output, names[i]) - F.col(target).cast("double")
-                squares.append(loss(miss).alias(f"__q{i}_{k}"))
+                squares.append((loss(miss) * weight).alias(f"__q{i}_{k}"))
         sums = staged.select(*squares).agg(
             *[
                 F.sqrt(sum((F.coalesce(F.sum(f"__q{i}_{k}"), F.lit(0.0)) for k in range(len(targets))), F.lit(0.0))).alias(f"__e{i}")
@@ -162,9 +183,10 @@ def errors_of(df: DataFrame, candidates: Sequence[RuleSet], targets: dict[str, s
 
 
 def delta_jump(
-    df: DataFrame, rules: RuleSet, targets: dict[str, str], params: Sequence[Parameter], iterations: int = 1
+    df: DataFrame, rules: RuleSet, targets: dict[str, str], params: Sequence[Parameter], iterations: int = ITERATIONS
 ) -> tuple[RuleSet, list[float]]:
     """Move one parameter at a time by +-step, doubling while the error keeps falling. Returns errors per move."""
+    df = distinct_rows(df, rules, targets)
     limits, error = rules, errors_of(df, [rules], targets)[0]
     trace = [error]
     for _ in range(iterations):
@@ -222,12 +244,14 @@ def _line(df, targets, candidates, rules, error):
 
 
 def coordinate_descent(
-    df: DataFrame, rules: RuleSet, targets: dict[str, str], params: Sequence[Parameter], iterations: int = 1
+    df: DataFrame, rules: RuleSet, targets: dict[str, str], params: Sequence[Parameter], iterations: int = ITERATIONS
 ) -> tuple[RuleSet, list[float]]:
     """Step down the partial derivative of each parameter in turn; step halves until the error falls (<= 20)."""
+    df = distinct_rows(df, rules, targets)
     limits, error = rules, errors_of(df, [rules], targets)[0]
     trace = [error]
     for _ in range(iterations):
+        at_start = error
         for p in params:
             slope = _slopes(df, rules, targets, [p], limits, error)[0]
             if abs(slope) <= FLAT:
@@ -236,16 +260,20 @@ def coordinate_descent(
             line = [with_value(rules, p, value - slope * 0.5**k, limits) for k in range(LINE_STEPS)]
             rules, error = _line(df, targets, line, rules, error)
             trace.append(error)
+        if error >= at_start:
+            break
     return rules, trace
 
 
 def gradient_descent(
-    df: DataFrame, rules: RuleSet, targets: dict[str, str], params: Sequence[Parameter], iterations: int = 1
+    df: DataFrame, rules: RuleSet, targets: dict[str, str], params: Sequence[Parameter], iterations: int = ITERATIONS
 ) -> tuple[RuleSet, list[float]]:
     """Step all parameters along the negative gradient; stop when its squared norm is at most 1e-7."""
+    df = distinct_rows(df, rules, targets)
     limits, error = rules, errors_of(df, [rules], targets)[0]
     trace = [error]
     for _ in range(iterations):
+        at_start = error
         slopes = _slopes(df, rules, targets, params, limits, error)
         if sum(s * s for s in slopes) <= FLAT:
             break
@@ -258,4 +286,6 @@ def gradient_descent(
             line.append(moved)
         rules, error = _line(df, targets, line, rules, error)
         trace.append(error)
+        if error >= at_start:
+            break
     return rules, trace

@@ -248,6 +248,20 @@ for _name in QUANTITY_TERMS:
     _family(_name)
 
 
+@query(
+    "families_missing",
+    "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"CASE WHEN l_orderkey % 17 > 1 THEN round(({FAMILY_SQL[f]})::DOUBLE, 6) END AS {f}" for f in QUANTITY_TERMS)
+    + " FROM lineitem",
+)
+def families_missing(spark, sf_dir):
+    """Every family where a part of the quantities is null and another NaN: neither has a degree."""
+    holes = "CASE WHEN l_orderkey % 17 > 1 THEN l_quantity WHEN l_orderkey % 17 = 1 THEN double('NaN') END"
+    rows = load(spark, sf_dir, "lineitem").withColumn("l_quantity", F.expr(holes))
+    made = fz.fuzzify(rows, [("l_quantity", f, f, p) for f, p in QUANTITY_TERMS.items()], keep=KEYS)
+    return made.select(*KEYS, *[r6(f"l_quantity_{f}").alias(f) for f in QUANTITY_TERMS])
+
+
 @query(
     "fuzzify",
     "SELECT l_orderkey, l_linenumber, "

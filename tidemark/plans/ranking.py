@@ -320,9 +320,9 @@ def front_coverage(spark, sf_dir):
     cells = cut(cells)
     made = cut(qm.with_measures(ct.enumerate_patterns(cells, layout, 2), OBJECTIVES))
     ranked = cut(pa.pareto_rank(made, OBJECTIVES, ["class"]))
-    key = F.xxhash64(*layout.words, "class")
     covered = se.front_covered_cells(cells, ranked, layout)
-    return covered.join(cells.select(key.alias("cell"), "n"), "cell").groupBy("class").agg(F.sum("n").alias("n_rows"))
+    named = cells.withColumnRenamed("class", "cell_class").select(*layout.words, "cell_class", "n")
+    return covered.join(named, [*layout.words, "cell_class"]).groupBy("class").agg(F.sum("n").alias("n_rows"))
 
 
 # ---- filters ------------------------------------------------------------------------------------
@@ -489,4 +489,4 @@ def reinitialise(spark, sf_dir):
     cells, layout = line_cube(spark, sf_dir)
     cells = cut(cells)
     pop = cut(gn.oriented_patterns(layout, gn.slots_for(spark, ["high", "low"], 49), 11))
-    return se.reinitialise(cells, pop, layout, ["high", "low"], 49, 17).drop("masks")
+    return se.reinitialise(cells, pop, layout, ["high", "low"], 49, 17).drop("masks", "survivor")

@@ -243,6 +243,52 @@ def fuzzy_score(spark, sf_dir):
     return rounded(made, ["care", "risk"])
 
 
+MISSING = "l_orderkey % 17 = 0"
+
+
+def _rows_missing(spark, sf_dir):
+    """Line items where every 17th quantity is missing."""
+    return _rows(spark, sf_dir).withColumn(Q, F.expr(f"CASE WHEN NOT ({MISSING}) THEN {Q} END"))
+
+
+@query(
+    "fuzzy_score_missing",
+    _strengths() + GRID + _shape("min", "max")
+    + f", val AS (SELECT {Q}, {D}, CASE WHEN sum(y) > 0 THEN sum(x * y) / sum(y) END AS v FROM shape GROUP BY ALL), "
+    f"rk AS (SELECT {Q}, {D}, CASE WHEN s0 + s2 <> 0 THEN (1 * s0 + 9 * s2) / (s0 + s2) END AS r FROM st), "
+    f"hd AS (SELECT {D}, max({DH}) AS h FROM dg GROUP BY {D}) "
+    f"SELECT {', '.join(f'l.{k}' for k in ROW_KEYS)}, CASE WHEN {MISSING} THEN 0 ELSE round(coalesce(v, 0), 6) END AS care, "
+    f"CASE WHEN NOT ({MISSING}) THEN round(r, 6) END AS risk, CASE WHEN h <> 0 THEN 7::DOUBLE END AS price "
+    f"FROM lineitem l JOIN val USING ({Q}, {D}) JOIN rk USING ({Q}, {D}) JOIN hd USING ({D})",
+)
+def fuzzy_score_missing(spark, sf_dir):
+    """A rule that reads a missing input has no strength, an output with such a rule no value: its default or null."""
+    base = rule_set()
+    singles = {"low": ("singleton", (1.0,)), "high": ("singleton", (9.0,))}
+    outputs = {**base.outputs, "risk": inf.Output(singles, "cogs"), "price": inf.Output({"cut": ("singleton", (7.0,))}, "cogs")}
+    extra = (
+        replace(RULES[0], then=(("care", "little"), ("risk", "low"))),
+        RULES[1],
+        replace(RULES[2], then=(("care", "much"), ("risk", "high"))),
+        inf.Rule(("is", D, "high"), (("price", "cut"),)),
+    )
+    made = inf.fuzzy_score(_rows_missing(spark, sf_dir), replace(base, outputs=outputs, rules=extra), ROW_KEYS)
+    return rounded(made, ["care", "risk", "price"])
+
+
+@query(
+    "rule_firing_missing",
+    _strengths() + " " + " UNION ALL ".join(
+        f"SELECT {', '.join(f'l.{k}' for k in ROW_KEYS)}, {i} AS rule, CASE WHEN NOT ({MISSING}) THEN round(s{i}, 6) END AS strength FROM lineitem l JOIN st USING ({Q}, {D})"
+        for i in range(3)
+    )
+    + f" UNION ALL SELECT {', '.join(f'l.{k}' for k in ROW_KEYS)}, 3 AS rule, round(1 - {DH}, 6) AS strength FROM lineitem l JOIN dg USING ({Q}, {D})",
+)
+def rule_firing_missing(spark, sf_dir):
+    rules = rule_set(rules=(*RULES, inf.Rule(("not", ("is", D, "high")), (("care", "little"),))))
+    return rounded(inf.rule_firing(_rows_missing(spark, sf_dir), rules, ROW_KEYS), ["strength"])
+
+
 @query(
     "rule_firing",
     _strengths() + " " + " UNION ALL ".join(f"SELECT {', '.join(f'l.{k}' for k in ROW_KEYS)}, {i} AS rule, round(s{i}, 6) AS strength FROM lineitem l JOIN st USING ({Q}, {D})" for i in range(3)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -24,10 +25,21 @@ MODEL_COLUMNS = ("pattern_id", "class", "masks")
 def _read_version(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
+def trigger_seconds(trigger: dict | None) -> float | None:
+    """Seconds between triggers of ``processingTime``, None for the other kinds."""
+    text = (trigger or {}).get("processingTime")
+    if not text:
+        return None
+    number, unit = re.fullmatch(r"\s*([\d.]+)\s*([a-z]+?)s?\s*", text).groups()
+    return float(number) * {"millisecond": 0.001, "second": 1, "minute": 60, "hour": 3600}[unit]
+
+
 @dataclass
 class TestThenTrain:
     """State is three small tables under ``state_dir`` (bounds, model, history), one folder per batch id.
@@ -92,10 +104,12 @@ class TestThenTrain:
         batch = batch.persist()
         try:
             n = batch.count()
-            self.seen += n
-            self.empty = 0 if n else self.empty + 1
             if not n:
+                self.empty += 1
                 return
+            self.empty = 0
+            self._write(spark.createDataFrame([(n,)], "n bigint"), "seen", batch_id)
+            self.seen = self._seen(spark)
             layout = self.layout(self._bounds(batch, batch_id))
             cells = cut(compressed_cube(selectors(batch, layout, self.class_col), layout))
         finally:
@@ -128,6 +142,11 @@ class TestThenTrain:
         if model is not None:
             self._write(summary_report(scores, layout, exec_ms=1000.0 * (time.time() - started)), "summary", batch_id)
 
+    def _seen(self, spark: SparkSession) -> int:
+        """Rows of all batches written so far; a restart goes on counting where the last run stopped."""
+        stored = _read_version(spark, f"{self.state_dir.rstrip('/')}/seen")
+        return 0 if stored is None else int(stored.agg(F.sum("n")).first()[0] or 0)
+
     def start(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None):
         return (
             stream.writeStream.foreachBatch(self.process)
@@ -137,10 +156,22 @@ class TestThenTrain:
         )
 
     def run(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> None:
-        """Run until the input ends, ``max_rows`` were seen, or ``max_empty`` batches in a row were empty."""
+        """Run until the input ends, ``max_rows`` were seen, or ``max_empty`` triggers in a row brought nothing.
+
+        A trigger without data calls no batch function, so with a trigger interval the idle intervals are counted here.
+        """
+        self.seen = self._seen(stream.sparkSession)
+        interval = trigger_seconds(trigger)
         query = self.start(stream, checkpoint, trigger)
+        busy, batch = time.time(), None
         try:
             while query.isActive and not query.awaitTermination(0.2):
+                last = query.lastProgress
+                now = (last["batchId"] if last else None, self.seen)
+                if now != batch or query.status["isTriggerActive"]:
+                    busy, batch = time.time(), now
+                if interval is not None:
+                    self.empty = int((time.time() - busy) / interval)
                 if (self.max_rows is not None and self.seen >= self.max_rows) or self.empty >= self.max_empty:
                     break
         finally:
