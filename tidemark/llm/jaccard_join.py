@@ -1,14 +1,15 @@
 """N-gram Jaccard join (operator 10): token-combination prefixes, exact verification, connected components.
 
 Tokens are hashed word shingles, ordered by document frequency class and then by hash. Let a set of n tokens need at least
-a common ones with any partner. The j-th common token of a pair stands among the first n - a + j tokens of both.
+a common ones with any partner. The first common token of a pair stands among the first n - a + 1 tokens of both.
 
-* If the first common token is rare, both sets hold it in their first n - a + 1 tokens: rare tokens of that prefix are
-  indexed one by one. Tokens of one document only are rarest of all and need no entry, which leaves most texts without any.
-* Otherwise the first j common tokens are all frequent. Frequent tokens are dealt into G groups by hash; with j = G + 1 two
-  of them fall into one group, so pairs within a group, over the prefix extended by G tokens, are indexed. G grows with
-  the size of the set, so the number of pairs stays in proportion to it. Sets of one size level and the next meet under the
-  larger level's G.
+* If that token is rare, it is an index entry of both sets: rare tokens of the prefix are indexed one by one. Tokens of one
+  document only are rarest of all and need no entry, which leaves most texts without any.
+* If it is frequent, both sets have frequent tokens in their prefixes. Such sets extend the prefix to all their tokens, deal
+  them into G hash classes and index the combination of the tokens of each class. Linked sets differ in at most e tokens, which
+  spoil at most e classes, so with more than e classes in use one combination is common. G is e + 1 and a few to spare, so a
+  combination has about six tokens (at a similarity of 0.85) however large the set is. Sets of one size level and the next meet
+  under the larger level's G; sets that fill too few classes index their frequent prefix tokens one by one as well.
 
 Copies are one set. Candidates of one entry are verified only while they lie in different components: a large group of near
 copies is joined through a few representatives, never pair by pair, and what remains apart is verified in full.
@@ -141,37 +142,34 @@ class Threshold:
             level += 1
         return level
 
-    def groups(self, level: int) -> int:
-        """G of a level, from the least set that takes part in it."""
+    def classes(self, level: int) -> tuple[int, int]:
+        """(G, e) of a level: hash classes, and the most tokens in which linked sets of up to the level's size differ."""
         size = 1
-        for _ in range(level - 2):
+        for _ in range(level):
             size = max(size * self.den // self.num, size + 1)
-        return max(0, min(self.needed(size) - 1, (size - self.needed(size)) // 4))
+        errors = (self.den - self.num) * 2 * size // (self.den + self.num)
+        return errors + 1 + errors // 20 + 2, errors
 
 
 def signatures(token: np.ndarray, cls: np.ndarray, t: Threshold, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(singles, pairs) of one set whose tokens are in global order."""
-    n, need = len(token), t.needed(len(token))
-    head = slice(0, n - need + 1)
-    singles = token[head][(cls[head] > 0) & (cls[head] < FREQUENT_CLASS)]
-    pairs = []
-    for lev in (level, level + 1):
-        g, salt = t.groups(lev), np.uint64((lev * 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        reach = slice(0, n - need + 1 + g)
-        often = token[reach][cls[reach] >= FREQUENT_CLASS]
-        if g == 0:
-            pairs.append(mix(often + salt))
-            continue
-        group = mix(often) % np.uint64(g)
-        order = np.argsort(group, kind="stable")
-        often, group = often[order], group[order]
-        for step in range(1, len(often)):
-            same = np.flatnonzero(group[step:] == group[:-step])
-            if not len(same):
-                break
-            a, b = often[same], often[same + step]
-            pairs.append(mix(mix(np.minimum(a, b)) + np.maximum(a, b) + salt))
-    return singles, np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.uint64)
+    """(singles, combinations) of one set whose tokens are in global order."""
+    prefix = slice(0, len(token) - t.needed(len(token)) + 1)
+    head, kind = token[prefix], cls[prefix]
+    singles = head[(kind > 0) & (kind < FREQUENT_CLASS)]
+    often = head[kind >= FREQUENT_CLASS]
+    made = [np.empty(0, np.uint64)]
+    for lev in (level, level + 1) if len(often) else ():
+        salt = np.uint64((lev * 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        count, errors = t.classes(lev)
+        scrambled = mix(token + salt)
+        part = scrambled % np.uint64(count)
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) > 0]))
+        content = np.add.reduceat(mix(scrambled)[order], first)
+        made.append(mix(content + part[order][first] + salt))
+        if len(first) <= errors:
+            made.append(mix(often + ~salt))
+    return singles, np.unique(np.concatenate(made))
 
 
 def _pack(token: np.ndarray) -> bytes:
@@ -208,14 +206,14 @@ def set_records(hashed: DataFrame, classes: np.ndarray, n: int, t: Threshold) ->
             sigs: list[np.ndarray | None] = [None] * rows
             for r in some:
                 m = int(size[r])
-                level = levels.setdefault(m, t.level(m))
-                if alone[r] >= m - t.needed(m) + 1 + max(t.groups(level), t.groups(level + 1)):
+                if alone[r] >= m - t.needed(m) + 1:
                     continue  # only tokens of this document in the prefix
                 own, c = token[ends[r] : ends[r + 1]], cls[ends[r] : ends[r + 1]]
                 order = np.argsort(c, kind="stable")
-                singles, pairs = signatures(own[order], c[order], t, level)
-                if len(singles) or len(pairs):
-                    tokens[r], sigs[r] = _pack(own), np.concatenate([singles, pairs]).view(np.int64)
+                level = levels.setdefault(m, t.level(m))
+                singles, combined = signatures(own[order], c[order], t, level)
+                if len(singles) or len(combined):
+                    tokens[r], sigs[r] = _pack(own), np.concatenate([singles, combined]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size.astype(np.int64)), pa.array(sa.view(np.int64)), pa.array(sb.view(np.int64)), pa.array(tokens, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "sa", "sb", "tokens", "sigs"],
