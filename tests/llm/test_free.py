@@ -108,6 +108,11 @@ def test_suffix_matches(spark):
             truth.add((i, j, s, t, n))
             for d, k in ((i, s), (j, t)):
                 must.setdefault(d, set()).update(range(k, k + n))
+    spans = suffix_dedup.repeated_spans(suffix_dedup.repeated_passages(docs)).collect()
+    assert len(spans) >= len(covered)
+    for d, own in covered.items():
+        mine = [set(range(s["start"], s["start"] + s["n_words"])) for s in spans if s["doc_id"] == d]
+        assert set().union(*mine) == own and sum(map(len, mine)) == len(own)
     assert {f for f in found if f[0] not in (14, 15) and f[1] not in (14, 15)} <= truth
     assert covered == must
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -87,7 +87,7 @@ def _contexts(wanted: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             flat, offsets = flat_lists(batch.column(1))
-            small = (flat.view(np.uint64) >> np.uint64(64 - 8 * WIDTH)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]
+            small = flat.astype(">i4").view(np.uint8).reshape(-1, 4)[:, :WIDTH]
             rows: list[list] = [[], [], [], []]
             number = []
             for r, places in enumerate(batch.column(2)):
@@ -209,9 +209,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
         raise ValueError(f"min_words must be at least {K + WINDOW - 1}")
     hashed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", hashes(words(F.col("text"))).alias("h"))
     suffixes = _suffixes(hashed.where(F.size("h") >= min_words))
-    shared = suffixes.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram")
+    # Written out, so that the join below stands alone and adaptive execution can split a k-gram of very many documents.
+    shared = cut(suffixes.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram"))
     wanted = suffixes.join(shared, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "gram")).alias("places"))  # one document's
-    chosen = cut(_contexts(hashed.where(F.size("h") >= min_words).join(wanted, "doc_id").select("doc_id", "h", "places")))
+    short = hashed.where(F.size("h") >= min_words).select("doc_id", F.transform("h", lambda x: F.shiftright(x, 32).cast("int")).alias("h"))
+    chosen = cut(_contexts(short.join(wanted, "doc_id").select("doc_id", "h", "places")))
     found = _compared(chosen, ["after", "before"]).unionByName(_compared(chosen, ["before", "after"]))
     # Stretches of one diagonal: a diagonal belongs to two documents, so its stretches are bounded by their length.
     diagonals = found.groupBy("doc_a", "doc_b", "diagonal").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("parts"))
@@ -242,5 +244,25 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return diagonals.mapInArrow(join_parts, f"doc_a {kind}, start_a bigint, doc_b {kind}, start_b bigint, n_words bigint")
 
 
+def repeated_spans(passages: DataFrame) -> DataFrame:
+    """(doc_id, start, n_words, other_doc, n_others): the words of each document that stand in its ``passages``, as disjoint
+    spans, with the smallest of the documents matched there and the number of matches. One document's matches at a time."""
+    sides = passages.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("doc_a").alias("doc_id"), F.col("start_a").alias("start"), "n_words", F.col("doc_b").alias("other")),
+                F.struct(F.col("doc_b").alias("doc_id"), F.col("start_b").alias("start"), "n_words", F.col("doc_a").alias("other")),
+            )
+        ).alias("m")
+    ).select("m.*")
+    own = Window.partitionBy("doc_id").orderBy("start", "n_words", "other")
+    far = F.max(F.col("start") + F.col("n_words")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = sides.withColumn("fresh", F.when(F.col("start") <= far, 0).otherwise(1)).withColumn("span", F.sum("fresh").over(own))
+    return marked.groupBy("doc_id", "span").agg(
+        F.min("start").alias("start"), (F.max(F.col("start") + F.col("n_words")) - F.min("start")).alias("n_words"),
+        F.min("other").alias("other_doc"), F.count(F.lit(1)).alias("n_others"),
+    ).drop("span")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_spans(repeated_passages(table(spark, sf_dir, "documents")))
