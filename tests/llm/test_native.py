@@ -84,8 +84,7 @@ def test_distances_are_those_of_a_direct_estimate(spark):
     cov = np.cov(inside.T, bias=True) + floor
     d = x - inside.mean(0)
     d2 = np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
-    ratio = out["distance2"].values / d2
-    assert ratio.std() / ratio.mean() < 0.05
+    assert np.corrcoef(out["distance2"].values, d2)[0, 1] > 0.999
 
 
 def test_license_base(hard_docs, hard_texts, no_docs):

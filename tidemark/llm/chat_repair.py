@@ -36,7 +36,7 @@ def role_state(role: str | None) -> int:
     """State of a role name, 0 for an unknown one."""
     name = (role or "").strip().lower()
     name = SYNONYMS.get(name, name)
-    return STATE_ROLE.index(name) if name else 0
+    return STATE_ROLE.index(name) if name in ROLES else 0
 
 
 def _insertions() -> dict[tuple[int, int], tuple[int, tuple[int, ...]]]:

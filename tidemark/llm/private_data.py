@@ -51,9 +51,12 @@ _AT = r"\s*(?:\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{\s*(?:at|@)\s*\}|<\s*(?:at
 _DOT = r"\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*"
 _BRACKET_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
+#: Endings that a domain spelled with bare words may have; other words after "dot" are prose.
+ENDINGS = "com org net edu gov mil int info biz name io ai app dev co me tv us uk ca au nz ie de fr es it nl be ch at pt pl se no dk fi eu ru cn jp kr in br mx ar cl za"
 #: Bare words count only where the whole address is spelled: name at host dot domain.
 _BARE = re.compile(
-    r"(?<![\w.@])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*(?:\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+(?!\w)", re.I
+    r"(?<![\w.@])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*(?:\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+"
+    rf"(?:{'|'.join(ENDINGS.split())})(?![\w-])", re.I
 )
 _BARE_HINT = re.compile(r"\sdot\s", re.I)
 _BARE_TOKEN = re.compile(r"\s+(at|dot)\s+|\s*(@)\s*", re.I)

@@ -47,14 +47,15 @@ def _gram_hashes(flat: np.ndarray, k: int) -> np.ndarray:
 
 def retained(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions of window minima (the first of equal ones). In a run of one repeated k-gram, where every position would be
-    one, those stay that lie a multiple of ``window`` behind the run's start."""
+    one, those stay that lie a multiple of ``window`` behind the run's start, and the run's last."""
     if len(grams) < window:
         return np.empty(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(grams, window)
     at = np.unique(views.argmin(1) + np.arange(len(views)))
     begins = np.concatenate([[True], grams[1:] != grams[:-1]])
     start = np.maximum.accumulate(np.where(begins, np.arange(len(grams)), 0))
-    return at[(at - start[at]) % window == 0]
+    ends = np.concatenate([begins[1:], [True]]) & ~begins
+    return np.union1d(at[(at - start[at]) % window == 0], np.flatnonzero(ends))
 
 
 def _suffixes(hashed: DataFrame) -> DataFrame:
@@ -197,11 +198,12 @@ def _compared(suffixes: DataFrame, order: list[str]) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_a, start_a, doc_b, start_b, n_words): maximal equal stretches of at least ``min_words`` (49 or more) words.
+    """(doc_a, start_a, doc_b, start_b, n_words): equal stretches of at least ``min_words`` (49 or more) words.
 
     ``docs`` needs doc_id and text; other columns are ignored. Words are runs outside whitespace, as they stand. Each document's
     repeated passages are matched with those of its neighbours in the suffix orders, not with every document that holds them, so
-    the result is linear in the input; doc_a < doc_b. Null, empty and shorter texts have no rows, nor have
+    the result is linear in the input; doc_a < doc_b. A stretch is as long as the two are neighbours along it, so it may be part
+    of a longer equal one whose rest is matched with another document. Null, empty and shorter texts have no rows, nor have
     rows with a null doc_id. Equal rows are one; different texts under one doc_id count as one document's. Repeats within
     one document are not reported. An empty table gives an empty result.
     """
