@@ -58,6 +58,7 @@ def main() -> None:
     timed("measures_4900_rows", lambda: run(ct.evaluate_test(fz.compressed_cube(masks, layout), many, layout)))
     # As if the cube did not compress: every row meets the patterns filed under its values.
     timed("measures_49_uncompressed", lambda: run(ct.evaluate_test(fz.as_cells(masks), few, layout)))
+    timed("measures_4900_uncompressed", lambda: run(ct.evaluate_test(fz.as_cells(masks), many, layout)))
     for name in ("enumerate2", "prequential_windows", "fuzzy_score", "flagship", "token_competition", "fuzzy_histogram"):
         timed(name, lambda name=name: run(catalog.QUERIES[name](spark, SF_DIR)))
     timed("mine_10_generations", lambda: run(se.mine(cells, layout, evaluations=49 * 11)))
