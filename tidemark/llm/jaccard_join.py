@@ -31,13 +31,13 @@ from tidemark.llm.common import LOWER, UPPER, ascii_lower, components, flat_list
 from tidemark.session import cut
 
 TOKEN_BITS = 48
-#: Frequency classes (floor of log2) are kept for this many hash slots, one byte each: 64 MB for any input. A slot has the
+#: Frequency classes (floor of log2) are kept for this many hash slots, one byte each: 32 MB for any input. A slot has the
 #: class of its most frequent token; the order stays the same for all documents however full the slots are.
-SLOT_BITS = 26
+SLOT_BITS = 25
 #: Tokens of at least 2 ** this documents count as frequent.
 FREQUENT_CLASS = 6
 FLUSH = 2_000_000
-ROUNDS = 8
+ROUNDS = 3
 
 
 def token_sets(flat: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +118,11 @@ def frequency_classes(hashed: DataFrame, n: int) -> np.ndarray:
         hashed.select("h").mapInArrow(count, "part int, once binary, more binary, counts binary")
         .groupBy("part").applyInPandas(merge, "part int, classes binary").toArrow()
     )
-    out = np.zeros((1 << bits, 1 << (SLOT_BITS - bits)), np.uint8)
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    wide = 1 << (SLOT_BITS - bits)
     for part, packed_classes in zip(got.column("part").to_pylist(), got.column("classes"), strict=True):
-        out[part] = np.frombuffer(zlib.decompress(packed_classes.as_py()), np.uint8)
-    return out.reshape(-1)
+        out[part * wide : (part + 1) * wide] = np.frombuffer(zlib.decompress(packed_classes.as_py()), np.uint8)
+    return out
 
 
 class Threshold:
@@ -182,10 +183,10 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.concatenate([six, np.zeros((len(six), 2), np.uint8)], axis=1).reshape(-1).view("<u8")
 
 
-def set_records(hashed: DataFrame, classes: np.ndarray, n: int, t: Threshold) -> DataFrame:
+def set_records(hashed: DataFrame, n: int, t: Threshold) -> DataFrame:
     """(doc_id, n_shingles, sa, sb, tokens, sigs) per row; (sa, sb) is a 128-bit hash of the set, tokens and sigs are null for
     sets without index entries."""
-    sent = hashed.sparkSession.sparkContext.broadcast(classes)
+    sent = hashed.sparkSession.sparkContext.broadcast(frequency_classes(hashed, n))  # not kept on the driver beside
     levels: dict[int, int] = {}
 
     def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +306,7 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: tuple[int, int]
     """
     t = Threshold(*similarity)
     hashed = docs.select("doc_id", hashes(words(ascii_lower(F.col("text")))).alias("h"))
-    records = cut(set_records(hashed, frequency_classes(hashed, n), n, t))
+    records = cut(set_records(hashed, n, t))
     known = records.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut(known.groupBy("sa", "sb").agg(F.min("doc_id").alias("rep")))
     members = cut(known.select("doc_id", "sa", "sb").join(classes, ["sa", "sb"]).select("doc_id", "sa", "sb", "rep"))
