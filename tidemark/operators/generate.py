@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.draws import draw, draw_int, hashed
-from tidemark.functions.sqltext import all_of, array, case, long, plus
+from tidemark.functions.sqltext import array, case, long, plus
 from tidemark.operators.patterns import canonicalise
 from tidemark.operators.profile import Layout
 
