@@ -219,6 +219,24 @@ def test_contamination(spark):
         assert r["score"] == pytest.approx(brute_alignment(ws, item) / (2 * len(item)))
 
 
+@pytest.mark.parametrize("copies", [0, 3])
+def test_edited_copies_are_found(spark, copies):
+    """One word of every 5, 6 or 7 changed, at any phase, alone or beside exact copies: a run of 4 equal words is enough."""
+    rng, vocab = random.Random(10), vocabulary()
+    edits = [(every, phase) for every in (5, 6, 7) for phase in range(every)]
+    items = [[f"{w}{k}" for w in rng.sample(vocab, 40)] for k in range(len(edits))]
+    texts = [
+        prose(rng, 20, vocab) + " " + " ".join("new" if i % every == phase or i == 38 else w for i, w in enumerate(item))
+        for item, (every, phase) in zip(items, edits, strict=True)
+    ]
+    texts += [" ".join(item) for item in items for _ in range(copies)]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contamination(make_docs(spark, texts), bench).collect()}
+    want = {(k, k): brute_alignment(texts[k].split(), item) / 80 for k, item in enumerate(items)}
+    assert min(want.values()) >= 0.5
+    assert got == pytest.approx(want | {(len(items) + j, j // max(copies, 1)): 1.0 for j in range(len(items) * copies)})
+
+
 def test_contamination_edges(spark, hard_docs, no_docs, monkeypatch):
     bench = spark.createDataFrame([(i, w) for i, w in enumerate(["a line of text here", "For For For For For", None])], "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(hard_docs, bench).collect()}

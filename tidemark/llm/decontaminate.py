@@ -1,19 +1,19 @@
-"""Benchmark decontamination (operator 5): rare n-gram seeds, then Smith-Waterman alignment of passages and items.
+"""Benchmark decontamination (operator 5): n-gram seeds, then Smith-Waterman alignment of passages and items.
 
-One pass over the corpus cuts out the passages around n-grams that stand in any test item. Document frequencies of
-those n-grams, counted over the whole corpus, choose each item's seeds: the rarest n-gram of every few consecutive
-ones, so that an item has seeds however common its text is. Passages meet items through seeds alone; equal passages
-are aligned with an item once.
+One pass over the corpus cuts out the passages around n-grams that stand in any test item. Every n-gram of an item is
+a seed: an edited copy breaks some of them, and those are rarer than the ones it keeps, so no choice by frequency is safe.
+Pairs with too few common words to reach the threshold are not aligned; equal passages are aligned with an item once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import flat_lists, gram_hashes, hashes, let, slices, table
@@ -115,10 +115,16 @@ def _sweep(passages: list[list[str]], items: list[list[str]]) -> list[tuple[int,
     return [(int(s), int(e)) for s, e in zip(best, end, strict=True)]
 
 
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds score, begin, end; pairs of like size are aligned together, 256 at a time."""
+def _align(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Adds score, begin, end; pairs of like size are aligned together, 256 at a time.
+
+    An alignment matches no more item words than those that stand anywhere in the passage; a pair whose score stays below
+    ``threshold`` even if all of them match has score 0.
+    """
     for batch in batches:
-        order = np.argsort([len(w) for w in batch["words"]], kind="stable")
+        common = [sum(map(set(w).__contains__, i)) for w, i in zip(batch["words"], batch["item"], strict=True)]
+        open_ = np.flatnonzero(np.array(common) / batch["item_words"].to_numpy() >= threshold)
+        order = open_[np.argsort([len(batch["words"].iat[i]) for i in open_], kind="stable")]
         out = [(0, 0, 0)] * len(batch)
         for k in range(0, len(order), 256):
             part = order[k : k + 256]
@@ -131,14 +137,14 @@ def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, n: int = 4, every: int = 4, threshold: float = 0.5, min_words: int = 8
+    docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, min_words: int = 8
 ) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): the best alignment of each document with each item it contains.
 
     ``docs`` needs doc_id and text, ``benchmark`` item_id and text; other columns are ignored. The score is the alignment's
     share of a full match of the item; rows below ``threshold``, or with alignments of fewer than ``min_words`` passage words
-    (or the item's length, if less), are left out. A copy that keeps n + every - 1 words of an item in a row always shares a
-    seed with it. Items of fewer than ``n`` words are not searched for. Words count from 0 in the text's runs
+    (or the item's length, if less), are left out. A copy that keeps n words of an item in a row is always aligned
+    with it. Items of fewer than ``n`` words are not searched for. Words count from 0 in the text's runs
     of letters and digits. Null or empty texts on either side give no rows; repeated rows are one; empty tables
     give an empty result.
     """
@@ -151,7 +157,7 @@ def contamination(
     out = None
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        found = _contained(docs, part, n, every, int(size["longest"]), threshold, min_words)
+        found = _contained(docs, part, n, int(size["longest"]), threshold, min_words)
         out = found if out is None else out.unionByName(found)
     kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     empty = f"doc_id {kind[0]}, item_id {kind[1]}, score double, start_word bigint, end_word bigint"
@@ -174,7 +180,7 @@ def _item_grams(items: DataFrame, n: int) -> DataFrame:
     return items.select("item_id", hashes(F.col("item")).alias("h")).mapInArrow(expand, f"item_id {kind}, pos bigint, gram bigint")
 
 
-def _contained(docs: DataFrame, items: DataFrame, n: int, every: int, longest: int, threshold: float, min_words: int) -> DataFrame:
+def _contained(docs: DataFrame, items: DataFrame, n: int, longest: int, threshold: float, min_words: int) -> DataFrame:
     grams = cut(_item_grams(items, n))
     known = np.asarray(grams.select("gram").distinct().toArrow().column("gram"), np.int64).view(np.uint64)  # at most a block
     passages = cut(
@@ -182,17 +188,10 @@ def _contained(docs: DataFrame, items: DataFrame, n: int, every: int, longest: i
             {"text_id": F.xxhash64("words"), "text_id2": F.xxhash64(F.lit("second"), "words")}
         )
     )
-    # Frequencies over all documents; equal passages of many documents are one row before n-grams are exploded.
-    texts = cut(passages.groupBy("text_id", "text_id2").agg(F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams")))
-    exploded = texts.select("text_id", "text_id2", "copies", F.explode("grams").alias("gram"))
-    frequency = exploded.groupBy("gram").agg(F.sum("copies").alias("df"))
-    following = Window.partitionBy("item_id").orderBy("pos").rowsBetween(0, every - 1)
-    seeds = (
-        grams.join(frequency, "gram", "left")
-        .withColumn("rarest", F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).over(following))
-        .select("item_id", F.col("rarest.gram").alias("gram"))
-        .distinct()
-    )
+    # Equal passages of many documents are one row before n-grams are exploded.
+    texts = cut(passages.groupBy("text_id", "text_id2").agg(F.first("grams").alias("grams")))
+    exploded = texts.select("text_id", "text_id2", F.explode("grams").alias("gram"))
+    seeds = grams.select("item_id", "gram").distinct()
     pairs = exploded.join(seeds, "gram").select("text_id", "text_id2", "item_id").distinct()
     words = passages.groupBy("text_id", "text_id2").agg(F.first("words").alias("words"))
     kind = items.schema["item_id"].dataType.simpleString()
@@ -200,7 +199,7 @@ def _contained(docs: DataFrame, items: DataFrame, n: int, every: int, longest: i
         pairs.join(words, ["text_id", "text_id2"])
         .join(items, "item_id")
         .select("text_id", "text_id2", "item_id", "item_words", "words", "item")
-        .mapInPandas(_align, f"text_id bigint, text_id2 bigint, item_id {kind}, item_words int, score bigint, begin bigint, end bigint")
+        .mapInPandas(partial(_align, threshold=threshold), f"text_id bigint, text_id2 bigint, item_id {kind}, item_words int, score bigint, begin bigint, end bigint")
         .withColumn("score", F.col("score") / (MATCH * F.col("item_words")))
         .where((F.col("score") >= threshold) & (F.col("end") - F.col("begin") >= F.least(F.lit(min_words), "item_words")))
     )
