@@ -58,6 +58,20 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert kept == set(range(600))
 
 
+def test_short_junk_goes_like_long_junk(spark):
+    """Words split by bars, and words said several times over, in texts of any length."""
+    import random
+
+    rng, vocab = random.Random(4), vocabulary()
+    clean = [prose(rng, rng.randint(25, 400), vocab) for _ in range(600)]
+    bars = [" | ".join(rng.sample(vocab, n)) for n in (15, 25, 30, 40, 200) for _ in range(6)]
+    said = [" ".join(w for x in rng.sample(vocab, n) for w in [x] * 7) for n in (4, 6, 10, 40) for _ in range(6)]
+    docs = make_docs(spark, clean + bars + said).drop("lang", "source").selectExpr("*", "'en' lang", "'s' source")
+    got = outliers.quality_verdicts(docs).where("NOT base_failed")
+    assert {r["doc_id"] for r in got.where("kept").collect()} == set(range(600))
+    assert {r["n_again_words"] for r in got.where(f"doc_id >= {600 + len(bars)}").collect()} == {24, 36, 60, 240}
+
+
 def test_few_groups_and_many_give_the_same(spark, monkeypatch):
     import random
 

@@ -21,7 +21,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Features and the least standard deviation that each is given: many rates are 0 in almost every text, and a
 #: covariance of constants has no inverse. Differences well below these carry no judgement.
-FEATURES = {"f_length": 0.06, "f_symbol": 0.04, "f_dup": 0.10, "f_repeat": 0.12, "f_upper": 0.06}
+FEATURES = {"f_length": 0.06, "f_symbol": 0.04, "f_dup": 0.10, "f_repeat": 0.12, "f_upper": 0.06, "f_again": 0.08}
 P = len(FEATURES)
 #: Values are rounded to this grid, so that exact percentiles need a bounded number of counters.
 GRID = 1024
@@ -77,13 +77,18 @@ def _repeat_words(ws: Column) -> Column:
     return F.when(F.size(ws) <= WINDOW, F.lit(0)).otherwise(let(let(hashes(ws), windows), covered))
 
 
+def _again_words(ws: Column) -> Column:
+    """Words that equal the word before them."""
+    return F.size(F.filter(ws, lambda x, i: (i > 0) & (x == F.get(ws, i - 1))))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """Base statistics and transformed vector of every row. Needs doc_id, text, lang, source; null text: no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     counted = docs.select(
         "doc_id", F.xxhash64("text").alias("text_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
-        let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"))).alias("w"),
+        let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"), _again_words(w).alias("n_again_words"))).alias("w"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_upper"),
@@ -91,17 +96,18 @@ def statistics(docs: DataFrame) -> DataFrame:
     ).select(
         "doc_id", "text_id", "lang", "source", F.col("w.n_words").cast("bigint").alias("n_words"),
         F.col("word_chars").cast("bigint"), F.col("n_symbols").cast("bigint"), F.col("l.dup").cast("bigint").alias("n_dup_lines"),
-        F.col("w.n_repeat_words").cast("bigint").alias("n_repeat_words"), F.col("l.n").alias("n_lines"), "n_upper",
+        F.col("w.n_repeat_words").cast("bigint").alias("n_repeat_words"), F.col("w.n_again_words").cast("bigint").alias("n_again_words"), F.col("l.n").alias("n_lines"), "n_upper",
     )
     # Rates of short texts are noisy: each denominator gets some weight of "nothing found".
     share = lambda part, whole, prior: F.sqrt(F.col(part) / (F.col(whole) + prior))
     mean_length = (F.col("word_chars") + 50 * 5.5) / (F.col("n_words") + 50)
     raw = {
         "f_length": F.log(mean_length),
-        "f_symbol": share("n_symbols", "word_chars", 200),
+        "f_symbol": share("n_symbols", "word_chars", 50),
         "f_dup": share("n_dup_lines", "n_lines", 10),
         "f_repeat": share("n_repeat_words", "n_words", 50),
         "f_upper": share("n_upper", "word_chars", 200),
+        "f_again": share("n_again_words", "n_words", 20),
     }
     return counted.withColumns({k: F.round(v * GRID) / GRID for k, v in raw.items()}).drop("n_lines", "n_upper")
 
@@ -209,7 +215,7 @@ def robust_models(stats: DataFrame, keys: list[str], support: float = 0.75, max_
 
 def quality_verdicts(
     docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_group: int = 200, support: float = 0.75,
-    quantile: float = 1 - 1e-5,
+    quantile: float = 1 - 1e-3,
 ) -> DataFrame:
     """Statistics, distance and verdict of every row of ``docs`` (doc_id, text, lang, source; others are ignored).
 
@@ -217,7 +223,7 @@ def quality_verdicts(
     windows. Other rows are estimated per (lang, source); groups of fewer than ``min_group`` such rows are pooled per
     language, and a language of fewer still goes to one common pool (a pool as small as that judges nobody: distance
     null, kept). A row is rejected if its squared distance, corrected for the ``support`` of the estimate, exceeds the
-    chi-square ``quantile`` for 5 degrees of freedom, about 31. Null lang or source counts as ''. Null and empty texts have
+    chi-square ``quantile`` for 6 degrees of freedom, about 22. Null lang or source counts as ''. Null and empty texts have
     no words and fail the base rules. Repeated rows are judged alike, each for itself. An empty table gives an empty result.
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -251,6 +257,6 @@ def quality_verdicts(
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(table(spark, sf_dir, "documents"))
     return verdicts.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_again_words", "base_failed", "kept",
         F.round("distance2", 6).alias("distance2"), *[F.col(f) for f in FEATURES],
     )
