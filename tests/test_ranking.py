@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from tidemark.operators import fuzzify as fz
 from tidemark.operators import generate as gn
 from tidemark.operators import pareto as pa
 from tidemark.operators import search as se
+from tidemark.plans import ranking
 from tidemark.plans.datasets import LINE_NUMERIC, line_rows
 from tidemark.session import cut
 
@@ -133,5 +135,20 @@ def test_search_finds_the_price_pattern_and_repeats(mined):
     assert best > 0.6
 
 
+def test_the_registered_search_has_the_default_budget(monkeypatch):
+    seen = {}
+
+    class Mined:
+        def drop(self, *names):
+            return self
+
+    monkeypatch.setattr(ranking, "line_cube", lambda spark, sf_dir: ("cells", "layout"))
+    monkeypatch.setattr(ranking, "cut", lambda df: df)
+    monkeypatch.setattr(se, "mine", lambda cells, layout, **options: seen.update(options) or Mined())
+    ranking.mine(None, "")
+    default = inspect.signature(se.search).parameters["evaluations"].default
+    assert seen.get("evaluations", default) == default == 5000
+
+
 def test_reinit_rule():
     assert se.needs_reinit({"a": 100, "b": 900}, 1000, 2000) == ["a"]

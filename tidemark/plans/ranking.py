@@ -479,9 +479,9 @@ def crossover_mutation(spark, sf_dir):
 
 @query("mine")
 def mine(spark, sf_dir):
-    """Cellular search over both classes; a short budget, since a generation costs the same on any cube."""
+    """Cellular search over both classes with the default budget."""
     cells, layout = line_cube(spark, sf_dir)
-    return se.mine(cut(cells), layout, size=49, evaluations=49 * 5).drop("masks")
+    return se.mine(cut(cells), layout).drop("masks")
 
 
 @query("reinitialise")
