@@ -29,6 +29,16 @@ def test_connectives_keep_missing_degrees(spark, table):
         assert got[0] is None and got[1] is None and got[2] is not None
 
 
+def test_arff_headers_are_read_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = tmp_path / "long.arff"
+    path.write_text("@relation r\n@attribute a real\n@attribute b real\n@data\n1,2\n")
+    monkeypatch.setattr(arff, "HEADER_LINES", 2)
+    with pytest.raises(ValueError, match="no @data"):
+        arff.read_arff(spark, str(path))
+    monkeypatch.setattr(arff, "HEADER_LINES", 4)
+    assert arff.read_arff(spark, str(path)).columns == ["a", "b"]
+
+
 def test_arff_with_quotes_and_comments(spark, tmp_path):
     path = tmp_path / "odd.arff"
     path.write_text(

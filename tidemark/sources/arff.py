@@ -11,14 +11,16 @@ from pyspark.sql import types as T
 ATTRIBUTE = r"(?i)^\s*@attribute\s+('[^']+'|\"[^\"]+\"|[^\s{]+)\s*(\{[^}]*\}|[^\s\[]+)"
 NUMERIC = ("numeric", "real", "integer")
 CSV_OPTIONS = {"quote": "'", "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-HEADER_LINES = 100_000  # a header is read this far at most
+HEADER_LINES = 100_000  # a longer header is an error
 
 
 def arff_header(spark: SparkSession, path: str) -> list[tuple[str, str, list[str]]]:
     """(name, kind, declared values) per attribute, in header order, from the beginning of the first file up to @data."""
     first = min(spark.read.text(path).inputFiles())
     found = []
-    for r in spark.read.text(first).limit(HEADER_LINES).toLocalIterator():
+    for n, r in enumerate(spark.read.text(first).limit(HEADER_LINES + 1).toLocalIterator()):
+        if n == HEADER_LINES and found:
+            raise ValueError(f"no @data in the first {HEADER_LINES} lines of {first}")
         line = r["value"].strip()
         if line.lower().startswith("@data"):
             break
