@@ -1,6 +1,6 @@
 """Corpus operators for training data, their queries and the SQL these are checked against."""
 
-from tidemark.llm import chat_repair, decontaminate, jaccard_join, licenses, line_dedup, outliers, packing, private_data, suffix_dedup, toxicity
+from tidemark.llm import chat_repair, decontaminate, jaccard_join, licenses, line_dedup, merkle, outliers, packing, private_data, suffix_dedup, toxicity
 
 _MODULES = {
     "op1_outliers": outliers,
@@ -13,6 +13,7 @@ _MODULES = {
     "op8_private_data": private_data,
     "op9_chat_repair": chat_repair,
     "op10_jaccard_join": jaccard_join,
+    "op11_merkle": merkle,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}

@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of an ASCII string expression (Spark has a function for it)."""
+    shifts = "list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda acc, b: {shifts}), 4294967295)"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value``, which is evaluated once even where lambdas inside ``body`` refer to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
