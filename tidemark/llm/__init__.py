@@ -1,6 +1,6 @@
 """Corpus operators for training data, their queries and the SQL these are checked against."""
 
-from tidemark.llm import best_fit, chat_repair, decontaminate, jaccard_join, licenses, line_dedup, merkle, outliers, packing, private_data, suffix_dedup, toxicity
+from tidemark.llm import best_fit, chat_repair, decontaminate, jaccard_join, licenses, line_dedup, merkle, outliers, packing, private_data, suffix_dedup, toxicity, turn_alignment
 
 _MODULES = {
     "op1_outliers": outliers,
@@ -14,6 +14,7 @@ _MODULES = {
     "op9_chat_repair": chat_repair,
     "op10_jaccard_join": jaccard_join,
     "op11_merkle": merkle,
+    "op12_turn_alignment": turn_alignment,
     "op13_best_fit": best_fit,
 }
 
