@@ -37,7 +37,10 @@ SLOT_BITS = 25
 #: Tokens of at least 2 ** this documents count as frequent.
 FREQUENT_CLASS = 6
 FLUSH = 2_000_000
-ROUNDS = 3
+#: Rounds of representatives go on while one in so many of their verifications is a link.
+WORTH = 20
+#: Bits of a set's marks, by which most candidates that do not link are told without their tokens.
+MARKS = 1024
 
 
 def token_sets(flat: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,9 +186,16 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.concatenate([six, np.zeros((len(six), 2), np.uint8)], axis=1).reshape(-1).view("<u8")
 
 
+def _marks(token: np.ndarray) -> np.ndarray:
+    """``MARKS`` bits, those of the tokens' hashes set. Sets whose marks differ in d bits differ in at least d tokens."""
+    bits = np.zeros(MARKS, np.uint8)
+    bits[(mix(token + np.uint64(5)) % np.uint64(MARKS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def set_records(hashed: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """(doc_id, n_shingles, sa, sb, tokens, sigs) per row; (sa, sb) is a 128-bit hash of the set, tokens and sigs are null for
-    sets without index entries."""
+    """(doc_id, n_shingles, shared, sa, sb, tokens, marks, sigs) per row; ``shared`` counts the tokens that another document may hold,
+    (sa, sb) is a 128-bit hash of the set; tokens, marks and sigs are null for sets without index entries."""
     sent = hashed.sparkSession.sparkContext.broadcast(frequency_classes(hashed, n))  # not kept on the driver beside
     levels: dict[int, int] = {}
 
@@ -204,6 +214,7 @@ def set_records(hashed: DataFrame, n: int, t: Threshold) -> DataFrame:
             cls = by_slot[token >> np.uint64(TOKEN_BITS - SLOT_BITS)]
             alone = np.bincount(row, cls == 0, minlength=rows)
             tokens: list[bytes | None] = [None] * rows
+            marks: list[np.ndarray | None] = [None] * rows
             sigs: list[np.ndarray | None] = [None] * rows
             for r in some:
                 m = int(size[r])
@@ -215,14 +226,15 @@ def set_records(hashed: DataFrame, n: int, t: Threshold) -> DataFrame:
                 singles, combined = signatures(own[order], c[order], t, level)
                 if len(singles) or len(combined):
                     tokens[r], sigs[r] = _pack(own), np.concatenate([singles, combined]).view(np.int64)
+                    marks[r] = _marks(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size.astype(np.int64)), pa.array(sa.view(np.int64)), pa.array(sb.view(np.int64)), pa.array(tokens, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "sa", "sb", "tokens", "sigs"],
+                [batch.column(0), pa.array(size.astype(np.int64)), pa.array(size.astype(np.int64) - alone.astype(np.int64)), pa.array(sa.view(np.int64)), pa.array(sb.view(np.int64)), pa.array(tokens, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "shared", "sa", "sb", "tokens", "marks", "sigs"],
             )
 
     kind = hashed.schema["doc_id"].dataType.simpleString()
     return hashed.select("doc_id", "h").mapInArrow(
-        record, f"doc_id {kind}, n_shingles bigint, sa bigint, sb bigint, tokens binary, sigs array<bigint>"
+        record, f"doc_id {kind}, n_shingles bigint, shared bigint, sa bigint, sb bigint, tokens binary, marks array<bigint>, sigs array<bigint>"
     )
 
 
@@ -246,56 +258,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 
 def _links(sets: DataFrame, t: Threshold) -> DataFrame:
-    """Verified links (a, b) that connect everything that all links connect."""
-    index = cut(sets.select("rep", F.col("n_shingles").alias("n"), F.explode("sigs").alias("sig")))
+    """Verified links (a, b) that connect everything that all links connect.
+
+    Rounds: of every entry the component with most members stands still; each set outside it meets a member of it and one of the
+    others, drawn anew each round but alike in all entries, so the copies of a text meet the same few. A set is verified with two others a
+    round at most, and only while it lies apart: rounds get smaller as groups grow together. They end when nothing lies apart or
+    a round links fewer than one of ``WORTH`` it verified; what is still apart is then verified pair by pair.
+    """
     kind = sets.schema["rep"].dataType.simpleString()
+    # Sizes allow a link, and so do the tokens that are not the documents' own: the union is at least n + m less those.
+    fits = F.expr(f"{t.den} * least(n, m) >= {t.num} * greatest(n, m) AND {t.den + t.num} * least(s, z) >= {t.num} * (n + m)")
+    index = cut(sets.select("rep", F.col("n_shingles").alias("n"), F.col("shared").alias("s"), F.explode("sigs").alias("sig"), F.col("rep").alias("comp")))
     links = sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-    fits = F.expr(f"{t.den} * least(n, m) >= {t.num} * greatest(n, m)")
-    before = None
-    for number in range(ROUNDS):
-        labelled = _labelled(index, links)
-        apart = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        index = cut(labelled.join(apart, "sig"))
-        left = index.select("rep").distinct().count()
-        if left == 0 or (before is not None and left > 0.9 * before):
-            break
-        before = left
-        # One member of the lowest and one of the highest component of an entry, drawn anew each round, stand for it.
-        draw = F.xxhash64(F.lit(number), "rep")
-        heads = index.groupBy("sig").agg(
-            F.min_by(F.struct("rep", "n"), F.when(F.col("comp") == F.col("low"), draw)).alias("l"),
-            F.min_by(F.struct("rep", "n"), F.when(F.col("comp") == F.col("high"), draw)).alias("h"),
-        )
-        met = index.join(heads, "sig").withColumn("head", F.when(F.col("comp") == F.col("low"), F.col("h")).otherwise(F.col("l")))
-        pairs = (
-            met.withColumn("m", F.col("head.n")).where(fits)
-            .groupBy("rep").agg(F.min_by("head.rep", F.xxhash64("head.rep")).alias("other"))
+    number = 0
+    while True:
+        per = index.groupBy("sig", "comp").agg(
+            F.count(F.lit(1)).alias("c"), F.min_by(F.struct("rep", "n", "s", "comp"), F.xxhash64(F.lit(number), "rep")).alias("one"), F.min(F.xxhash64(F.lit(number), "rep")).alias("draw")
+        )
+        chosen = per.groupBy("sig").agg(
+            F.max_by("one", F.struct("c", F.negative("comp"))).alias("top"), F.count(F.lit(1)).alias("comps")
+        ).where("comps > 1").select("sig", "top")
+        aside = per.join(chosen, "sig").where(F.col("comp") != F.col("top.comp"))
+        second = aside.groupBy("sig").agg(F.min_by("one", "draw").alias("next"))
+        index = cut(index.join(chosen.join(second, "sig"), "sig"))
+        apart = index.where(F.col("comp") != F.col("top.comp"))
+        if apart.isEmpty():
+            return links
+        others = apart.select(
+            "rep", "n", "s", "comp", F.explode(F.array("top", "next")).alias("o")
+        ).where(F.col("o.comp") != F.col("comp")).select("rep", "n", "s", F.col("o.rep").alias("other"), F.col("o.n").alias("m"), F.col("o.s").alias("z")).where(fits)
+        drawn = F.xxhash64(F.lit(number), "other")
+        pairs = cut(
+            others.groupBy("rep").agg(F.min_by("other", drawn).alias("x"), F.max_by("other", drawn).alias("y"))
+            .select("rep", F.explode(F.array_distinct(F.array("x", "y"))).alias("other"))
             .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         )
-        links = cut(links.unionByName(_verified(pairs, sets, t)))
-        index = index.select("rep", "n", "sig")
-    else:
-        labelled = _labelled(index, links)
-        apart = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        index = cut(labelled.join(apart, "sig"))
-    # What still lies apart: every pair of an entry from two components, the largest component's own members excepted.
-    largest = index.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
-    marked = index.select("rep", "n", "sig", "comp").join(largest, "sig")
-    small = marked.where("comp <> top").select("sig", "rep", "n", F.col("comp").alias("own"))
-    others = marked.select("sig", F.col("rep").alias("other"), F.col("n").alias("m"), "comp")
+        found = _verified(pairs, sets, t)
+        met, linked = pairs.count(), found.count()
+        links = links.unionByName(found)
+        if linked:
+            label = index.select("rep", "comp").distinct()
+            joined = found.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b").select("x", "y")
+            moved = components(joined, "x", "y").toDF("comp", "now")
+            index = index.select("rep", "n", "s", "sig", "comp").join(moved, "comp", "left").select("rep", "n", "s", "sig", F.coalesce("now", "comp").alias("comp"))
+        else:
+            index = index.select("rep", "n", "s", "sig", "comp")
+        number += 1
+        if linked * WORTH <= met:
+            break
+    # What still lies apart: every pair of an entry from two components, the largest component's own members excepted, whose marks allow it.
+    index = cut(index)
+    largest = index.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")
+    ).where("comps > 1").drop("comps")
+    marked = cut(index.join(largest, "sig").join(sets.select("rep", "marks"), "rep"))
+    small = marked.where("comp <> top").select("sig", "rep", "n", "s", F.col("comp").alias("own"), F.col("marks").alias("k"))
+    others = marked.select("sig", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("s").alias("z"), "comp", F.col("marks").alias("l"))
+    differ = " + ".join(f"bit_count(k[{i}] ^ l[{i}])" for i in range(MARKS // 64))
+    near = F.expr(f"{t.den + t.num} * (n + m - ({differ})) >= {2 * t.num} * (n + m)")
     pairs = (
-        small.join(others, "sig").where((F.col("own") != F.col("comp")) & fits)
+        small.join(others, "sig").where((F.col("own") != F.col("comp")) & fits & near)
         .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
     )
     return cut(links.unionByName(_verified(pairs, sets, t)))
 
 
-def _labelled(index: DataFrame, links: DataFrame) -> DataFrame:
-    """The index with the component of each set so far."""
-    parts = components(links).withColumnRenamed("node", "rep")
-    return index.join(parts, "rep", "left").select("rep", "n", "sig", F.coalesce("component", "rep").alias("comp"))
-
-
 def similar_components(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -311,10 +338,10 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: tuple[int, int]
     classes = cut(known.groupBy("sa", "sb").agg(F.min("doc_id").alias("rep")))
     members = cut(known.select("doc_id", "sa", "sb").join(classes, ["sa", "sb"]).select("doc_id", "sa", "sb", "rep"))
     sets = cut(
-        known.where("sigs IS NOT NULL").select("doc_id", "n_shingles", "sa", "sb", "tokens", "sigs")
+        known.where("sigs IS NOT NULL").select("doc_id", "n_shingles", "shared", "sa", "sb", "tokens", "marks", "sigs")
         .join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "sa", "sb"])
         .dropDuplicates(["doc_id", "sa", "sb"])
-        .select(F.col("doc_id").alias("rep"), "n_shingles", "tokens", "sigs")
+        .select(F.col("doc_id").alias("rep"), "n_shingles", "shared", "tokens", "marks", "sigs")
     )
     several = members.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     same_id = members.join(several.select("doc_id", "low"), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
