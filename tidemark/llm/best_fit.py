@@ -27,8 +27,8 @@ from tidemark.session import cut
 
 CAPACITY = 2048
 END = 0  # the id behind every document
-#: Words whose ids a task remembers; beyond it forgets them all and starts again.
-REMEMBERED = 1 << 19
+#: Words whose ids a task remembers; others are encoded whenever they occur.
+REMEMBERED = 1 << 17
 
 
 class Placement(NamedTuple):
@@ -209,25 +209,37 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
+
+        def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of the words one after the other, and how many each has; few at a time, since the library's results are large."""
+            sizes, flat = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
+            for i in range(0, len(texts), 4096):
+                ids = [e.ids for e in tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flat.append(np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(sizes[-1].sum())))
+            return np.concatenate(flat), np.concatenate(sizes)
+
         known: dict[str, int] = {}
-        bounds, flat = [np.zeros(1, np.int64)], [np.empty(0, "<u4")]
-        for batch in slices(batches, 1):
+        flat, sizes = encoded([])
+        for batch in slices(batches, 1, 1 << 18):
             inside, offsets = flat_lists(batch.column(1))
             coded = pa.array(inside).dictionary_encode() if len(inside) else None
             entries = coded.dictionary.to_pylist() if coded else []
-            if len(known) > REMEMBERED:
-                known, bounds, flat = {}, [np.zeros(1, np.int64)], [np.empty(0, "<u4")]
             fresh = [w for w in entries if w not in known]
-            ids = [e.ids for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            bounds = [np.concatenate([bounds[0], bounds[0][-1] + np.cumsum(sizes)])]
-            flat = [np.concatenate([flat[0], np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(sizes.sum()))])]
-            where = np.fromiter((known[w] for w in entries), np.int64, len(entries))
+            here = dict(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            new_flat, new_sizes = encoded(fresh)
+            all_flat, all_sizes = np.concatenate([flat, new_flat]), np.concatenate([sizes, new_sizes])
+            firsts = np.cumsum(all_sizes) - all_sizes
+            where = np.fromiter((known[w] if w in known else here[w] for w in entries), np.int64, len(entries))
             at = where[np.asarray(coded.indices)] if coded else np.empty(0, np.int64)
-            long_ = bounds[0][at + 1] - bounds[0][at]
+            if len(known) < REMEMBERED:  # the words met first are the frequent ones
+                room = REMEMBERED - len(known)
+                known.update(zip(fresh[:room], range(len(known), len(known) + room), strict=False))
+                sizes = all_sizes[: len(known)]
+                flat = all_flat[: int(sizes.sum())]
+            long_ = all_sizes[at]
             ends = np.concatenate([[0], np.cumsum(long_)])
-            tokens = flat[0][np.arange(ends[-1]) + np.repeat(bounds[0][at] - ends[:-1], long_)]
+            tokens = all_flat[np.arange(ends[-1]) + np.repeat(firsts[at] - ends[:-1], long_)]
             doc_ends = ends[offsets[1:]]
             everything = np.insert(tokens, doc_ends, END).astype("<u4")
             whole = np.diff(np.concatenate([[0], doc_ends])) + 1  # ids of each document, the end included
