@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import contingency as ct
 from tidemark.operators import coverage as cv
 from tidemark.operators import filters as fl
+from tidemark.operators import overlaps
 from tidemark.operators import fuzzify as fz
 from tidemark.operators import patterns as pt
 from tidemark.operators import profile as pr
@@ -187,7 +188,7 @@ def sequential_ratio_filter(patterns, overlap, max_pct):
 def test_coverage_ratio_filter_equals_the_sequential_pass(wide, monkeypatch, max_pct, block):
     from tidemark.functions.measures import with_odds_interval
 
-    monkeypatch.setattr(fl, "PAIR_BLOCK", block)
+    monkeypatch.setattr(overlaps, "TILE", block)
     layout, cells, frame, patterns = wide
     ordered = sorted(patterns.collect(), key=lambda r: (r["class"], r.pattern_id))
     spark = frame.sparkSession

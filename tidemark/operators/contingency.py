@@ -12,6 +12,7 @@ from tidemark.functions.measures import MEASURES, WORST, with_measures
 from tidemark.functions.sqltext import array, case, name, num, text
 from tidemark.operators.coverage import cover_join
 from tidemark.operators.fuzzify import selectors_of
+from tidemark.operators.packed import packed_counts
 from tidemark.operators.patterns import EMPTY_ID, pattern_key
 from tidemark.operators.profile import Layout
 
@@ -48,9 +49,13 @@ def contingency(
 ) -> DataFrame:
     """Pattern columns plus tp, fp, tn, fn (BIGINT, exact). Empty patterns get 0, 0, 0, 0.
 
-    With ``by`` (batch columns) a pattern is scored on every batch in which its class occurs.
+    With ``by`` (batch columns) a pattern is scored on every batch in which its class occurs. Otherwise coverage and totals
+    come from one scan by bit columns, unless the caller knows the totals or there are more patterns than tasks should hold.
     """
     patterns = patterns.drop("tp", "fp", "tn", "fn")  # counts from other data
+    sums = packed_counts(cells, patterns, layout) if not by and totals is None else None
+    if sums is not None:
+        return _with_counts(patterns.join(sums, "pattern_id", "left"), patterns.columns)
     totals = class_totals(cells, by) if totals is None else totals
     counts = covered_counts(cells, patterns, layout, by, known_rows)
     if known_rows is not None and not by:
@@ -62,7 +67,11 @@ def contingency(
         scored = patterns.join(totals.drop("total"), "class", "left").withColumn(
             "total", totals.select(F.max("total")).scalar()
         )
-    scored = scored.join(counts, [*by, "pattern_id"], "left")
+    return _with_counts(scored.join(counts, [*by, "pattern_id"], "left"), patterns.columns, by)
+
+
+def _with_counts(scored: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The four counts from covered, hits, positives and total; nulls are 0."""
     tp, covered = "coalesce(hits, 0L)", "coalesce(covered, 0L)"
     positives, total = "coalesce(positives, 0L)", "coalesce(total, 0L)"
     counts_of = {
@@ -73,7 +82,7 @@ def contingency(
     }
     some = f"pattern_id <> {text(EMPTY_ID)}"
     return scored.selectExpr(
-        *by, *[name(c) for c in patterns.columns], *[f"{case([(some, e)], '0L')} AS {c}" for c, e in counts_of.items()]
+        *by, *[name(c) for c in columns], *[f"{case([(some, e)], '0L')} AS {c}" for c, e in counts_of.items()]
     )
 
 

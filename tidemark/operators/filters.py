@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +11,11 @@ from tidemark.functions.measures import MEASURES, intervals_overlap, with_measur
 from tidemark.functions.sqltext import case, num
 from tidemark.operators.contingency import contingency
 from tidemark.operators.coverage import cover_join
+from tidemark.operators.overlaps import overlap_pairs
 from tidemark.operators.patterns import n_elements
 from tidemark.operators.profile import Layout
 from tidemark.session import cut
 
-PAIR_BLOCK = 2048  # patterns held by one task while overlaps are counted
-
 FILTERS: dict[str, Callable] = {}
 
 
@@ -29,86 +26,6 @@ def register_filter(name: str, fn: Callable) -> Callable:
     return fn
 
 
-def overlap_pairs(cells: DataFrame, patterns: DataFrame, layout: Layout) -> DataFrame:
-    """(class, pos1, pos2, both): rows of their class two patterns share, for pos1 < pos2 and both > 0.
-
-    A task turns its cells into a 0/1 coverage matrix per class and multiplies it with itself, so only
-    finished sums leave the task. Patterns go out in blocks; each pair of blocks is one job, and the
-    pattern set itself is never held whole.
-    """
-    count = patterns.agg(F.max("pos")).first()[0]
-    starts = range(0, 0 if count is None else count + 1, PAIR_BLOCK)
-    blocks = {}
-
-    def block(start):
-        if start not in blocks:
-            rows = patterns.filter((F.col("pos") >= start) & (F.col("pos") < start + PAIR_BLOCK)).select("pos", "class", "masks")
-            blocks.clear()
-            blocks[start] = [(r["pos"], r["class"], r["masks"]) for r in rows.collect()]
-        return blocks[start]
-
-    out = None
-    for a in starts:
-        left = block(a)
-        for b in starts:
-            if b < a:
-                continue
-            part = _overlap_job(cells, left, left if b == a else block(b), layout)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        return cells.sparkSession.createDataFrame([], "class string, pos1 bigint, pos2 bigint, both bigint")
-    return out.groupBy("class", "pos1", "pos2").agg(F.sum("both").alias("both"))
-
-
-def _overlap_job(cells: DataFrame, left: list, right: list, layout: Layout) -> DataFrame:
-    words, word_var = layout.words, np.array(layout.word_var)
-    variables = range(len(layout.variables))
-
-    def by_class(patterns):
-        grouped: dict[str, tuple] = {}
-        for cls in {p[1] for p in patterns}:
-            own = [p for p in patterns if p[1] == cls]
-            grouped[cls] = (np.array([p[0] for p in own]), np.array([p[2] for p in own], dtype=np.int64))
-        return grouped
-
-    left_by, right_by = by_class(left), by_class(right)
-
-    def covered(rows: np.ndarray, masks: np.ndarray) -> np.ndarray:
-        hit = np.ones((len(rows), len(masks)), dtype=bool)
-        said = np.zeros(len(masks), dtype=bool)
-        for v in variables:
-            at = np.flatnonzero(word_var == v)
-            silent = (masks[:, at] == 0).all(axis=1)
-            shares = np.zeros_like(hit)
-            for w in at:
-                shares |= (rows[:, [w]] & masks[:, w]) != 0
-            hit &= shares | silent
-            said |= ~silent
-        return hit & said
-
-    def count(batches):
-        sums: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for cls, part in pdf.groupby("class"):
-                if cls not in left_by or cls not in right_by:
-                    continue
-                for start in range(0, len(part), 2048):
-                    chunk = part.iloc[start : start + 2048]
-                    rows = chunk[words].to_numpy(dtype=np.int64)
-                    weight = chunk["n"].to_numpy(dtype=np.float64)
-                    one = covered(rows, left_by[cls][1]) * weight[:, None]
-                    two = covered(rows, right_by[cls][1]).astype(np.float64)
-                    sums[cls] = sums.get(cls, 0) + one.T @ two
-        for cls, total in sums.items():
-            first, second = left_by[cls][0], right_by[cls][0]
-            i, j = np.nonzero((total > 0) & (first[:, None] < second[None, :]))
-            yield pd.DataFrame(
-                {"class": cls, "pos1": first[i], "pos2": second[j], "both": total[i, j].astype(np.int64)}
-            )
-
-    return cells.select("class", "n", *words).mapInPandas(count, "class string, pos1 bigint, pos2 bigint, both bigint")
-
-
 def coverage_ratio_filter(
     cells: DataFrame, patterns: DataFrame, layout: Layout, max_pct: float = 1.0, scored: DataFrame | None = None
 ) -> DataFrame:
@@ -128,7 +45,7 @@ def coverage_ratio_filter(
     side = ["pos", "tp", "odds_low", "odds_high", "size"]
     one = live.select("class", *[F.col(c).alias(f"{c}1") for c in side])
     two = live.select("class", *[F.col(c).alias(f"{c}2") for c in side])
-    pairs = overlap_pairs(cells, live.select("pos", "class", "masks"), layout).join(one, ["class", "pos1"]).join(two, ["class", "pos2"])
+    pairs = overlap_pairs(cells, live.select("pos", "class", "masks"), layout, max_pct).join(one, ["class", "pos1"]).join(two, ["class", "pos2"])
     close = pairs.filter(f"greatest(both / tp1, both / tp2) >= {num(max_pct)}")
     loser = case(
         [

@@ -11,19 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sqltext import array, name, num, plus
+from tidemark.operators.dominance import front_mask, front_numbers
 from tidemark.session import cut
 
-BLOCK = 4096  # objective vectors compared inside one task
+BLOCK = 1 << 16  # objective vectors compared inside one task
 BROADCAST_VECTORS = 200_000  # a front up to this size is shipped to the rows it is matched with
 GROUP = "__group"
 
 
-def _best_first(values: np.ndarray) -> np.ndarray:
-    """Row order in which a dominating vector always precedes the ones it dominates."""
-    keys = [-values[:, k] for k in reversed(range(values.shape[1]))]
-    return np.lexsort([*keys, -values.sum(axis=1)])
-
-
 def _dominated_by(values: np.ndarray, others: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values), dtype=bool)
     for start in range(0, len(others), 512):
@@ -34,28 +29,6 @@ def _dominated_by(values: np.ndarray, others: np.ndarray) -> np.ndarray:
     return out
 
 
-def _front_of(values: np.ndarray) -> np.ndarray:
-    """Mask of the non-dominated rows of one block."""
-    keep = np.zeros(len(values), dtype=bool)
-    for row in _best_first(values):
-        kept = values[keep]
-        beaten = ((kept >= values[row]).all(axis=1) & (kept > values[row]).any(axis=1)).any()
-        keep[row] = not beaten
-    return keep
-
-
-def _ranks_of(values: np.ndarray) -> np.ndarray:
-    """Front number of each row: one more than the deepest vector dominating it."""
-    order = _best_first(values)
-    ranks = np.zeros(len(values), dtype=np.int32)
-    for at, row in enumerate(order):
-        earlier = order[:at]
-        beats = (values[earlier] >= values[row]).all(axis=1) & (values[earlier] > values[row]).any(axis=1)
-        if beats.any():
-            ranks[row] = ranks[earlier[beats]].max() + 1
-    return ranks
-
-
 def _vectors(df: DataFrame, objectives: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Group and objective vector of every row that has all objectives."""
     picked = df.select(_group_column(by).alias(GROUP), *[F.col(o).cast("double").alias(o) for o in objectives])
@@ -91,7 +64,7 @@ def _front_vectors(vectors: DataFrame, objectives: Sequence[str]) -> tuple[DataF
                 if group in fronts:
                     values = np.vstack([fronts[group], values])
                 values = np.unique(values, axis=0)  # equal vectors do not dominate each other
-                fronts[group] = values[_front_of(values)]
+                fronts[group] = values[front_mask(values)]
         for group, values in fronts.items():
             out = pd.DataFrame(values, columns=names)
             out.insert(0, GROUP, group)
@@ -103,7 +76,7 @@ def _front_vectors(vectors: DataFrame, objectives: Sequence[str]) -> tuple[DataF
     if blocks <= 1:
 
         def final_front(pdf):
-            return pdf[_front_of(pdf[names].to_numpy(dtype=float))]
+            return pdf[front_mask(pdf[names].to_numpy(dtype=float))]
 
         return survivors.groupBy(GROUP).applyInPandas(final_front, _schema(names)), total
 
@@ -148,7 +121,7 @@ def pareto_rank(df: DataFrame, objectives: Sequence[str], by: Sequence[str] = ()
     if _group_sizes(vectors)[0] <= BLOCK:
 
         def rank_group(pdf):
-            return pdf.assign(front=_ranks_of(pdf[names].to_numpy(dtype=float)))
+            return pdf.assign(front=front_numbers(pdf[names].to_numpy(dtype=float)))
 
         ranked = vectors.groupBy(GROUP).applyInPandas(rank_group, _schema(names, "front int"))
     else:

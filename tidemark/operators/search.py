@@ -17,9 +17,9 @@ from tidemark.functions.measures import MEASURES
 from tidemark.functions.sqltext import any_of, all_of, array
 from tidemark.operators.contingency import class_totals, contingency, evaluate
 from tidemark.operators.coverage import cover_join
+from tidemark.operators.dominance import front_mask, front_numbers
 from tidemark.operators.filters import FILTERS, coverage_ratio_filter
 from tidemark.operators.generate import coverage_patterns, crossover, mutate, oriented_patterns, slots_for
-from tidemark.operators.pareto import _ranks_of
 from tidemark.operators.patterns import EMPTY_ID, canonicalise
 from tidemark.operators.profile import Layout, active_classes
 from tidemark.session import cut
@@ -91,7 +91,7 @@ def settle(state: DataFrame, objectives: Sequence[str], size: int) -> DataFrame:
 def _settle_class(pdf: pd.DataFrame, names: list[str], size: int) -> pd.DataFrame:
     pop = pdf[pdf["kind"] == "pop"].sort_values("slot")
     values = pop[names].to_numpy(dtype=float)
-    fronts = _ranks_of(values)
+    fronts = front_numbers(values)
     crowd = np.zeros(len(pop))
     for f in np.unique(fronts):
         crowd[fronts == f] = crowding_of(values[fronts == f])
@@ -99,7 +99,7 @@ def _settle_class(pdf: pd.DataFrame, names: list[str], size: int) -> pd.DataFram
     arc = pdf[(pdf["kind"] == "arc") & (pdf["pattern_id"] != EMPTY_ID)]
     arc = arc.drop_duplicates("pattern_id").sort_values("pattern_id")
     values = arc[names].to_numpy(dtype=float)
-    first = _ranks_of(values) == 0
+    first = front_mask(values)
     arc, values = arc[first], values[first]
     arc = arc.assign(front=0, crowding=crowding_of(values) if len(arc) else [])
     arc = arc.sort_values(["crowding", "pattern_id"], ascending=[False, True], kind="stable").head(size)
