@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_lists, slices, table, words
+from tidemark.llm.common import slices, table, words
 from tidemark.operators.rowindex import with_row_index
 from tidemark.session import cut
 
@@ -222,8 +222,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         known: dict[str, int] = {}
         flat, sizes = encoded([])
         for batch in slices(batches, 1, 1 << 18):
-            inside, offsets = flat_lists(batch.column(1))
-            coded = pa.array(inside).dictionary_encode() if len(inside) else None
+            offsets = np.asarray(batch.column(1).offsets).astype(np.int64)
+            inside = batch.column(1).values.slice(offsets[0], offsets[-1] - offsets[0])  # stays in Arrow: no Python object per word
+            offsets = offsets - offsets[0]
+            coded = inside.dictionary_encode() if len(inside) else None
             entries = coded.dictionary.to_pylist() if coded else []
             fresh = [w for w in entries if w not in known]
             here = dict(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))

@@ -268,12 +268,12 @@ def _links(sets: DataFrame, t: Threshold) -> DataFrame:
     kind = sets.schema["rep"].dataType.simpleString()
     # Sizes allow a link, and so do the tokens that are not the documents' own: the union is at least n + m less those.
     fits = F.expr(f"{t.den} * least(n, m) >= {t.num} * greatest(n, m) AND {t.den + t.num} * least(s, z) >= {t.num} * (n + m)")
-    index = cut(sets.select("rep", F.col("n_shingles").alias("n"), F.col("shared").alias("s"), F.explode("sigs").alias("sig"), F.col("rep").alias("comp")))
+    index = cut(sets.select("rep", F.col("n_shingles").alias("n"), F.col("shared").alias("s"), F.explode("sigs").alias("sig"), F.col("rep").alias("comp"), F.lit(0).alias("round")))
     links = sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-    number = 0
     while True:
+        # The round's number is a column, so every round runs the same compiled plans.
         per = index.groupBy("sig", "comp").agg(
-            F.count(F.lit(1)).alias("c"), F.min_by(F.struct("rep", "n", "s", "comp"), F.xxhash64(F.lit(number), "rep")).alias("one"), F.min(F.xxhash64(F.lit(number), "rep")).alias("draw")
+            F.count(F.lit(1)).alias("c"), F.min_by(F.struct("rep", "n", "s", "comp"), F.xxhash64("round", "rep")).alias("one"), F.min(F.xxhash64("round", "rep")).alias("draw")
         )
         chosen = per.groupBy("sig").agg(
             F.max_by("one", F.struct("c", F.negative("comp"))).alias("top"), F.count(F.lit(1)).alias("comps")
@@ -285,9 +285,9 @@ def _links(sets: DataFrame, t: Threshold) -> DataFrame:
         if apart.isEmpty():
             return links
         others = apart.select(
-            "rep", "n", "s", "comp", F.explode(F.array("top", "next")).alias("o")
-        ).where(F.col("o.comp") != F.col("comp")).select("rep", "n", "s", F.col("o.rep").alias("other"), F.col("o.n").alias("m"), F.col("o.s").alias("z")).where(fits)
-        drawn = F.xxhash64(F.lit(number), "other")
+            "rep", "n", "s", "comp", "round", F.explode(F.array("top", "next")).alias("o")
+        ).where(F.col("o.comp") != F.col("comp")).select("rep", "n", "s", "round", F.col("o.rep").alias("other"), F.col("o.n").alias("m"), F.col("o.s").alias("z")).where(fits)
+        drawn = F.xxhash64("round", "other")
         pairs = cut(
             others.groupBy("rep").agg(F.min_by("other", drawn).alias("x"), F.max_by("other", drawn).alias("y"))
             .select("rep", F.explode(F.array_distinct(F.array("x", "y"))).alias("other"))
@@ -297,13 +297,13 @@ def _links(sets: DataFrame, t: Threshold) -> DataFrame:
         met, linked = pairs.count(), found.count()
         links = links.unionByName(found)
         if linked:
+            # A component takes the least name among itself and those it is linked with. Members of one that moves on keep the name they
+            # share, and meet again next round: names never join what is not linked.
             label = index.select("rep", "comp").distinct()
-            joined = found.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b").select("x", "y")
-            moved = components(joined, "x", "y").toDF("comp", "now")
-            index = index.select("rep", "n", "s", "sig", "comp").join(moved, "comp", "left").select("rep", "n", "s", "sig", F.coalesce("now", "comp").alias("comp"))
-        else:
-            index = index.select("rep", "n", "s", "sig", "comp")
-        number += 1
+            joined = found.join(label.toDF("a", "x"), "a").join(label.toDF("b", "y"), "b").select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e"))
+            moved = joined.groupBy(F.col("e.x").alias("comp")).agg(F.least("comp", F.min("e.y")).alias("now"))
+            index = index.join(moved, "comp", "left").withColumn("comp", F.coalesce("now", "comp"))
+        index = index.select("rep", "n", "s", "sig", "comp", (F.col("round") + 1).alias("round"))
         if linked * WORTH <= met:
             break
     # What still lies apart: every pair of an entry from two components, the largest component's own members excepted, whose marks allow it.
