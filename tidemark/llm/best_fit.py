@@ -11,7 +11,6 @@ a hot id meets in one task.
 
 from __future__ import annotations
 
-import itertools
 import os
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,7 +27,10 @@ from tidemark.session import cut
 CAPACITY = 2048
 END = 0  # the id behind every document
 #: Words whose ids a task remembers; others are encoded whenever they occur.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 19
+#: A character that is one token by itself, put between words that are encoded together.
+MARK = "\x01"
+JOINED = 256
 
 
 class Placement(NamedTuple):
@@ -210,26 +212,39 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
 
+        stop = tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+
         def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Ids of the words one after the other, and how many each has; few at a time, since the library's results are large."""
-            sizes, flat = [np.empty(0, np.int64)], [np.empty(0, "<u4")]
-            for i in range(0, len(texts), 4096):
-                ids = [e.ids for e in tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
-                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-                flat.append(np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(sizes[-1].sum())))
-            return np.concatenate(flat), np.concatenate(sizes)
+            """Ids of the words one after the other, and how many each has. Words are encoded ``JOINED`` at a time with a mark
+            behind each, few of these texts at once, since the library's results are large; a word that holds the mark, or might hold a
+            special token, stands alone."""
+            plain = [w for w in texts if MARK not in w and "<|" not in w]
+            odd = [w for w in texts if MARK in w or "<|" in w]
+            ids, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+            for i in range(0, len(plain), JOINED):
+                got = tokenizer.encode_batch_fast([f" {MARK} ".join([*plain[i : i + JOINED], ""])], add_special_tokens=False)[0].ids
+                got = np.array(got, "<u4")
+                ends = np.flatnonzero(got == stop)
+                ids.append(got[got != stop])
+                sizes.append(np.diff(ends, prepend=-1) - 1)
+            for w in odd:
+                ids.append(np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4"))
+                sizes.append(np.array([len(ids[-1])]))
+            if odd:
+                texts[:] = plain + odd
+            return np.concatenate(ids), np.concatenate(sizes)
 
         known: dict[str, int] = {}
         flat, sizes = encoded([])
-        for batch in slices(batches, 1, 1 << 18):
+        for batch in slices(batches, 1, 1 << 19):
             offsets = np.asarray(batch.column(1).offsets).astype(np.int64)
             inside = batch.column(1).values.slice(offsets[0], offsets[-1] - offsets[0])  # stays in Arrow: no Python object per word
             offsets = offsets - offsets[0]
             coded = inside.dictionary_encode() if len(inside) else None
             entries = coded.dictionary.to_pylist() if coded else []
             fresh = [w for w in entries if w not in known]
-            here = dict(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             new_flat, new_sizes = encoded(fresh)
+            here = dict(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             all_flat, all_sizes = np.concatenate([flat, new_flat]), np.concatenate([sizes, new_sizes])
             firsts = np.cumsum(all_sizes) - all_sizes
             where = np.fromiter((known[w] if w in known else here[w] for w in entries), np.int64, len(entries))
