@@ -19,7 +19,8 @@ from tidemark.llm.common import table
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # A match can only begin where a run of digits does, and ends where one does; the run is not tried again from within.
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -47,19 +48,21 @@ _SPELLED_RUN = re.compile(
 )
 _SPELLED_TOKEN = re.compile(rf"(?<!\w)(?:{_WORD}|plus|dot|point)(?!\w)", re.I)
 _SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_WORD})[\s,.-]+(?:{_WORD}|[0-9]+|dot|point)(?!\w)", re.I)
-_AT = r"\s*(?:\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{\s*(?:at|@)\s*\}|<\s*(?:at|@)\s*>)\s*"
-_DOT = r"\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>)\s*"
+_AT = r"\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{\s*(?:at|@)\s*\}|<\s*(?:at|@)\s*>"
+_DOT = r"\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*(?:dot|\.)\s*>"
 _BRACKET_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 #: Endings that a domain spelled with bare words may have; other words after "dot" are prose.
 ENDINGS = "com org net edu gov mil int info biz name io ai app dev co me tv us uk ca au nz ie de fr es it nl be ch at pt pl se no dk fi eu ru cn jp kr in br mx ar cl za"
-#: Bare words count only where the whole address is spelled: name at host dot domain.
-_BARE = re.compile(
-    r"(?<![\w.@])[A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*(?:\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+"
-    rf"(?:{'|'.join(ENDINGS.split())})(?![\w-])", re.I
-)
+#: Bare words count only where the whole address is spelled: name at host dot domain. The search starts from each "at".
+_ENDING = re.compile("|".join(ENDINGS.split()), re.I)
 _BARE_HINT = re.compile(r"\sdot\s", re.I)
-_BARE_TOKEN = re.compile(r"\s+(at|dot)\s+|\s*(@)\s*", re.I)
+_BARE_AT = re.compile(r"(?<!\S)at(?!\S)|@", re.I)
+_BARE_DOT = re.compile(r"\s+dot\s+", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]+")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+#: Four numbers of up to three digits with written dots between them.
+_WRITTEN_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?!\w)", re.I)
 _ODD = re.compile("[" + "".join(LOOKALIKES) + INVISIBLE + DASHES + "！-～٠-٩۰-۹①-⑨\U0001d400-\U0001d7ff@＠．。]")
 
 
@@ -118,18 +121,94 @@ def deobfuscated(text: str) -> Traced | None:
     if odd:
         t = t.rewrite([(m.start(), m.end(), _homoglyph(m[0])) for m in odd])
     if _BRACKET_HINT.search(t.text):
-        t = t.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(t.text)])
-    if _BARE_HINT.search(t.text):
         edits = []
-        for m in _BARE.finditer(t.text):
-            for x in _BARE_TOKEN.finditer(t.text, m.start(), m.end()):
-                edits.append((x.start(), x.end(), "." if (x[1] or "").lower() == "dot" else "@"))
+        for m in _BRACKETED.finditer(t.text):
+            edits.append((_back(t.text, m.start(), edits[-1][1] if edits else 0), _ahead(t.text, m.end()), "@" if m["at"] else "."))
         t = t.rewrite(edits)
+    if _BARE_HINT.search(t.text):
+        t = t.rewrite(_bare_edits(t.text))
+        t = t.rewrite([(x.start(), x.end(), ".") for m in _WRITTEN_IP.finditer(t.text) for x in _BARE_DOT.finditer(t.text, m.start(), m.end())])
     if _SPELLED_HINT.search(t.text):
         t = t.rewrite(_spelled_edits(t.text))
     return None if t.text == text else t
 
 
+def _back(text: str, at: int, low: int) -> int:
+    """Where the white space that ends at ``at`` begins, ``low`` at least."""
+    while at > low and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _ahead(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
+
+
+def _bare_edits(text: str) -> list[tuple[int, int, str]]:
+    """Edits of addresses in bare words: name words joined by dots, an at, host words joined by written dots, an ending.
+
+    Both sides of an at are walked as far as the next one at most, so the work is linear in the text.
+    """
+    places = [m.span() for m in _BARE_AT.finditer(text)]
+    edits: list[tuple[int, int, str]] = []
+    done = 0
+    for k, (begin, end) in enumerate(places):
+        low = max(done, places[k - 1][1] if k else 0)
+        high = places[k + 1][0] if k + 1 < len(places) else len(text)
+        left, right = _back(text, begin, low), _ahead(text, end)
+        domain, stop = _host_edits(text, right, high)
+        if not domain:
+            continue
+        name, start = _name_edits(text, left, low)
+        if start is None:
+            continue
+        edits += [*name, (left, right, "@"), *domain]
+        done = stop
+    return edits
+
+
+def _host_edits(text: str, at: int, high: int) -> tuple[list[tuple[int, int, str]], int]:
+    """Edits of the written dots up to the last word that is an ending, and where it ends; none if no word is."""
+    edits: list[tuple[int, int, str]] = []
+    kept, stop = 0, at
+    word = _HOST.match(text, at, high)
+    while word:
+        dot = _BARE_DOT.match(text, word.end(), high)
+        word = _HOST.match(text, dot.end(), high) if dot else None
+        if word:
+            edits.append((dot.start(), dot.end(), "."))
+            after = text[word.end() : word.end() + 1]
+            if _ENDING.fullmatch(word[0]) and not (after.isalnum() or after == "_"):
+                kept, stop = len(edits), word.end()
+    return edits[:kept], stop
+
+
+def _name_edits(text: str, at: int, low: int) -> tuple[list[tuple[int, int, str]], int | None]:
+    """Edits of the written dots of the name that ends at ``at``, and where it begins; None if there is no name."""
+    edits: list[tuple[int, int, str]] = []
+    kept, start = 0, None
+    while True:
+        begin = at
+        while begin > low and text[begin - 1] in _NAME:
+            begin -= 1
+        if begin == at:
+            break
+        before = text[begin - 1 : begin]
+        if not (before.isalnum() or before in ("_", ".", "@")):
+            kept, start = len(edits), begin
+        if before == "." and begin - 1 > low:
+            at = begin - 1
+            continue
+        word = _back(text, begin, low)
+        if word == begin or word - 3 <= low or text[word - 3 : word].lower() != "dot" or not text[word - 4].isspace():
+            break
+        at = _back(text, word - 3, low)
+        edits.append((at, begin, "."))
+    return edits[:kept][::-1], start
+
+
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for run in _SPELLED_RUN.finditer(text):
