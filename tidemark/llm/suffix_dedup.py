@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.common import flat_lists, hashes, mix, slices, table, words
-from tidemark.session import cut
+from tidemark.llm.common import components, flat_lists, hashes, mix, slices, table, words
+from tidemark.session import cut, scratch_path
 
 K = 25
 WINDOW = 25
@@ -210,7 +210,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     if min_words < K + WINDOW - 1:
         raise ValueError(f"min_words must be at least {K + WINDOW - 1}")
     hashed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", hashes(words(F.col("text"))).alias("h"))
-    suffixes = _suffixes(hashed.where(F.size("h") >= min_words))
+    # Written as a table, small beside the texts, since it is read twice.
+    path = scratch_path(docs.sparkSession, "suffixes")
+    _suffixes(hashed.where(F.size("h") >= min_words)).write.option("compression", "zstd").parquet(path)
+    suffixes = docs.sparkSession.read.parquet(path)
     # Written out, so that the join below stands alone and adaptive execution can split a k-gram of very many documents.
     shared = cut(suffixes.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("gram"))
     wanted = suffixes.join(shared, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "gram")).alias("places"))  # one document's
@@ -247,23 +250,36 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def repeated_spans(passages: DataFrame) -> DataFrame:
-    """(doc_id, start, n_words, other_doc, n_others): the words of each document that stand in its ``passages``, as disjoint
-    spans, with the smallest of the documents matched there and the number of matches. One document's matches at a time."""
-    sides = passages.select(
+    """(doc_id, start, n_words, other_doc, n_others, class_id): the words of each document that stand in its ``passages``, as disjoint
+    spans, with the smallest of the documents matched there and the number of matches.
+
+    Spans that a passage matches are linked, and a class is all that links reach: every holder of a passage, though each meets its
+    neighbours only. class_id is the smallest document with a span in the class, so all but the spans of that document
+    are copies. Overlapping passages of a document are one span, so passages that overlap somewhere share a class.
+    One document's matches are held at a time, never a class.
+    """
+    numbered = cut(passages.withColumn("pair", F.monotonically_increasing_id()))
+    sides = numbered.select(
         F.explode(
             F.array(
-                F.struct(F.col("doc_a").alias("doc_id"), F.col("start_a").alias("start"), "n_words", F.col("doc_b").alias("other")),
-                F.struct(F.col("doc_b").alias("doc_id"), F.col("start_b").alias("start"), "n_words", F.col("doc_a").alias("other")),
+                F.struct(F.col("doc_a").alias("doc_id"), F.col("start_a").alias("start"), "n_words", F.col("doc_b").alias("other"), "pair", F.lit(0).alias("side")),
+                F.struct(F.col("doc_b").alias("doc_id"), F.col("start_b").alias("start"), "n_words", F.col("doc_a").alias("other"), "pair", F.lit(1).alias("side")),
             )
         ).alias("m")
     ).select("m.*")
-    own = Window.partitionBy("doc_id").orderBy("start", "n_words", "other")
+    own = Window.partitionBy("doc_id").orderBy("start", "n_words", "other", "pair", "side")
     far = F.max(F.col("start") + F.col("n_words")).over(own.rowsBetween(Window.unboundedPreceding, -1))
     marked = sides.withColumn("fresh", F.when(F.col("start") <= far, 0).otherwise(1)).withColumn("span", F.sum("fresh").over(own))
-    return marked.groupBy("doc_id", "span").agg(
-        F.min("start").alias("start"), (F.max(F.col("start") + F.col("n_words")) - F.min("start")).alias("n_words"),
+    # A side of a pair lies in one span, so the first one names it.
+    named = cut(marked.withColumn("node", F.min(2 * F.col("pair") + F.col("side")).over(Window.partitionBy("doc_id", "span"))))
+    spans = named.groupBy("node").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), (F.max(F.col("start") + F.col("n_words")) - F.min("start")).alias("n_words"),
         F.min("other").alias("other_doc"), F.count(F.lit(1)).alias("n_others"),
-    ).drop("span")
+    )
+    links = named.groupBy("pair").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    placed = cut(spans.join(components(links), "node"))  # every span has a match, so all are among the nodes
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return placed.join(least, "component").select("doc_id", "start", "n_words", "other_doc", "n_others", "class_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
