@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -130,6 +131,22 @@ def test_suffix_edges(hard_docs, no_docs):
         suffix_dedup.repeated_passages(no_docs, 30)
 
 
+def test_holders_of_a_passage_are_one_class(spark):
+    """However the neighbours fall, all holders of a passage reach its smallest one."""
+    rng, vocab = random.Random(21), vocabulary()
+    shared = [prose(rng, 60, vocab), prose(rng, 75, vocab), prose(rng, 52, vocab)]
+    texts, holds = [], []
+    for i in range(300):
+        parts = [prose(rng, rng.randint(5, 60), vocab), prose(rng, rng.randint(5, 60), vocab)]
+        which = (0,) if i < 200 else (1,) if i < 260 else (2, 2) if i == 270 else () if i < 280 else (2,)
+        texts.append("\n".join([parts[0], *(shared[w] + "\n" + parts[1] for w in which)]))
+        holds.append(which)
+    got = suffix_dedup.repeated_spans(suffix_dedup.repeated_passages(make_docs(spark, texts))).collect()
+    least = {0: 0, 1: 200, 2: 270}
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(d, least[w]) for d, which in enumerate(holds) for w in which]
+    assert all(r["n_words"] >= 50 for r in got)
+
+
 def test_every_window_has_a_retained_position():
     grams = np.random.default_rng(0).integers(0, 1 << 60, 500).astype(np.uint64)
     at = suffix_dedup.retained(grams)
@@ -162,6 +179,27 @@ def test_boundaries_are_optimal():
         assert sum(next(u for u in got.upper if x <= u) - x for x in lengths) == got.padding
 
 
+def test_boundaries_of_many_lengths():
+    """Long lengths are bins of their own: the plain quadratic recurrence gives the same padding and boundaries."""
+    rng = np.random.default_rng(11)
+    for n, k in ((700, 7), (333, 16), (5, 9)):
+        values = np.sort(rng.choice(np.arange(1, 50_000), n, replace=False))
+        counts = rng.integers(1, 10**9, n)
+        rows, tokens = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, values * counts))
+        cost = [[int(values[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])) for i in range(j)] for j in range(n + 1)]
+        layer, ways = [0] + [None] * n, []
+        for _ in range(min(k, n)):
+            fresh = [None] * (n + 1)
+            for j in range(1, n + 1):
+                fresh[j] = min((layer[i] + cost[j][i] for i in range(j) if layer[i] is not None), default=None)
+            layer = fresh
+            ways.append(layer[n])
+        got = packing.best_boundaries(values, counts, values * counts, k)
+        assert got.padding == min(ways) and len(got.upper) == 1 + ways.index(min(ways))
+        at = np.searchsorted(got.upper, values)
+        assert int(((np.array(got.upper)[at] - values) * counts).sum()) == got.padding
+
+
 def test_batches(hard_docs, no_docs):
     out = packing.packed_batches(hard_docs, budget=700, k=4).toPandas()
     assert len(out) == hard_docs.count()
@@ -290,6 +328,52 @@ def test_emails_are_the_patterns(spark):
         assert private_data.identifiers(text)["email"] == [m.span() for m in pattern.finditer(text)]
 
 
+def test_base_spans_are_the_patterns():
+    """The contract's patterns as they are written, on short random texts."""
+    rng = random.Random(5)
+    written = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    accept = {
+        "email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
+        "card": lambda m: 14 <= sum(c.isdigit() for c in m) <= 19 and private_data._luhn(re.sub("[ -]", "", m)),
+        "phone": lambda m: 10 <= sum(c.isdigit() for c in m) <= 15,
+    }
+    for alphabet in ("1.2 a", "12.", "0123456789 -", "+1 2(3)-4.", "a.@-1+ "):
+        for _ in range(2000):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40)))
+            got = private_data.identifiers(text)
+            for kind, pattern in written.items():
+                assert got[kind] == [m.span() for m in re.finditer(pattern, text) if accept[kind](m[0])], (kind, text)
+
+
+@pytest.mark.parametrize(
+    "unit", ["-", "7", " ", "\n", "[", "(", "[ ", "@", "a@", ".", "1.", "a dot ", "at dot ", "a at ", "one ", "one - ", "plus ", "+1 ", "1 dot ", "a.b dot c ", "%"]
+)
+def test_long_runs_take_linear_time(unit):
+    """A million characters of one kind behind every hint that a transducer looks for."""
+    hints = "x dot y 1.1.1 one two [at] @ "
+    began = time.monotonic()
+    private_data.private_spans(hints + unit * (1_000_000 // len(unit)))
+    assert time.monotonic() - began < 15
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("go to 10 dot 0 dot 0  dot 255 now", ["10 dot 0 dot 0  dot 255"]),
+        ("300 dot 1 dot 1 dot 1", []),
+        ("a1 dot 2 dot 3 dot 4", []),
+        ("call jo dot x at y at z dot q dot com.", ["y at z dot q dot com"]),
+        ("write a.b dot c @ d dot e dot org, not f at g dot shop", ["a.b dot c @ d dot e dot org"]),
+        ("jo [ at ] x (dot) y\n{dot} com", ["jo [ at ] x (dot) y\n{dot} com"]),
+    ],
+)
+def test_bare_words(text, spans):
+    assert [text[a:b] for _, a, b in private_data.private_spans(text)[1]] == spans
+
+
 def test_private_edges(hard_docs, no_docs):
     rows = private_data.private_data(hard_docs).collect()
     assert len(rows) == hard_docs.count()
