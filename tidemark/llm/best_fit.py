@@ -11,26 +11,35 @@ a hot id meets in one task.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, table, words
+from tidemark.llm.common import slices, table
 from tidemark.operators.rowindex import with_row_index
 from tidemark.session import cut
 
 CAPACITY = 2048
 END = 0  # the id behind every document
-#: Words whose ids a task remembers; others are encoded whenever they occur.
+#: Words, and pieces of words, whose ids a task remembers; others are encoded whenever they occur.
 REMEMBERED = 1 << 19
 #: A character that is one token by itself, put between words that are encoded together.
 MARK = "\x01"
 JOINED = 256
+#: The rules of the vocabulary that ``_Encoder`` follows itself for words of these letters. They are lower-cased
+#: letter by letter and no composition changes them.
+STEPS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+_PIECES = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\na-z\u00df-\u00f6\u00f8-\u017f0-9]+")
 
 
 class Placement(NamedTuple):
@@ -198,52 +207,108 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return Plan(sorted(out), sequences, fixed)
 
 
+class _Encoder:
+    """Ids of words. Words of the letters in ``_PLAIN`` are cut into the vocabulary's pieces, and each different piece is looked up in
+    its merges once; all other words, and all words of a vocabulary with other rules, go through the whole tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.stop = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        steps = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.own = steps == STEPS and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"].get("Regex") == SPLIT
+        # A byte is written as the letter of its code; those without a visible letter take the codes from 256 on.
+        self.letters, beyond = {}, 256
+        for byte in range(256):
+            if 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174:
+                continue
+            self.letters[byte] = chr(beyond)
+            beyond += 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at = {"\n": 0}
+        self.flat, self.sizes = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def encoded(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, their ids one after the other, and how many each has."""
+        own, rest = [], []
+        for w in words:
+            (own if self.own and _PLAIN.fullmatch(w) and "<|" not in w else rest).append(w)
+        flat, sizes = self._by_pieces(own)
+        rest, more, more_sizes = self._whole(rest)
+        return own + rest, np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
+
+    def _by_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = _PIECES.findall("\n".join([*words, ""]).lower())  # a line end behind every word
+        if len(self.at) > REMEMBERED:
+            self._forget()
+        fresh = list(set(pieces).difference(self.at))
+        merged = self.tokenizer.model.tokenize
+        ids, sizes = [], []
+        for p in fresh:
+            got = merged(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters))
+            sizes.append(len(got))
+            ids += [t.id for t in got]
+        self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh)), strict=True))
+        self.flat = np.concatenate([self.flat, np.array(ids, "<u4")])
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+        which = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        long_ = self.sizes[which]
+        ends = np.concatenate([[0], np.cumsum(long_)])
+        firsts = np.cumsum(self.sizes) - self.sizes
+        out = self.flat[np.arange(ends[-1]) + np.repeat(firsts[which] - ends[:-1], long_)]
+        return out, np.diff(ends[np.flatnonzero(which == 0)], prepend=0)
+
+    def _whole(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words are encoded ``JOINED`` at a time with a mark behind each, few of these texts at once, since the library's results
+        are large; a word that holds the mark, or might hold a special token, stands alone."""
+        plain = [w for w in words if MARK not in w and "<|" not in w]
+        odd = [w for w in words if MARK in w or "<|" in w]
+        ids, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for i in range(0, len(plain), JOINED):
+            got = self.tokenizer.encode_batch_fast([f" {MARK} ".join([*plain[i : i + JOINED], ""])], add_special_tokens=False)[0].ids
+            got = np.array(got, "<u4")
+            ends = np.flatnonzero(got == self.stop)
+            ids.append(got[got != self.stop])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        for w in odd:
+            ids.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4"))
+            sizes.append(np.array([len(ids[-1])]))
+        return plain + odd, np.concatenate(ids), np.concatenate(sizes)
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids) of every row of ``docs`` (doc_id, text; other columns are ignored).
 
     A document is the tokenizer's ids of its text, without special ones, then id 0. One of more than ``capacity`` ids is cut into pieces of
     that many, the last may be shorter. ``ids`` are little-endian unsigned 32-bit numbers. A null or empty text is the end id alone. White
-    space separates tokens in this vocabulary, so a task encodes each distinct word once and looks the others up.
+    space separates tokens in this vocabulary, so a task encodes each distinct word once and looks the others up. Empty words between
+    spaces have no ids.
     """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-        from tokenizers import Tokenizer
+        encoder = _Encoder(tokenizer_path)
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-
-        stop = tokenizer.encode(MARK, add_special_tokens=False).ids[0]
-
-        def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Ids of the words one after the other, and how many each has. Words are encoded ``JOINED`` at a time with a mark
-            behind each, few of these texts at once, since the library's results are large; a word that holds the mark, or might hold a
-            special token, stands alone."""
-            plain = [w for w in texts if MARK not in w and "<|" not in w]
-            odd = [w for w in texts if MARK in w or "<|" in w]
-            ids, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
-            for i in range(0, len(plain), JOINED):
-                got = tokenizer.encode_batch_fast([f" {MARK} ".join([*plain[i : i + JOINED], ""])], add_special_tokens=False)[0].ids
-                got = np.array(got, "<u4")
-                ends = np.flatnonzero(got == stop)
-                ids.append(got[got != stop])
-                sizes.append(np.diff(ends, prepend=-1) - 1)
-            for w in odd:
-                ids.append(np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4"))
-                sizes.append(np.array([len(ids[-1])]))
-            if odd:
-                texts[:] = plain + odd
-            return np.concatenate(ids), np.concatenate(sizes)
+        def split() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spaced = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))
+                yield pa.RecordBatch.from_arrays([batch.column(0), spaced], names=["doc_id", "words"])
 
         known: dict[str, int] = {}
-        flat, sizes = encoded([])
-        for batch in slices(batches, 1, 1 << 19):
+        flat, sizes = np.empty(0, "<u4"), np.empty(0, np.int64)
+        for batch in slices(split(), 1, 1 << 19):
             offsets = np.asarray(batch.column(1).offsets).astype(np.int64)
             inside = batch.column(1).values.slice(offsets[0], offsets[-1] - offsets[0])  # stays in Arrow: no Python object per word
             offsets = offsets - offsets[0]
             coded = inside.dictionary_encode() if len(inside) else None
             entries = coded.dictionary.to_pylist() if coded else []
-            fresh = [w for w in entries if w not in known]
-            new_flat, new_sizes = encoded(fresh)
+            fresh, new_flat, new_sizes = encoder.encoded([w for w in entries if w not in known])
             here = dict(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
             all_flat, all_sizes = np.concatenate([flat, new_flat]), np.concatenate([sizes, new_sizes])
             firsts = np.cumsum(all_sizes) - all_sizes
@@ -279,7 +344,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", words(F.col("text")).alias("words")).mapInArrow(
+    return docs.select("doc_id", "text").mapInArrow(
         cut_up, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary"
     )
 
