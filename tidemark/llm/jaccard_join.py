@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +35,9 @@ TOKEN_BITS = 48
 SLOT_BITS = 25
 #: Tokens of at least 2 ** this documents count as frequent.
 FREQUENT_CLASS = 6
-FLUSH = 2_000_000
+#: Tokens that a task counts at once, and words from which it makes sets at once: bounds of its memory.
+FLUSH = 1_000_000
+PIECE = 1 << 18
 #: Rounds of representatives go on while one in so many of their verifications is a link.
 WORTH = 20
 #: Bits of a set's marks, by which most candidates that do not link are told without their tokens.
@@ -92,7 +93,7 @@ def frequency_classes(hashed: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, PIECE):
             token = token_sets(*flat_lists(batch.column(0)), n)[1]
             held.append(token)
             size += len(token)
@@ -102,10 +103,8 @@ def frequency_classes(hashed: DataFrame, n: int) -> np.ndarray:
         if size:
             yield packed(np.concatenate(held))
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        once = np.frombuffer(b"".join(rows["once"]), np.uint32)
-        more = np.frombuffer(b"".join(rows["more"]), np.uint32)
-        counts = np.frombuffer(b"".join(rows["counts"]), np.uint32).astype(np.float64)
+    def merge(rows: pa.Table) -> pa.Table:
+        once, more, counts = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint32) for c in ("once", "more", "counts"))
         value = np.concatenate([once, more])
         order = np.argsort(value, kind="stable")
         value, weight = value[order], np.concatenate([np.ones(len(once)), counts])[order]
@@ -115,11 +114,11 @@ def frequency_classes(hashed: DataFrame, n: int) -> np.ndarray:
         lead = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         out = np.zeros(1 << (SLOT_BITS - bits), np.uint8)
         out[slot[lead]] = np.maximum.reduceat(total, lead)
-        return pd.DataFrame({"part": [rows["part"].iat[0]], "classes": [zlib.compress(out.tobytes(), 1)]})
+        return pa.table({"part": rows.column("part").slice(0, 1), "classes": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
     got = (
         hashed.select("h").mapInArrow(count, "part int, once binary, more binary, counts binary")
-        .groupBy("part").applyInPandas(merge, "part int, classes binary").toArrow()
+        .groupBy("part").applyInArrow(merge, "part int, classes binary").toArrow()
     )
     out = np.zeros(1 << SLOT_BITS, np.uint8)
     wide = 1 << (SLOT_BITS - bits)
@@ -201,7 +200,7 @@ def set_records(hashed: DataFrame, n: int, t: Threshold) -> DataFrame:
 
     def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_slot = sent.value
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, PIECE):
             rows = batch.num_rows
             row, token = token_sets(*flat_lists(batch.column(1)), n)
             size = np.bincount(row, minlength=rows)
