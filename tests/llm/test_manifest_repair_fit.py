@@ -346,6 +346,21 @@ def test_tokens_of_odd_texts(spark):
     assert [bytes(got[i]["ids"]) for i in range(len(texts))] == [ids.tobytes() for ids in plain_ids(texts)]
 
 
+def test_words_by_pieces_are_the_tokenizers():
+    """Random words of letters, digits, signs, apostrophes, composed and decomposed letters; the memory of pieces may be small."""
+    rng, encoder = random.Random(4), best_fit._Encoder(path())
+    assert encoder.own
+    letters = "aAbsStTrReEvVmMlLdD0159.,!_-<|>'ÀÖöøßſŸİıʼné\u0301×÷ńŁ¹²\x00\x7f"
+    made = list({"".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(8000)})
+    for part in (made[:4000], made[4000:], []):
+        words, flat, sizes = encoder.encoded(part)
+        assert sorted(words) == sorted(part) and sizes.sum() == len(flat)
+        ends = np.cumsum(sizes)
+        for w, n, end in zip(words, sizes, ends, strict=True):
+            assert flat[end - n : end].tolist() == encoder.tokenizer.encode(w, add_special_tokens=False).ids, w
+        encoder._forget()
+
+
 def test_equal_rows_and_nothing(spark, no_docs):
     docs = make_docs(spark, ["one two three four"] * 3000, [7] * 3000)
     got = best_fit.packed_documents(docs, path()).groupBy("sequence_id").count().collect()
