@@ -275,6 +275,43 @@ def test_edited_copies_are_found(spark, copies):
     assert got == pytest.approx(want | {(len(items) + j, j // max(copies, 1)): 1.0 for j in range(len(items) * copies)})
 
 
+def test_everyday_phrases_are_no_seeds(spark):
+    """A phrase of 50 items and 500 clean texts makes no pairs; copies are found, however many there are."""
+    rng, vocab = random.Random(11), [f"w{i}" for i in range(5000)]
+    phrase = "what is the name of this"
+    items = [prose(rng, 12, vocab) + f" {phrase} " + prose(rng, 12, vocab) for _ in range(50)]
+    clean = [prose(rng, 20, vocab) + f" {phrase} " + prose(rng, 20, vocab) for _ in range(500)]
+    half = [prose(rng, 5, vocab) + " " + " ".join(items[1].split()[:22]) for _ in range(120)]  # many copies of one part
+    edited = [" ".join("new" if i % 6 == k else w for i, w in enumerate(items[2].split())) for k in range(6)]
+    texts = [*clean, *half, *edited, *[items[2]] * 40]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id bigint, text string")
+    docs = make_docs(spark, texts)
+    listed = bench.select("item_id", decontaminate.normal_words(bench["text"]).alias("item")).selectExpr("*", "size(item) item_words")
+    _, pairs = decontaminate._candidates(docs, listed, 4, 0.5)
+    assert pairs.where("item_id NOT IN (1, 2)").count() < 50  # of 25 000; those share the word before or after the phrase too
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {*((500 + i, 1) for i in range(120)), *((620 + i, 2) for i in range(46))}
+
+
+def test_long_texts_come_in_tiles(spark):
+    """A long text full of seeds is cut into bounded tiles, and its best alignments are those of the whole text."""
+    rng, vocab = random.Random(12), vocabulary()
+    items = [prose(rng, n, vocab) for n in (12, 30)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id bigint, text string")
+    seeds = [" ".join(item.split()[k : k + 5]) for item in items for k in range(0, 8, 2)]
+    text = " ".join(rng.choice(seeds) + " " + rng.choice(vocab) for _ in range(3000)) + " " + " ".join(items[1].split()[:27])
+    docs = make_docs(spark, [text, "w " * 1_000_000])
+    listed = bench.select("item_id", decontaminate.normal_words(bench["text"]).alias("item")).selectExpr("*", "size(item) item_words")
+    passages, _ = decontaminate._candidates(docs, listed, 4, 0.5)
+    assert passages.selectExpr("max(size(words))").first()[0] <= 3 * 2 * 30 and passages.count() > 50
+    got = {r["item_id"]: r["score"] for r in decontaminate.contamination(docs, bench).where("doc_id = 0").collect()}
+    ws = text.split()
+    for k, item in enumerate(items):
+        (score, _, _), = decontaminate.local_alignments([ws], [item.split()])
+        assert got.get(k, 0) == pytest.approx(score / (2 * len(item.split())))
+    assert 1 in got
+
+
 def test_contamination_edges(spark, hard_docs, no_docs, monkeypatch):
     bench = spark.createDataFrame([(i, w) for i, w in enumerate(["a line of text here", "For For For For For", None])], "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(hard_docs, bench).collect()}
