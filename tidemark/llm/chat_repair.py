@@ -183,15 +183,15 @@ class _Key:
 def repaired_turns(conversations: DataFrame) -> DataFrame:
     """The repaired sequence of ``conversations`` (conv_id, turn, role, text; other columns are ignored).
 
-    One row per source turn and per inserted turn: (conv_id, turn, part, source_role, role, action, rendered). ``part``
-    orders the rows of a source turn (insertions before it, the turn, insertions after the last). Joining ``rendered``
-    by turn and part gives the rendered conversation. Turns are ordered by turn, then role, then text, nulls first, so rows that
+    One row per source turn and per inserted turn: (conv_id, position, turn, part, source_role, role, action, rendered).
+    ``position`` increases with the source turns (not densely), ``part`` orders the rows of a source turn (insertions before it,
+    the turn, insertions after the last). Joining ``rendered`` by position and part gives the rendered conversation. Turns are ordered by turn, then role, then text, nulls first, so rows that
     repeat a turn number, even whole rows, are turns of their own. A null text is empty, a role that is null or not
     known is relabelled at little cost or merged. Null conv_ids form one conversation. An empty table gives an empty result.
     """
     order = ["conv_id", "turn", "role", "text"]
-    ranged = cut(conversations.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(
-        "task", F.spark_partition_id()
+    ranged = cut(conversations.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)).withColumns(
+        {"task": F.spark_partition_id(), "position": F.monotonically_increasing_id()}
     )
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,20 +229,20 @@ def repaired_turns(conversations: DataFrame) -> DataFrame:
         out = []
         steps = repair(kinds, begin, end, ends)
         opened = not begins
-        for i, (conv, turn, role, text, own) in enumerate(
-            zip(rows["conv_id"], rows["turn"], rows["role"], rows["text"], steps, strict=True)
+        for i, (conv, at, turn, role, text, own) in enumerate(
+            zip(rows["conv_id"], rows["position"], rows["turn"], rows["role"], rows["text"], steps, strict=True)
         ):
             for part, (state, action) in enumerate(own):
                 body = "" if action == "insert" or pd.isna(text) else text
                 lead = "\n" if action == "merge" else (CLOSE if opened else "") + OPEN.format(STATE_ROLE[state])
                 opened = True
                 last = CLOSE if ends and i == len(steps) - 1 and part == len(own) - 1 else ""
-                out.append((conv, turn, part, None if action == "insert" else role, STATE_ROLE[state], action, lead + body + last))
-        return pd.DataFrame(out, columns=["conv_id", "turn", "part", "source_role", "role", "action", "rendered"])
+                out.append((conv, at, turn, part, None if action == "insert" else role, STATE_ROLE[state], action, lead + body + last))
+        return pd.DataFrame(out, columns=["conv_id", "position", "turn", "part", "source_role", "role", "action", "rendered"])
 
     turn_kind = conversations.schema["turn"].dataType.simpleString()
     return ranged.mapInPandas(
-        mend, f"conv_id {kind}, turn {turn_kind}, part int, source_role string, role string, action string, rendered string"
+        mend, f"conv_id {kind}, position bigint, turn {turn_kind}, part int, source_role string, role string, action string, rendered string"
     )
 
 
