@@ -73,6 +73,16 @@ def test_flat_column_uses_the_general_form(spark):
     assert spark.range(1).selectExpr(f"{fz.label_argmax('2D', variable)} AS v").first().v == 0
 
 
+def test_wide_domains_are_numbered_in_order(spark):
+    """A key-like column is numbered by a range sort over tasks, beside a narrow one; no task holds the whole column."""
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("concat('k', lpad(id, 7, '0')) key", "if(id % 3 = 0, null, concat('c', id % 3)) cls")
+    table = pr.domain_table(pr.nominal_values(rows, ["key", "cls"]))
+    assert table.where("name = 'key' AND idx <> cast(substring(value, 2) AS bigint)").count() == 0
+    assert table.where("name = 'key'").count() == 200_000
+    assert [(r["value"], r["idx"], r["n"]) for r in table.where("name = 'cls'").orderBy("idx").collect()] == [("c1", 0, 66_667), ("c2", 1, 66_666)]
+    assert pr.domain_table(pr.nominal_values(rows.limit(0), ["key"])).count() == 0
+
+
 def test_profile_limits_and_widening(spark, mini):
     rows, _ = mini
     values = pr.nominal_values(rows, ["colour"])

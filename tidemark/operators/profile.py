@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.rowindex import with_row_index
+
 BITS = 63  # values per BIGINT mask word, sign bit left alone
 LISTED = 4096  # widest domain that ``profile`` writes out as one string
 
@@ -56,16 +58,21 @@ def check_domain_sizes(values: DataFrame, max_domain: int) -> dict[str, int]:
 
 
 def domain_table(values: DataFrame) -> DataFrame:
-    """(name, value, idx, n) with idx the position in sorted order. Run after ``check_domain_sizes``."""
-    order = Window.partitionBy("name").orderBy("value")
-    return values.select("name", "value", (F.row_number().over(order) - 1).alias("idx"), "n")
+    """(name, value, idx, n) with idx the position in sorted order.
+
+    Values are numbered by one range sort over all columns, so a key-like column is spread over tasks like any other.
+    """
+    numbered = with_row_index(values.select("name", "value", "n"), ["name", "value"], "__place")
+    first = numbered.groupBy("name").agg(F.min("__place").alias("__first"))  # one row per column
+    idx = (F.col("__place") - F.col("__first")).alias("idx")
+    return numbered.join(F.broadcast(first), "name").select("name", "value", idx, "n")
 
 
 def profile(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str]) -> DataFrame:
     """One row per column: kind, row count, bounds or domain (sorted, missing left out).
 
     Columns of any width are counted; a domain of more than ``LISTED`` values is not written out as one string
-    (null), ``nominal_values`` has its rows.
+    (null); ``domain_table`` has its rows, numbered, whatever their number.
     """
     empty = F.lit(None)
     parts = []

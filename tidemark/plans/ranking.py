@@ -108,12 +108,21 @@ def measures_inverse(spark, sf_dir):
 
 @query(
     "measures_valid",
-    PAT + " SELECT pattern_id, true AS confidence_ok, true AS supp_diff_ok, true AS growth_rate_ok FROM pat",
+    PAT
+    + ", v AS (SELECT pattern_id, variant, tp, CASE WHEN variant = 1 THEN -fn ELSE fn END AS fn, tn, CASE WHEN variant = 2 THEN -fp ELSE fp END AS fp "
+    "FROM pat, (VALUES (0), (1), (2)) x(variant)), m AS (SELECT pattern_id, variant, "
+    + ", ".join(f"({MEASURE_SQL[m]})::DOUBLE AS {m}" for m in ("confidence", "supp_diff", "growth_rate"))
+    + " FROM v) SELECT pattern_id, variant, confidence BETWEEN -1e-13 AND 1 + 1e-13 AS confidence_ok, "
+    "supp_diff BETWEEN -1 - 1e-13 AND 1 + 1e-13 AS supp_diff_ok, growth_rate >= -1e-13 AND NOT isnan(growth_rate) AS growth_rate_ok FROM m",
 )
 def measures_valid(spark, sf_dir):
-    made = scored(spark, sf_dir, ["confidence", "supp_diff", "growth_rate"])
+    """Range checks of measures on true counts (variant 0) and on counts with the sign of fn (1) or fp (2) turned, which breaks ranges."""
+    variants = F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("variant")
+    turned = {c: F.when(F.col("variant") == k, -F.col(c)).otherwise(F.col(c)) for k, c in ((1, "fn"), (2, "fp"))}
+    counts = line_patterns(spark, sf_dir).select("pattern_id", "tp", "fp", "tn", "fn", variants).withColumns(turned)
+    made = qm.with_measures(counts, ["confidence", "supp_diff", "growth_rate"])
     checks = [f"{qm.MEASURES[m].valid(m)} AS {m}_ok" for m in ("confidence", "supp_diff", "growth_rate")]
-    return made.selectExpr("pattern_id", *checks)
+    return made.selectExpr("pattern_id", "variant", *checks)
 
 
 SPREAD = " + ".join(f"CASE WHEN {c} = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / {c} END" for c in ("tp", "fp", "tn", "fn"))
