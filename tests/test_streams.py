@@ -123,3 +123,22 @@ def test_flagship_and_names(spark, sf):
     df = catalog.QUERIES["flagship"](spark, sf)
     assert df.count() > 0 and "pattern_id" in df.columns
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_stream_cube_takes_many_pieces_per_trigger(spark, sf, monkeypatch):
+    from tidemark.plans import streams as plans
+    from tidemark.plans.datasets import line_cube
+
+    made = {}
+    monkeypatch.setattr(plans, "REPLAY", 500)
+    monkeypatch.setattr(plans, "scratch_path", lambda s, n: made.setdefault(n, scratch_path(s, n)))
+    got = sorted(map(str, plans.stream_cube(spark, sf).collect()))
+    cube, layout = line_cube(spark, sf)
+    assert got == sorted(map(str, cube.select(*layout.words, "class", "n").collect()))
+    stored = spark.read.parquet(made["stream"]).select("batch_id").distinct().count()
+    triggers = spark.read.parquet(made["cubes"]).select("batch_id").distinct().count()
+    assert stored == 12 and triggers == 1
+    monkeypatch.setattr(plans, "TOGETHER", 5)
+    made.clear()
+    assert got == sorted(map(str, plans.stream_cube(spark, sf).collect()))  # summed over several triggers
+    assert spark.read.parquet(made["cubes"]).select("batch_id").distinct().count() == 3

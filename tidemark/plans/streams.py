@@ -84,6 +84,8 @@ def arff_round_trip(spark, sf_dir):
 
 
 REPLAY = 20_000
+#: Pieces that one trigger takes at most, a task each: a trigger costs the same for one piece as for many.
+TOGETHER = 256
 
 
 @query("replay", f"SELECT (row_number() OVER (ORDER BY {ORDER}) - 1) // {REPLAY} AS batch_id, {ORDER} FROM lineitem")
@@ -92,11 +94,11 @@ def replay(spark, sf_dir):
     return stored.withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
-def _streamed(spark, rows):
-    """Replay a table as pieces and open them as a stream, one piece per batch."""
+def _streamed(spark, rows, pieces=1):
+    """Replay a table as pieces and open them as a stream, up to ``pieces`` of them per trigger; ``batch_id`` is the piece."""
     target = scratch_path(spark, "stream")
     stored = streams.replay(rows, target, ROW_KEYS, REPLAY)
-    return streams.read_stream(spark, "parquet", target, stored.schema, files_per_batch=1)
+    return streams.read_stream(spark, "parquet", target, stored.schema, files_per_batch=pieces)
 
 
 @query("stream_cube", sql_lines(keep="") + " SELECT w0, w1, w2, w3, class, n FROM cells")
@@ -105,7 +107,7 @@ def stream_cube(spark, sf_dir):
     rows = line_rows(spark, sf_dir)
     layout = fz.fit(rows, LINE_NUMERIC)
     out, done = scratch_path(spark, "cubes"), scratch_path(spark, "cubes-checkpoint")
-    masks = fz.selectors(_streamed(spark, rows), layout, "cls")
+    masks = fz.selectors(_streamed(spark, rows, TOGETHER), layout, "cls")
 
     def store(batch, batch_id):
         compressed_cube(batch, layout).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
