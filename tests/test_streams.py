@@ -142,3 +142,26 @@ def test_stream_cube_takes_many_pieces_per_trigger(spark, sf, monkeypatch):
     made.clear()
     assert got == sorted(map(str, plans.stream_cube(spark, sf).collect()))  # summed over several triggers
     assert spark.read.parquet(made["cubes"]).select("batch_id").distinct().count() == 3
+
+
+@pytest.mark.parametrize("confidence", [0.75, 0.95])
+def test_pieces_of_a_trigger_are_tested_one_after_the_other(spark, sf, confidence):
+    """Many pieces in a few jobs: the same state as one trigger per piece, also when a trigger runs twice."""
+    rows = line_rows(spark, sf).select("l_orderkey", "l_linenumber", *LINE_NUMERIC, "cls")
+    stored = streams.chunked(rows, 700, ["l_orderkey", "l_linenumber"]).cache()
+
+    def loop(**more):
+        return TestThenTrain(scratch_path(spark, "t"), LINE_NUMERIC, {}, "cls", confidence=confidence, history_batches=2, miner=_enumerating_miner, **more)
+
+    single, together = loop(), loop(pieces="batch_id")
+    for b in range(9):
+        single.process(stored.filter(f"batch_id = {b}").drop("batch_id"), b)
+    for trigger, some in enumerate(("batch_id < 4", "batch_id >= 4", "batch_id >= 4")):
+        together.process_pieces(stored.filter(some), min(trigger, 1))
+    assert together.seen == single.seen == 6000
+    for table in ("bounds", "model", "scores", "summary"):
+        a, b = single.table(spark, table).drop("exec_ms"), together.table(spark, table).drop("exec_ms")
+        shown = [[tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in t.select(*sorted(a.columns)).collect()] for t in (a, b)]
+        assert sorted(shown[0], key=str) == sorted(shown[1], key=str) and shown[0], table
+    last = [sorted(map(str, l.table(spark, "history").filter("batch_id = 8").select("pattern_id", "confidence").collect())) for l in (single, together)]
+    assert last[0] == last[1] and last[0]

@@ -5,7 +5,7 @@ Every measure is ``fn(tp, fp, tn, fn) -> Column`` and never divides by zero (ANS
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -225,7 +225,7 @@ def six_decimals(value: Column) -> Column:
     )
 
 
-def top_patterns(table: DataFrame, measure: str, k: int, by: str = "class") -> DataFrame:
+def top_patterns(table: DataFrame, measure: str, k: int, by: str | Sequence[str] = "class") -> DataFrame:
     """The k best patterns of each class by one measure (ties by pattern id)."""
     chosen = MEASURES[measure]
     value = F.col(measure)

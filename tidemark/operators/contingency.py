@@ -114,8 +114,8 @@ def evaluate_test(
     return with_measures(contingency(cells, patterns, layout, by), inverse=inverse)
 
 
-def enumerate_patterns(cells: DataFrame, layout: Layout, max_vars: int = 2) -> DataFrame:
-    """All single-value patterns over at most ``max_vars`` variables, for every class, with exact counts.
+def enumerate_patterns(cells: DataFrame, layout: Layout, max_vars: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """All single-value patterns over at most ``max_vars`` variables, for every class (and batch ``by``), with exact counts.
 
     Each cell is expanded into its value combinations and summed map-side; the class rows of one
     combination are then laid side by side (a window over at most one row per class).
@@ -131,23 +131,24 @@ def enumerate_patterns(cells: DataFrame, layout: Layout, max_vars: int = 2) -> D
             f"struct({', '.join(f'{selectors_of(layout, own[v])} AS s{k}' for k, v in enumerate(choice))})"
             for choice in combinations(range(len(layout.variables)), size)
         )
-        part = cells.selectExpr("class", "n", f"explode({choices}) AS c")
+        part = cells.selectExpr(*by, "class", "n", f"explode({choices}) AS c")
         for k in range(size):
             part = part.withColumn(f"sel{k}", F.expr(f"explode(c.s{k})"))
-        parts.append(part.selectExpr("class", "n", f"{array(f'sel{k}' for k in range(size))} AS sels"))
+        parts.append(part.selectExpr(*by, "class", "n", f"{array(f'sel{k}' for k in range(size))} AS sels"))
     combos = parts[0]
     for extra in parts[1:]:
         combos = combos.unionByName(extra)
-    counts = combos.groupBy("sels", "class").agg(F.sum("n").alias("hits"))
-    same = Window.partitionBy("sels")
-    totals = class_totals(cells)
+    counts = combos.groupBy(*by, "sels", "class").agg(F.sum("n").alias("hits"))
+    same = Window.partitionBy(*by, "sels")
+    totals = class_totals(cells, by)
     hits = counts.withColumn("covered", F.sum("hits").over(same))
     masks = array(_mask_from_selectors(layout, i) for i in range(len(layout.words)))
     return (
-        hits.join(F.broadcast(totals), "class")  # one row per class, bounded by the class domain
+        hits.join(totals if by else F.broadcast(totals), [*by, "class"])  # one row per class, bounded by the class domain
         .withColumn("masks", F.expr(masks))
         .withColumn("pattern_id", F.expr(pattern_key()))
         .select(
+            *by,
             "pattern_id",
             "class",
             "masks",

@@ -251,25 +251,26 @@ def rewarded_objectives(spark, sf_dir):
     return rounded(pq.with_reward(now, kept, {"o1": "confidence"}), ["o1"])
 
 
-def _enumerating_miner(cells, layout, classes):
-    """Deterministic miner: the five best one- and two-column patterns of each wanted class."""
-    made = with_measures(enumerate_patterns(cells, layout, 2), ["wracc_norm"]).filter(F.col("class").isin(classes))
-    return top_patterns(made, "wracc_norm", 5).select("pattern_id", "class", "masks")
+def _enumerating_miner(cells, layout, classes, by=()):
+    """Deterministic miner: the five best one- and two-column patterns of each wanted class (and batch)."""
+    made = with_measures(enumerate_patterns(cells, layout, 2, by), ["wracc_norm"]).filter(F.col("class").isin(classes))
+    return top_patterns(made, "wracc_norm", 5, [*by, "class"]).select(*by, "pattern_id", "class", "masks")
 
 
 def _test_then_train(spark, sf_dir):
     rows = line_rows(spark, sf_dir).select(*ROW_KEYS, *LINE_NUMERIC, "cls")
     loop = TestThenTrain(
-        scratch_path(spark, "state"), LINE_NUMERIC, {}, "cls", confidence=0.75, history_batches=2, miner=_enumerating_miner
+        scratch_path(spark, "state"), LINE_NUMERIC, {}, "cls", confidence=0.75, history_batches=2, miner=_enumerating_miner, pieces="batch_id"
     )
-    loop.run(_streamed(spark, rows), scratch_path(spark, "state-checkpoint"))
+    loop.run(_streamed(spark, rows, TOGETHER), scratch_path(spark, "state-checkpoint"))
     return loop
 
 
 @query("test_then_train")
 def test_then_train(spark, sf_dir):
     """The whole loop over the replayed table: summary of every tested batch."""
-    return _test_then_train(spark, sf_dir).table(spark, "summary").drop("exec_ms")
+    summary = _test_then_train(spark, sf_dir).table(spark, "summary").drop("exec_ms")
+    return summary.select("batch_id", *[c for c in summary.columns if c != "batch_id"])
 
 
 # ---- reports ------------------------------------------------------------------------------------
