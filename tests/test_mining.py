@@ -269,3 +269,27 @@ def test_class_without_rows_still_gets_counts(spark, mini):
     ghost = spark.createDataFrame([("ghost:1.0", "ghost", [1, 0])], "pattern_id string, class string, masks array<bigint>")
     r = ct.contingency(cells, ghost, layout).first()
     assert (r.tp, r.fp, r.tn, r.fn) == (0, 3, 3, 0)
+
+
+def test_bitmaps_have_sparks_bits_and_make_no_pairs(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import coverage as cv
+    from tidemark.operators.rowindex import with_row_index
+    from tidemark.plans.datasets import KEYS, lift_patterns, line_cube, line_masks
+
+    cube, layout = line_cube(spark, sf, missing=True)
+    patterns = lift_patterns(cube, layout).cache()
+    numbered = with_row_index(line_masks(spark, sf, missing=True)[0], KEYS).withColumn("row_index", F.col("row_index") * 7).cache()
+    bit = lambda f: F.call_function(f, F.col("row_index") + 1)
+
+    def brute(pairs, name):
+        made = pairs.groupBy(name, bit("bitmap_bucket_number").alias("bucket")).agg(F.call_function("bitmap_construct_agg", bit("bitmap_bit_position")).alias("bitmap"))
+        return sorted(map(str, made.collect()))
+
+    got = cv.coverage_bitmaps(numbered, patterns, layout, "row_index")
+    assert sorted(map(str, got.collect())) == brute(cv.cover_join(numbered, patterns, layout), "pattern_id")
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    marked = cv.class_bitmaps(numbered, "row_index")
+    assert sorted(map(str, marked.collect())) == brute(numbered, "class")
+    assert "bitmap_construct_agg" not in marked._jdf.queryExecution().optimizedPlan().toString()

@@ -7,19 +7,25 @@ equi-join on that value followed by a check of the other variables. No cross pro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.sqltext import all_of, any_of, array, case, long, name, num
 from tidemark.operators.fuzzify import selectors_of
+from tidemark.operators.packed import CHUNK, LIMIT, Packed, blocks, choice_bits, coverage_of, listed_patterns, mask_rows, masks_of, packed_patterns
 from tidemark.operators.patterns import non_empty, participates, set_bits
 from tidemark.operators.profile import Layout
 from tidemark.session import cut
 
 BROADCAST_BYTES = 64 << 20
+#: Rows of one bitmap, as in Spark's bitmap functions.
+BUCKET = 8 * 4096
+BITMAPS = "name string, bucket bigint, bitmap binary"
 
 
 def covers_expr(layout: Layout, row: Sequence[str], pattern: Sequence[str]) -> str:
@@ -96,26 +102,65 @@ def covered_pairs(rows: DataFrame, patterns: DataFrame, layout: Layout, keys: Se
     return cover_join(rows, patterns, layout).select(*keys, "pattern_id")
 
 
+def _bitmap_rows(names: Sequence[str], flags: np.ndarray, index: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per bucket of the row numbers ``index`` a bitmap of each name that has a row there; ``flags``: names x rows."""
+    buckets, bit = index // BUCKET, index % BUCKET
+    for bucket in np.unique(buckets):
+        own = np.flatnonzero(buckets == bucket)
+        some = flags[:, own]
+        hit = np.flatnonzero(some.any(axis=1))
+        if len(hit):
+            dense = np.zeros((len(hit), BUCKET), np.uint8)
+            dense[:, bit[own]] = some[hit]
+            maps = np.packbits(dense, axis=1, bitorder="little")
+            columns = [[names[i] for i in hit], np.full(len(hit), bucket + 1, np.int64), [m.tobytes() for m in maps]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "bucket", "bitmap"])
+
+
+def _merged(parts: DataFrame, name_: str) -> DataFrame:
+    return parts.withColumnRenamed("name", name_).groupBy(name_, "bucket").agg(F.call_function("bitmap_or_agg", "bitmap").alias("bitmap"))
+
+
 def coverage_bitmaps(rows: DataFrame, patterns: DataFrame, layout: Layout, index: str) -> DataFrame:
-    """Covered row indices as bitmaps per (pattern, bucket): partial bitmaps per task, OR-merged in the shuffle.
+    """Covered row indices as bitmaps per (pattern, bucket): partial bitmaps per block of rows, OR-merged in the shuffle.
 
-    ``index`` is a dense 0-based row number; bit positions use index + 1, the numbering Spark's bitmaps expect.
+    ``index`` is a dense 0-based row number, best in order within a partition; bits have the places and buckets that Spark's bitmap functions
+    give to index + 1. No pair of a row and a pattern is made, unless there are more patterns than tasks should hold.
     """
-    position = F.col(index) + 1
-    pairs = cover_join(rows, patterns, layout).select("pattern_id", position.alias("__pos"))
-    return pairs.groupBy("pattern_id", F.call_function("bitmap_bucket_number", "__pos").alias("bucket")).agg(
-        F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", "__pos")).alias("bitmap")
-    )
+    listed = listed_patterns(non_empty(patterns).dropDuplicates(["pattern_id"]), ["pattern_id", "class", "masks"], LIMIT)
+    if listed is None:
+        pairs = cover_join(rows, patterns, layout).select("pattern_id", (F.col(index) + 1).alias("__pos"))
+        return pairs.groupBy("pattern_id", F.call_function("bitmap_bucket_number", "__pos").alias("bucket")).agg(
+            F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", "__pos")).alias("bitmap")
+        )
+    ids, words = listed.column("pattern_id").to_pylist(), list(layout.words)
+    own = packed_patterns(masks_of(listed, layout), listed.column("class").to_pylist(), layout)
+    sent = rows.sparkSession.sparkContext.broadcast((ids, tuple(own)))
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own = sent.value[0], Packed(*sent.value[1])
+        for block in blocks(batches):
+            at, bits = block.column("__at").to_numpy(), choice_bits(own, mask_rows(block, words))
+            for start in range(0, len(names), CHUNK):
+                covered = coverage_of(own, bits, slice(start, start + CHUNK))
+                flags = np.unpackbits(covered.view(np.uint8), axis=1)[:, : block.num_rows]
+                yield from _bitmap_rows(names[start : start + CHUNK], flags, at)
+
+    return _merged(rows.select(F.col(index).cast("bigint").alias("__at"), *words).mapInArrow(cover, BITMAPS), "pattern_id")
 
 
 def class_bitmaps(rows: DataFrame, index: str) -> DataFrame:
     """Rows of each class as bitmaps per bucket."""
-    position = F.col(index) + 1
-    return (
-        rows.select("class", position.alias("__pos"))
-        .groupBy("class", F.call_function("bitmap_bucket_number", "__pos").alias("bucket"))
-        .agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", "__pos")).alias("bitmap"))
-    )
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            coded = block.column("class").combine_chunks().dictionary_encode()
+            names, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            for start in range(0, len(names), CHUNK):
+                some = np.arange(start, min(start + CHUNK, len(names)))
+                yield from _bitmap_rows(names[start : start + CHUNK], some[:, None] == place[None, :], block.column("__at").to_numpy())
+
+    return _merged(rows.select(F.col(index).cast("bigint").alias("__at"), "class").mapInArrow(mark, BITMAPS), "class")
 
 
 def bitmap_sizes(bitmaps: DataFrame, by: Sequence[str]) -> DataFrame:
