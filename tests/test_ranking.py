@@ -152,3 +152,21 @@ def test_the_registered_search_has_the_default_budget(monkeypatch):
 
 def test_reinit_rule():
     assert se.needs_reinit({"a": 100, "b": 900}, 1000, 2000) == ["a"]
+
+
+def test_a_search_scores_each_pattern_once(spark, sf, monkeypatch):
+    from tidemark.operators import search as se
+    from tidemark.plans.datasets import line_cube
+    from tidemark.session import cut
+
+    cells, layout = line_cube(spark, sf)
+    met, plain = [], se._score
+
+    def score(cells, candidates, *rest):
+        unique = candidates.select("class", "pattern_id").distinct().collect()
+        met.extend((r["class"], r["pattern_id"]) for r in unique)
+        return plain(cells, candidates, *rest)
+
+    monkeypatch.setattr(se, "_score", score)
+    found = se.search(cut(cells), layout, ["high", "low"], size=9, evaluations=54, p_mut=0.0, reinit_pct=2.0).collect()
+    assert found and len(met) == len(set(met))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.draws import draw_int
 from tidemark.functions.measures import MEASURES
-from tidemark.functions.sqltext import any_of, all_of, array
+from tidemark.functions.sqltext import array
 from tidemark.operators.contingency import class_totals, contingency, evaluate
 from tidemark.operators.coverage import cover_join
 from tidemark.operators.dominance import front_mask, front_numbers
@@ -148,8 +148,27 @@ def offspring(state: DataFrame, layout: Layout, size: int, seed: int, p_cross: f
     return canonicalise(children, layout)
 
 
-def _dominates(a: Sequence[str], b: Sequence[str]) -> str:
-    return all_of([*[f"{x} >= {y}" for x, y in zip(a, b)], any_of(f"{x} > {y}" for x, y in zip(a, b))])
+def _dominates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of ``a`` that are nowhere below and somewhere above their row of ``b``; NaN is above all, as in Spark."""
+    nan = np.isnan(a)
+    return ((a >= b) | nan).all(axis=1) & ((a > b) | (nan & ~np.isnan(b))).any(axis=1)
+
+
+def _contested(children: pd.DataFrame, parents: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """The new occupant of every cell (the child unless its parent dominates it), and all children as archive candidates."""
+    carried = ["pattern_id", "masks", *names]
+    both = children.merge(parents[["class", "slot", *carried]], on=["class", "slot"], suffixes=("", "_me"))
+    own = both[["class", "gen", "slot", *carried]].assign(front=0, crowding=0.0)
+    stays = _dominates(both[[f"{o}_me" for o in names]].to_numpy(float), both[names].to_numpy(float))
+    old = both[["class", "gen", "slot", *[f"{c}_me" for c in carried]]].set_axis(["class", "gen", "slot", *carried], axis=1)
+    pop = pd.concat([own[~stays], old[stays].assign(front=0, crowding=0.0)])
+    return pd.concat([pop.assign(kind="pop"), own.assign(kind="arc")])
+
+
+def _ids(plain: pd.DataFrame) -> dict[str, set]:
+    """Patterns of each class's population."""
+    pop = plain[plain["kind"] == "pop"]
+    return {c: set(own["pattern_id"]) for c, own in pop.groupby("class")}
 
 
 def _columns(objectives: Sequence[str]) -> list[str]:
@@ -273,45 +292,41 @@ def search(
         kept = pd.concat([_settle_class(own, names, size) for _, own in together.groupby("class", sort=True)])
         return kept, spark.createDataFrame(kept, schema)
 
-    plain, state = settled(opening.toPandas())
+    def numbers(scored: pd.DataFrame) -> dict:
+        """Objectives by class and pattern; the cells stay the same for the whole search, so each is scored once."""
+        return dict(zip(zip(scored["class"], scored["pattern_id"]), scored[names].itertuples(index=False, name=None)))
+
+    first = opening.toPandas()
+    known = numbers(first)
+    plain, state = settled(first)
     covered = cut(covered_cells(cells, state.filter("kind = 'pop'"), layout, rows * max(v.width for v in layout.variables)))
+    # Patterns of each class that cover nothing beyond ``covered``: a population of such patterns covers nothing new.
+    inside = _ids(plain)
     done = size
     last_change = {c: done for c in classes}
     generation = 0
     while done < evaluations:
         generation += 1
-        # Drawn children are computed before scoring: their long draw expressions would otherwise be
-        # copied into every place the masks are read.
-        drawn = held(offspring(state, layout, size, seed, p_cross, p_mut))
-        children = _score(cells, drawn, layout, objectives, totals, rows, rewards).select(
-            "class", "gen", "slot", "pattern_id", "masks", *names
-        )
-        parents = state.filter("kind = 'pop'")
-        me = parents.select("class", "slot", *[F.col(c).alias(f"me_{c}") for c in ["pattern_id", "masks", *names]])
-        both = children.join(F.broadcast(me), ["class", "slot"])  # one row per cell and class
-        stays = _dominates([f"me_{o}" for o in names], names)
-        carried = ["pattern_id", "masks", *names]
-        moved = both.selectExpr(
-            "class", "gen", "slot", *[f"if({stays}, me_{c}, {c}) AS {c}" for c in carried], *[f"{c} AS child_{c}" for c in carried]
-        )
-        # One row per cell yields both the new occupant and the archive candidate, so scoring runs once.
-        entry = array(
-            [
-                f"struct('pop' AS kind, {', '.join(carried)})",
-                f"struct('arc' AS kind, {', '.join(f'child_{c} AS {c}' for c in carried)})",
-            ]
-        )
-        changed = (
-            moved.selectExpr("class", "gen", "slot", f"explode({entry}) AS e")
-            .selectExpr("class", "gen", "slot", "e.*", "0 AS front", "0D AS crowding")
-            .select(*columns)
-        )
-        plain, state = settled(changed.toPandas(), plain[plain["kind"] == "arc"])
+        children = offspring(state, layout, size, seed, p_cross, p_mut).toPandas()
+        fresh = children.drop_duplicates(["class", "pattern_id"])
+        fresh = fresh[[pair not in known for pair in zip(fresh["class"], fresh["pattern_id"])]]
+        if len(fresh):
+            unknown = spark.createDataFrame(fresh[["class", "pattern_id", "masks"]], "class string, pattern_id string, masks array<bigint>")
+            known |= numbers(_score(cells, unknown, layout, objectives, totals, rows, rewards).select("class", "pattern_id", *names).toPandas())
+        values = [known[pair] for pair in zip(children["class"], children["pattern_id"])]
+        children[names] = np.array(values, float).reshape(len(children), len(names))
+        plain, state = settled(_contested(children, plain[plain["kind"] == "pop"], names)[columns], plain[plain["kind"] == "arc"])
         done += size
         if generation % check_every == 0 and done < evaluations:
             pop = state.filter("kind = 'pop'")
-            now = covered_cells(cells, pop, layout, rows * max(v.width for v in layout.variables))
-            growing = newly_covering_classes(covered, now)
+            present = _ids(plain)
+            changed = sorted(c for c in present if present[c] - inside.get(c, set()))
+            growing = []
+            if changed:
+                now = covered_cells(cells, pop.filter(F.col("class").isin(changed)), layout, rows * max(v.width for v in layout.variables))
+                growing = newly_covering_classes(covered, now)
+            for c in changed:
+                inside[c] = present[c] if c in growing else inside.get(c, set()) | present[c]
             for c in growing:
                 last_change[c] = done
             if growing:
@@ -324,11 +339,15 @@ def search(
                 renewed = _score(cells, renewed, layout, objectives, totals, rows, rewards)
                 renewed = held(renewed.select("class", "slot", "pattern_id", "masks", *names))
                 both = _as_state(renewed, "pop", objectives, generation).unionByName(_as_state(renewed, "arc", objectives, generation))
-                plain, state = settled(plain[(plain["kind"] == "arc") | ~plain["class"].isin(stalled)], both.toPandas())
+                both = both.toPandas()
+                known |= numbers(both)
+                plain, state = settled(plain[(plain["kind"] == "arc") | ~plain["class"].isin(stalled)], both)
                 # A renewed population is not charged to the budget, so every class has its whole one; what it is
                 # later compared with is the coverage of the patterns that survived.
                 for c in stalled:
                     last_change[c] = done
+                left = survivors.select("class", "pattern_id").toPandas()
+                inside |= {c: set(left.loc[left["class"] == c, "pattern_id"]) for c in stalled}
                 fresh = cut(covered_cells(cells, survivors, layout, rows * max(v.width for v in layout.variables)))
                 covered = covered.filter(~F.col("class").isin(stalled)).unionByName(fresh.filter(F.col("class").isin(stalled)))
             covered = cut(covered) if growing or stalled else covered
