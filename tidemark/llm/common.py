@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
 WHITE = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]
+#: Links that one task joins to components; more are contracted first.
+HELD = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,27 +88,67 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def least_names(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of the nodes 0 to n - 1 the least node that the links (a, b) reach."""
+    name = np.arange(n)
+    while True:
+        x, y = name[a], name[b]
+        if (x == y).all():
+            return name
+        np.minimum.at(name, np.maximum(x, y), np.minimum(x, y))
+        while (name[name] != name).any():
+            name = name[name]
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, component) of at most ``HELD`` links."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        got = pa.Table.from_batches(held)
+        ends = pa.chunked_array([*got.column(0).chunks, *got.column(1).chunks])
+        nodes = ends.unique()
+        nodes = nodes.take(pc.sort_indices(nodes))
+        a, b = (pc.index_in(got.column(i), nodes).to_numpy() for i in range(2))
+        yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(least_names(a, b, len(nodes))))], ["node", "component"])
+
+    kind = links.schema["node"].dataType.simpleString()
+    return links.coalesce(1).mapInArrow(emit, f"node {kind}, component {kind}")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node of ``links``; a component is named by its smallest node.
 
-    Smallest-neighbour labels with pointer jumping: each round a node takes the smallest label among its
-    own, its neighbours' and its label's label. Labels are aggregated before they are shuffled, so a node
-    with very many links costs no single task more than its partial minima. Every round is checkpointed.
+    Randomised contraction: each round every node moves to that one of itself and its neighbours which has the least hash,
+    drawn anew each round, and the links between different new nodes are the next round's links. Chains, stars and
+    dense groups alike lose a constant share of their nodes a round, so the rounds are few and their sizes a falling series.
+    What is left when ``HELD`` links remain is joined in one task. Moves are aggregated before they are shuffled, so a node with
+    very many links costs no single task more than its partial minima.
     """
-    both = cut(
-        links.select(F.col(a).alias("node"), F.col(b).alias("peer"))
-        .unionByName(links.select(F.col(b).alias("node"), F.col(a).alias("peer")))
-        .where("node <> peer")
-        .distinct()
-    )
-    labels = cut(both.groupBy("node").agg(F.least("node", F.min("peer")).alias("component")))
+    both = links.select(F.col(a).alias("node"), F.col(b).alias("peer")).where("node <> peer")
+    moves: list[DataFrame] = []
     while True:
-        told = both.join(labels.withColumnRenamed("node", "peer"), "peer").select("node", "component")
-        jumped = labels.join(
-            labels.select(F.col("node").alias("component"), F.col("component").alias("further")), "component"
-        ).select("node", F.col("further").alias("component"))
-        fresh = cut(labels.unionByName(told).unionByName(jumped).groupBy("node").agg(F.min("component").alias("component")))
-        moved = fresh.join(labels.withColumnRenamed("component", "was"), "node").where("component <> was").limit(1).count()
-        labels = fresh
-        if not moved:
-            return labels
+        seen = Observation()
+        once = cut(both.select(F.least("node", "peer").alias("node"), F.greatest("node", "peer").alias("peer")).distinct().observe(seen, F.count(F.lit(1)).alias("n")))
+        if seen.get["n"] <= HELD:
+            break
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("draw"), F.col(c).alias("to"))
+        ends = once.unionByName(once.select(F.col("peer").alias("node"), F.col("node").alias("peer")))
+        moved = cut(ends.groupBy("node").agg(F.min(drawn("peer")).alias("other")).select("node", F.least(drawn("node"), "other")["to"].alias("to")))
+        moves.append(moved)
+        both = (
+            once.join(moved, "node").select("peer", F.col("to").alias("x")).join(moved.toDF("peer", "y"), "peer")
+            .where("x <> y").select(F.col("x").alias("node"), F.col("y").alias("peer"))
+        )
+    if not moves:
+        return cut(_joined(once))
+    labels = cut(_joined(once))
+    for moved in reversed(moves):
+        # A node whose links are all inside one new node has no link any more: that node is its component.
+        further = labels.select(F.col("node").alias("to"), "component")
+        labels = moved.join(further, "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    labels = cut(labels)
+    least = labels.groupBy("component").agg(F.min("node").alias("least"))
+    return labels.join(least, "component").select("node", F.col("least").alias("component"))
