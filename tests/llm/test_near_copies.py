@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from conftest import make_docs, prose, vocabulary
 
 from tidemark.llm import jaccard_join
@@ -45,3 +46,14 @@ def test_common_blocks_are_not_verified_pair_by_pair(spark, monkeypatch):
     texts = [block + " " + " ".join(f"own{rng.random()}" for _ in range(12)) for _ in range(200)]
     pairs, got = verified_pairs(spark, monkeypatch, texts)
     assert got == {i: i for i in range(200)} and pairs < 2000
+
+
+def test_marks_tell_sets_that_differ_in_little_more_than_a_link_allows():
+    """Two sets of 400 tokens that link at 0.85 differ in 64 tokens at most; marks of pairs that differ in 80 have to show it."""
+    rng = np.random.default_rng(11)
+    base = rng.choice(1 << 48, 400, replace=False).astype(np.uint64)
+    for differ, low, high in ((0, 0, 0), (20, 0, 20), (64, 0, 64), (80, 65, 80), (80, 65, 80), (120, 65, 120)):
+        part = rng.permutation(base)
+        other = np.concatenate([part[differ // 2 :], rng.choice(1 << 48, differ // 2, replace=False).astype(np.uint64)])
+        bits = sum(int(x).bit_count() for x in (jaccard_join._marks(base) ^ jaccard_join._marks(other)).view(np.uint64))
+        assert low <= bits <= high, (differ, bits)

@@ -186,10 +186,10 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _marks(token: np.ndarray) -> np.ndarray:
-    """``MARKS`` bits, those of the tokens' hashes set. Sets whose marks differ in d bits differ in at least d tokens."""
-    bits = np.zeros(MARKS, np.uint8)
-    bits[(mix(token + np.uint64(5)) % np.uint64(MARKS)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+    """``MARKS`` bits, each the parity of the tokens hashed to it. Sets whose marks differ in d bits differ in at least d tokens, and sets
+    that differ in few tokens beside ``MARKS`` differ in nearly as many bits, however large they are."""
+    at = (mix(token + np.uint64(5)) % np.uint64(MARKS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=MARKS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def set_records(hashed: DataFrame, n: int, t: Threshold) -> DataFrame:
@@ -260,7 +260,8 @@ def _links(sets: DataFrame, t: Threshold) -> DataFrame:
     """Verified links (a, b) that connect everything that all links connect.
 
     Rounds: of every entry the component with most members stands still; each set outside it meets a member of it and one of the
-    others, drawn anew each round but alike in all entries, so the copies of a text meet the same few. A set is verified with two others a
+    others, drawn anew each round but alike in all entries, so the copies of a text meet the same few. In the first round it is the
+    one with the fewest tokens of its own: the text that the near copies stem from, or the nearest to it. A set is verified with two others a
     round at most, and only while it lies apart: rounds get smaller as groups grow together. They end when nothing lies apart or
     a round links fewer than one of ``WORTH`` it verified; what is still apart is then verified pair by pair.
     """
@@ -271,8 +272,9 @@ def _links(sets: DataFrame, t: Threshold) -> DataFrame:
     links = sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
     while True:
         # The round's number is a column, so every round runs the same compiled plans.
+        drawn = F.struct(F.when(F.col("round") == 0, F.col("n") - F.col("s")).otherwise(0), F.xxhash64("round", "rep"))
         per = index.groupBy("sig", "comp").agg(
-            F.count(F.lit(1)).alias("c"), F.min_by(F.struct("rep", "n", "s", "comp"), F.xxhash64("round", "rep")).alias("one"), F.min(F.xxhash64("round", "rep")).alias("draw")
+            F.count(F.lit(1)).alias("c"), F.min_by(F.struct("rep", "n", "s", "comp"), drawn).alias("one"), F.min(drawn).alias("draw")
         )
         chosen = per.groupBy("sig").agg(
             F.max_by("one", F.struct("c", F.negative("comp"))).alias("top"), F.count(F.lit(1)).alias("comps")
@@ -287,8 +289,9 @@ def _links(sets: DataFrame, t: Threshold) -> DataFrame:
             "rep", "n", "s", "comp", "round", F.explode(F.array("top", "next")).alias("o")
         ).where(F.col("o.comp") != F.col("comp")).select("rep", "n", "s", "round", F.col("o.rep").alias("other"), F.col("o.n").alias("m"), F.col("o.s").alias("z")).where(fits)
         drawn = F.xxhash64("round", "other")
+        own = F.when(F.col("round") == 0, F.col("m") - F.col("z")).otherwise(0)
         pairs = cut(
-            others.groupBy("rep").agg(F.min_by("other", drawn).alias("x"), F.max_by("other", drawn).alias("y"))
+            others.groupBy("rep").agg(F.min_by("other", F.struct(own, drawn)).alias("x"), F.max_by("other", drawn).alias("y"))
             .select("rep", F.explode(F.array_distinct(F.array("x", "y"))).alias("other"))
             .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         )
