@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, UPPER, ascii_lower, components, flat_lists, gram_hashes, hashes, mix, slices, table, words
-from tidemark.session import cut
+from tidemark.session import cut, cut_by
 
 TOKEN_BITS = 48
 #: Frequency classes (floor of log2) are kept for this many hash slots, one byte each: 32 MB for any input. A slot has the
@@ -237,8 +237,15 @@ def set_records(hashed: DataFrame, n: int, t: Threshold) -> DataFrame:
     )
 
 
+def _near(t: Threshold) -> str:
+    """Whether sets of n and m tokens with marks k and l may link."""
+    differ = " + ".join(f"bit_count(k[{i}] ^ l[{i}])" for i in range(MARKS // 64))
+    return f"{t.den + t.num} * (n + m - ({differ})) >= {2 * t.num} * (n + m)"
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """Those rows of (a, b) whose sets reach the threshold."""
+    """Those rows of (a, b) whose sets reach the threshold. Marks are compared first; tokens move only for pairs that pass. ``sets`` are
+    dealt by rep and stay where they are: what they send on are the sets that are asked for, once each."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,10 +257,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
+    def both(pairs: DataFrame, *columns: str) -> DataFrame:
+        """The pairs with these columns of both sets."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        held = sets.select("rep", *columns).join(asked, "rep")
+        left, right = (held.select(F.col("rep").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)) for end in "ab")
+        return pairs.join(left, "a").join(right, "b")
+
     kind = sets.schema["rep"].dataType.simpleString()
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}"))
+    marked = both(pairs, "n_shingles", "marks").select("a", "b", *(F.col(c).alias(x) for c, x in (("n_shingles_a", "n"), ("n_shingles_b", "m"), ("marks_a", "k"), ("marks_b", "l"))))
+    near = cut(marked.where(_near(t)).select("a", "b").distinct())
+    return cut(both(near, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, f"a {kind}, b {kind}"))
 
 
 def _links(sets: DataFrame, t: Threshold) -> DataFrame:
@@ -268,9 +282,15 @@ def _links(sets: DataFrame, t: Threshold) -> DataFrame:
     kind = sets.schema["rep"].dataType.simpleString()
     # Sizes allow a link, and so do the tokens that are not the documents' own: the union is at least n + m less those.
     fits = F.expr(f"{t.den} * least(n, m) >= {t.num} * greatest(n, m) AND {t.den + t.num} * least(s, z) >= {t.num} * (n + m)")
-    index = cut(sets.select("rep", F.col("n_shingles").alias("n"), F.col("shared").alias("s"), F.explode("sigs").alias("sig"), F.col("rep").alias("comp"), F.lit(0).alias("round")))
+    index = cut_by(
+        sets.select("rep", F.col("n_shingles").alias("n"), F.col("shared").alias("s"), F.explode("sigs").alias("sig"), F.col("rep").alias("comp"), F.lit(0).alias("round")), "sig"
+    )
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
     while True:
+        # Dealt by entry once: the groupings and joins by entry below all read this one exchange (their filters on nulls would make
+        # it several), and send nothing on themselves.
+        index = index.where("rep IS NOT NULL AND sig IS NOT NULL AND comp IS NOT NULL").repartition(parts, "sig")
         # The round's number is a column, so every round runs the same compiled plans.
         drawn = F.struct(F.when(F.col("round") == 0, F.col("n") - F.col("s")).otherwise(0), F.xxhash64("round", "rep"))
         per = index.groupBy("sig", "comp").agg(
@@ -309,17 +329,15 @@ def _links(sets: DataFrame, t: Threshold) -> DataFrame:
         if linked * WORTH <= met:
             break
     # What still lies apart: every pair of an entry from two components, the largest component's own members excepted, whose marks allow it.
-    index = cut(index)
+    index = cut(index).where("rep IS NOT NULL AND sig IS NOT NULL").repartition(parts, "sig")
     largest = index.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(
         F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")
     ).where("comps > 1").drop("comps")
     marked = cut(index.join(largest, "sig").join(sets.select("rep", "marks"), "rep"))
     small = marked.where("comp <> top").select("sig", "rep", "n", "s", F.col("comp").alias("own"), F.col("marks").alias("k"))
     others = marked.select("sig", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("s").alias("z"), "comp", F.col("marks").alias("l"))
-    differ = " + ".join(f"bit_count(k[{i}] ^ l[{i}])" for i in range(MARKS // 64))
-    near = F.expr(f"{t.den + t.num} * (n + m - ({differ})) >= {2 * t.num} * (n + m)")
-    pairs = (
-        small.join(others, "sig").where((F.col("own") != F.col("comp")) & fits & near)
+    pairs = cut(
+        small.join(others, "sig").where((F.col("own") != F.col("comp")) & fits & F.expr(_near(t)))
         .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
     )
     return cut(links.unionByName(_verified(pairs, sets, t)))
@@ -339,11 +357,13 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: tuple[int, int]
     known = records.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut(known.groupBy("sa", "sb").agg(F.min("doc_id").alias("rep")))
     members = cut(known.select("doc_id", "sa", "sb").join(classes, ["sa", "sb"]).select("doc_id", "sa", "sb", "rep"))
-    sets = cut(
-        known.where("sigs IS NOT NULL").select("doc_id", "n_shingles", "shared", "sa", "sb", "tokens", "marks", "sigs")
-        .join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "sa", "sb"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = cut_by(
+        known.where("sigs IS NOT NULL").select("doc_id", "n_shingles", "shared", "sa", "sb", "tokens", "marks", "sigs").repartition(parts, "doc_id")
+        .join(classes.withColumnRenamed("rep", "doc_id").repartition(parts, "doc_id"), ["doc_id", "sa", "sb"])
         .dropDuplicates(["doc_id", "sa", "sb"])
-        .select(F.col("doc_id").alias("rep"), "n_shingles", "shared", "tokens", "marks", "sigs")
+        .select(F.col("doc_id").alias("rep"), "n_shingles", "shared", "tokens", "marks", "sigs"),
+        "rep",
     )
     several = members.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     same_id = members.join(several.select("doc_id", "low"), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))

@@ -55,6 +55,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """As ``cut``, dealt by ``key``: later joins and groupings by it leave the rows where they are.
+
+    Only for the plan made here adaptive execution is off, as it forgets how its result is dealt, and a join inside ``df`` whose keys
+    include ``key`` takes inputs that are dealt by it alone.
+    """
+    conf = df.sparkSession.conf
+    parts = int(conf.get("spark.sql.shuffle.partitions"))
+    names = ("spark.sql.adaptive.enabled", "spark.sql.requireAllClusterKeysForCoPartition")
+    before = {name: conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            conf.set(name, "false")
+        return cut(df.repartition(parts, key))
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder for a table that one job writes and another reads."""
     return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
