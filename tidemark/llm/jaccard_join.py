@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,10 +193,9 @@ def _marks(token: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=MARKS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def set_records(hashed: DataFrame, n: int, t: Threshold) -> DataFrame:
+def set_records(hashed: DataFrame, sent: Broadcast, n: int, t: Threshold) -> DataFrame:
     """(doc_id, n_shingles, shared, sa, sb, tokens, marks, sigs) per row; ``shared`` counts the tokens that another document may hold,
-    (sa, sb) is a 128-bit hash of the set; tokens, marks and sigs are null for sets without index entries."""
-    sent = hashed.sparkSession.sparkContext.broadcast(frequency_classes(hashed, n))  # not kept on the driver beside
+    (sa, sb) is a 128-bit hash of the set; tokens, marks and sigs are null for sets without index entries. ``sent``: the frequency classes."""
     levels: dict[int, int] = {}
 
     def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +353,9 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: tuple[int, int]
     """
     t = Threshold(*similarity)
     hashed = docs.select("doc_id", hashes(words(ascii_lower(F.col("text")))).alias("h"))
-    records = cut(set_records(hashed, n, t))
+    sent = docs.sparkSession.sparkContext.broadcast(frequency_classes(hashed, n))  # not kept on the driver beside
+    records = cut(set_records(hashed, sent, n, t))
+    sent.destroy()  # nothing reads it any more
     known = records.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut(known.groupBy("sa", "sb").agg(F.min("doc_id").alias("rep")))
     members = cut(known.select("doc_id", "sa", "sb").join(classes, ["sa", "sb"]).select("doc_id", "sa", "sb", "rep"))

@@ -112,28 +112,33 @@ def statistics(docs: DataFrame) -> DataFrame:
     return counted.withColumns({k: F.round(v * GRID) / GRID for k, v in raw.items()}).drop("n_lines", "n_upper")
 
 
-def _estimate(rows: DataFrame, keys: list[str], weight: Column) -> DataFrame:
-    """Mean and Cholesky factor of the covariance of the weighted rows, per key, with its log determinant."""
+def _sums() -> dict[str, str]:
+    """Aggregates of rows from which ``_estimate`` makes a model, as SQL: their number, sums and sums of products."""
     f = list(FEATURES)
-    sums = {"n": F.sum(weight)} | {f"s{i}": F.sum(weight * F.col(f[i])) for i in range(P)}
-    sums |= {f"q{i}_{j}": F.sum(weight * F.col(f[i]) * F.col(f[j])) for i in range(P) for j in range(i + 1)}
-    out = rows.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()])
-    out = out.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
+    sums = {"n": "count(1)"} | {f"s{i}": f"sum({f[i]})" for i in range(P)}
+    return sums | {f"q{i}_{j}": f"sum({f[i]} * {f[j]})" for i in range(P) for j in range(i + 1)}
+
+
+def _named(sql: dict[str, str]) -> list[str]:
+    return [f"{v} AS {k}" for k, v in sql.items()]
+
+
+def _estimate(sums: DataFrame, *keep: str) -> DataFrame:
+    """Mean and Cholesky factor of the covariance of the rows that were summed up, with its log determinant, beside columns to keep.
+
+    One select whose columns refer to those before them: the loops plan it in every step, so it is made and analysed in one call.
+    """
     floors = list(FEATURES.values())
-    cov = {
-        (i, j): F.col(f"q{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(floors[i] ** 2 if i == j else 0.0)
-        for i in range(P) for j in range(i + 1)
-    }
+    out = {f"m{i}": f"s{i} / n" for i in range(P)}
+    cov = {(i, j): f"(q{i}_{j} / n - m{i} * m{j} + {floors[i] ** 2 if i == j else 0.0!r}D)" for i in range(P) for j in range(i + 1)}
     for j in range(P):  # Cholesky, one column after the other
-        known = sum((F.col(f"l{j}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(cov[j, j] - known, F.lit(floors[j] ** 2 / 2))))
-        below = {
-            f"l{i}_{j}": (cov[i, j] - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}_{j}")
-            for i in range(j + 1, P)
-        }
-        out = out.withColumns(below) if below else out
-    log_det = sum((F.log(f"l{j}_{j}") for j in range(P)), F.lit(0.0)).alias("log_det")
-    return out.select(*keys, *_model_columns(), log_det)
+        known = " + ".join(["0D", *(f"l{j}_{k} * l{j}_{k}" for k in range(j))])
+        out[f"l{j}_{j}"] = f"sqrt(greatest({cov[j, j]} - ({known}), {floors[j] ** 2 / 2!r}D))"
+        for i in range(j + 1, P):
+            known = " + ".join(["0D", *(f"l{i}_{k} * l{j}_{k}" for k in range(j))])
+            out[f"l{i}_{j}"] = f"({cov[i, j]} - ({known})) / l{j}_{j}"
+    out["log_det"] = " + ".join(["0D", *(f"ln(l{j}_{j})" for j in range(P))])
+    return sums.selectExpr(*keep, *_named(out)).select(*keep, *_model_columns(), "log_det")
 
 
 def _model_columns() -> list[str]:
@@ -143,12 +148,14 @@ def _model_columns() -> list[str]:
 def _squared_distance(rows: DataFrame, models: DataFrame, keys: list[str], name: str = "d2") -> DataFrame:
     """Mahalanobis distance of each row to its model, by forward substitution. Where models are too many for a broadcast the
     join shuffles the rows (narrow, no texts), and adaptive execution splits a hot group."""
-    out = rows.join(models, keys).drop("log_det")
+    y = {}
     for i, f in enumerate(FEATURES):
-        done = sum((F.col(f"l{i}_{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))
-        out = out.withColumn(f"y{i}", (F.col(f) - F.col(f"m{i}") - done) / F.col(f"l{i}_{i}"))
-    d2 = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)), F.lit(0.0))
-    return out.withColumn(name, d2).drop(*_model_columns(), *[f"y{i}" for i in range(P)])
+        done = " + ".join(["0D", *(f"l{i}_{k} * y{k}" for k in range(i))])
+        y[f"y{i}"] = f"({f} - m{i} - ({done})) / l{i}_{i}"
+    d2 = " + ".join(["0D", *(f"y{i} * y{i}" for i in range(P))])
+    joined = rows.join(models, keys)
+    left = [c for c in joined.columns if c not in _model_columns()]
+    return joined.selectExpr("*", *_named(y), f"{d2} AS {name}").select(*left, name)
 
 
 def _bin(d2: Column) -> Column:
@@ -162,12 +169,18 @@ def _hint(few: bool) -> Callable[[DataFrame], DataFrame]:
 
 
 def _concentrated(rows: DataFrame, models: DataFrame, keys: list[str], support: float, few: bool) -> DataFrame:
-    """The next models: estimates from each group's ``support`` share of rows nearest to its present model."""
-    near = _squared_distance(rows, _hint(few)(models), keys).withColumn("__bin", _bin(F.col("d2")))
-    bounds = near.groupBy(*keys).agg(F.percentile("__bin", F.lit(support)).alias("__bound"))
-    inside = near.join(_hint(few)(bounds), keys).where(F.col("__bin") <= F.ceil("__bound"))
-    out = _estimate(inside, keys, F.lit(1.0))
-    return cut(out.coalesce(1) if few else out)
+    """The next models: estimates from each group's ``support`` share of rows nearest to its present model, whose log determinant is ``was``.
+
+    The rows are read once and summed up by group and bin of distance; each group's bound, and what lies within, come from its bins.
+    """
+    before = models.select(*keys, *_model_columns(), F.col("log_det").alias("was"))
+    near = _squared_distance(rows, _hint(few)(before), keys)
+    bins = near.groupBy(*keys, _bin(F.col("d2")).alias("__bin")).agg(F.expr("max(was) AS was"), *map(F.expr, _named(_sums())))
+    bound = F.ceil(F.percentile("__bin", F.lit(support), F.col("n")).over(Window.partitionBy(*keys)))
+    inside = bins.withColumn("__bound", bound).where("__bin <= __bound")
+    summed = inside.groupBy(*keys).agg(F.expr("max(was) AS was"), *map(F.expr, _named({k: f"sum({k})" for k in _sums()})))
+    out = _estimate(summed, *keys, "was")
+    return cut(out.repartition(1) if few else out)
 
 
 def robust_models(stats: DataFrame, keys: list[str], support: float = 0.75, max_steps: int = 10, few: bool = False) -> DataFrame:
@@ -197,7 +210,7 @@ def robust_models(stats: DataFrame, keys: list[str], support: float = 0.75, max_
         )).alias("start"),
     )
     both = [*keys, "start"]
-    models = cut(_estimate(chosen, both, F.lit(1.0)))
+    models = cut(_estimate(chosen.groupBy(*both).agg(*map(F.expr, _named(_sums()))), *both))
     rows = started.select(*keys, *FEATURES)
     tried = rows.withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(STARTS)])))
     for _ in range(2):
@@ -205,10 +218,8 @@ def robust_models(stats: DataFrame, keys: list[str], support: float = 0.75, max_
     models = models.groupBy(*keys).agg(F.min_by(F.struct(*_model_columns(), "log_det"), F.struct("log_det", "start")).alias("m")).select(*keys, "m.*")
     models = cut(models.coalesce(1) if few else models)
     for _ in range(max_steps):
-        fresh = _concentrated(rows, models, keys, support, few)
-        moved = fresh.select(*keys, "log_det").join(hint(models.select(*keys, F.col("log_det").alias("was"))), keys)
-        models = fresh
-        if moved.where("log_det < was - 1e-6").limit(1).count() == 0:
+        models = _concentrated(rows, models, keys, support, few)
+        if models.where("log_det < was - 1e-6").isEmpty():
             break
     return models.select(*keys, *_model_columns())
 
