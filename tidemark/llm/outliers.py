@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import hashes, let, table, words
-from tidemark.session import cut
+from tidemark.session import cut, cut_plain
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -180,7 +180,7 @@ def _concentrated(rows: DataFrame, models: DataFrame, keys: list[str], support:
     inside = bins.withColumn("__bound", bound).where("__bin <= __bound")
     summed = inside.groupBy(*keys).agg(F.expr("max(was) AS was"), *map(F.expr, _named({k: f"sum({k})" for k in _sums()})))
     out = _estimate(summed, *keys, "was")
-    return cut(out.repartition(1) if few else out)
+    return cut_plain(out.repartition(1)) if few else cut(out)
 
 
 def robust_models(stats: DataFrame, keys: list[str], support: float = 0.75, max_steps: int = 10, few: bool = False) -> DataFrame:

@@ -55,6 +55,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_plain(df: DataFrame) -> DataFrame:
+    """As ``cut``, planned once and run as one job: for loops over small aggregates, where adaptive execution would plan what is left
+    anew after each exchange, all of it on the driver."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name, None)
+    try:
+        conf.set(name, "false")
+        return cut(df)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def cut_by(df: DataFrame, key: str) -> DataFrame:
     """As ``cut``, dealt by ``key``: later joins and groupings by it leave the rows where they are.
 
