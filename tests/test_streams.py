@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql.types import DoubleType, StringType
 
@@ -5,7 +7,7 @@ from tidemark.plans import catalog
 from tidemark.plans.datasets import LINE_NUMERIC, line_rows
 from tidemark.plans.ranking import scored
 from tidemark.plans.streams import _enumerating_miner
-from tidemark.session import scratch_path
+from tidemark.session import few_listing_tasks, scratch_path
 from tidemark.sources import arff, reports, streams
 from tidemark.streaming import prequential as pq
 from tidemark.streaming.test_then_train import TestThenTrain
@@ -165,3 +167,53 @@ def test_pieces_of_a_trigger_are_tested_one_after_the_other(spark, sf, confidenc
         assert sorted(shown[0], key=str) == sorted(shown[1], key=str) and shown[0], table
     last = [sorted(map(str, l.table(spark, "history").filter("batch_id = 8").select("pattern_id", "confidence").collect())) for l in (single, together)]
     assert last[0] == last[1] and last[0]
+
+
+def test_state_of_a_trigger_is_one_file_a_table(spark, sf):
+    """Neither the files nor the reads of a trigger grow with its pieces or with the batches before; a new loop goes on where one stopped."""
+    rows = line_rows(spark, sf).select("l_orderkey", "l_linenumber", *LINE_NUMERIC, "cls")
+    stored = streams.chunked(rows, 700, ["l_orderkey", "l_linenumber"]).cache()
+    where = scratch_path(spark, "t")
+
+    def loop():
+        return TestThenTrain(where, LINE_NUMERIC, {}, "cls", confidence=0.95, history_batches=2, miner=_enumerating_miner, pieces="batch_id")
+
+    first = loop()
+    first.process_pieces(stored.filter("batch_id < 4"), 0)
+    assert first.seen == 2800
+    last = loop()
+    for _ in range(2):  # the second time as a replay
+        last.process_pieces(stored.filter("batch_id >= 4"), 1)
+    assert last.seen == last._seen(spark) == 6000
+    for table, batches in {"bounds": 9, "seen": 9, "model": 9, "scores": 8, "summary": 8}.items():
+        found = last.table(spark, table)
+        assert found.select("batch_id").distinct().count() == batches, table
+        assert len(found.inputFiles()) == 2, table
+
+
+def test_replay_deals_neighbouring_pieces_to_a_task(spark, sf, monkeypatch):
+    """Tasks start in order, so pieces arrive about in order, and none sorts more than a few; a piece is one file with its rows in order."""
+    monkeypatch.setattr(streams, "PIECES_A_TASK", 3)
+    keys = ["l_orderkey", "l_linenumber"]
+    target = scratch_path(spark, "dealt")
+    stored = streams.replay(line_rows(spark, sf).select(*keys), target, keys, 500)
+    files = [re.search(r"batch_id=(\d+)/part-(\d+)-", f).groups() for f in stored.inputFiles()]
+    assert sorted((int(b), int(t)) for b, t in files) == [(b, b // 3) for b in range(12)]
+    got = [tuple(r) for b in range(12) for r in spark.read.parquet(f"{target}/batch_id={b}").collect()]
+    assert got == sorted(tuple(r) for r in line_rows(spark, sf).select(*keys).collect())
+    assert [r["count"] for r in stored.groupBy("batch_id").count().collect()] == [500] * 12
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Each folder had a task of its own, more than the loop's own work at some 10 000 pieces; the setting is put back."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.range(100).selectExpr("id", "id AS part").repartition(1).write.partitionBy("part").parquet(str(tmp_path / "t"))
+    spark.sparkContext.setJobGroup("listed", "listed")
+    with few_listing_tasks(spark):
+        assert spark.read.parquet(str(tmp_path / "t")).schema.names == ["id", "part"]
+    spark.sparkContext.setJobGroup("rest", "rest")
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listed") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism < 100
+    assert spark.conf.get(name) == before

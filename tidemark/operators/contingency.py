@@ -108,10 +108,10 @@ def evaluate(
 
 
 def evaluate_test(
-    cells: DataFrame, patterns: DataFrame, layout: Layout, by: Sequence[str] = (), inverse: bool = False
+    cells: DataFrame, patterns: DataFrame, layout: Layout, by: Sequence[str] = (), inverse: bool = False, known_rows: int | None = None
 ) -> DataFrame:
     """Contingency and every reported measure."""
-    return with_measures(contingency(cells, patterns, layout, by), inverse=inverse)
+    return with_measures(contingency(cells, patterns, layout, by, known_rows), inverse=inverse)
 
 
 def enumerate_patterns(cells: DataFrame, layout: Layout, max_vars: int = 2, by: Sequence[str] = ()) -> DataFrame:

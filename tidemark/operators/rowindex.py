@@ -22,12 +22,20 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_inde
     their partition; partition sizes, one row each, give the running start. The numbered rows are
     checkpointed because a second evaluation of a range shuffle may draw other boundaries.
     """
+    return _numbered(*_ranged(df, order_by), name, offset)
+
+
+def _ranged(df: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows in order with their partition and place, and a row per partition with its size."""
     ranged = cut(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumns({"__part": F.spark_partition_id(), "__mono": F.monotonically_increasing_id()})
     )
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"), F.min("__mono").alias("__first"))
+    return ranged, ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"), F.min("__mono").alias("__first"))
+
+
+def _numbered(ranged: DataFrame, sizes: DataFrame, name: str, offset: int = 0) -> DataFrame:
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         "__part", "__first", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")
@@ -41,6 +49,18 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_inde
 
 def chunked(df: DataFrame, chunk_size: int = 5000, order_by: Sequence[str] = (), name: str = "batch_id") -> DataFrame:
     """Consecutive chunks of ``chunk_size`` rows."""
-    return with_row_index(df, order_by, "__index").withColumn(
-        name, F.floor(F.col("__index") / F.lit(chunk_size)).cast("bigint")
-    ).drop("__index")
+    return _chunk_of(with_row_index(df, order_by, "__index"), chunk_size, name)
+
+
+def _chunk_of(indexed: DataFrame, chunk_size: int, name: str) -> DataFrame:
+    return indexed.withColumn(name, F.floor(F.col("__index") / F.lit(chunk_size)).cast("bigint")).drop("__index")
+
+
+def counted_chunks(
+    df: DataFrame, chunk_size: int = 5000, order_by: Sequence[str] = (), name: str = "batch_id"
+) -> tuple[DataFrame, int]:
+    """As ``chunked``, and the number of chunks; the rows are not read again for it."""
+    ranged, sizes = _ranged(df, order_by)
+    sizes = cut(sizes)  # one row per partition
+    rows = sizes.agg(F.sum("__size")).first()[0] or 0
+    return _chunk_of(_numbered(ranged, sizes, "__index"), chunk_size, name), -(-rows // chunk_size)

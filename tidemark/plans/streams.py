@@ -16,7 +16,7 @@ from tidemark.plans.datasets import (
 )
 from tidemark.plans.ranking import MEASURE_SQL
 from tidemark.plans.registry import load, query, r6, rounded
-from tidemark.session import cut, scratch_path
+from tidemark.session import cut, few_listing_tasks, scratch_path
 from tidemark.sources import arff, reports, streams
 from tidemark.streaming import prequential as pq
 from tidemark.streaming.test_then_train import TestThenTrain
@@ -97,8 +97,9 @@ def replay(spark, sf_dir):
 def _streamed(spark, rows, pieces=1):
     """Replay a table as pieces and open them as a stream, up to ``pieces`` of them per trigger; ``batch_id`` is the piece."""
     target = scratch_path(spark, "stream")
-    stored = streams.replay(rows, target, ROW_KEYS, REPLAY)
-    return streams.read_stream(spark, "parquet", target, stored.schema, files_per_batch=pieces)
+    with few_listing_tasks(spark):
+        stored = streams.replay(rows, target, ROW_KEYS, REPLAY)
+        return streams.read_stream(spark, "parquet", target, stored.schema, files_per_batch=pieces)
 
 
 @query("stream_cube", sql_lines(keep="") + " SELECT w0, w1, w2, w3, class, n FROM cells")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,6 +88,19 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
             conf.unset(name) if value is None else conf.set(name, value)
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Inside, a table of many folders is listed by a few tasks a core; by default each folder gets a task of its own, and starting
+    tasks takes longer than listing."""
+    conf, name = spark.conf, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = conf.get(name, None)
+    try:
+        conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
+        yield
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder for a table that one job writes and another reads."""
     return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.rowindex import chunked, with_row_index
+from tidemark.operators.rowindex import chunked, counted_chunks, with_row_index  # noqa: F401  (chunked is part of this module too)
+
+#: Consecutive pieces that one task of ``replay`` writes: tasks start in order, so pieces arrive about in order and a task's sort stays small.
+PIECES_A_TASK = 8
 
 
 def read_stream(
@@ -37,10 +40,10 @@ def replay(df: DataFrame, target: str, order_by: Sequence[str], rate: int = 50_0
 
     Every piece becomes one folder entry; a batch reader sees the whole table with its ``batch_id``.
     """
-    pieces = chunked(df, rate, order_by)
-    pieces.repartitionByRange("batch_id").sortWithinPartitions("batch_id", *order_by).write.partitionBy("batch_id").mode(
-        "overwrite"
-    ).parquet(target)
+    pieces, count = counted_chunks(df, rate, order_by)
+    task = F.floor(F.col("batch_id") / F.lit(PIECES_A_TASK)).cast("int")
+    dealt = pieces.repartitionById(max(-(-count // PIECES_A_TASK), 1), task)
+    dealt.sortWithinPartitions("batch_id", *order_by).write.partitionBy("batch_id").mode("overwrite").parquet(target)
     return df.sparkSession.read.parquet(target)
 
 
