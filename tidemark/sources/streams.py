@@ -12,6 +12,8 @@ from tidemark.operators.rowindex import chunked, counted_chunks, with_row_index
 
 #: Consecutive pieces that one task of ``replay`` writes: tasks start in order, so pieces arrive about in order and a task's sort stays small.
 PIECES_A_TASK = 8
+#: Beyond so many tasks there are more pieces in each: a shuffle to up to 200 writes rows straight away, one to more sorts and spills them first.
+MOST_TASKS = 200
 
 
 def read_stream(
@@ -41,8 +43,9 @@ def replay(df: DataFrame, target: str, order_by: Sequence[str], rate: int = 50_0
     Every piece becomes one folder entry; a batch reader sees the whole table with its ``batch_id``.
     """
     pieces, count = counted_chunks(df, rate, order_by)
-    task = F.floor(F.col("batch_id") / F.lit(PIECES_A_TASK)).cast("int")
-    dealt = pieces.repartitionById(max(-(-count // PIECES_A_TASK), 1), task)
+    together = max(PIECES_A_TASK, -(-count // MOST_TASKS))
+    task = F.floor(F.col("batch_id") / F.lit(together)).cast("int")
+    dealt = pieces.repartitionById(max(-(-count // together), 1), task)
     dealt.sortWithinPartitions("batch_id", *order_by).write.partitionBy("batch_id").mode("overwrite").parquet(target)
     return df.sparkSession.read.parquet(target)
 
